@@ -1,0 +1,11 @@
+"""The library's dataflows over the given star-schema tables, with SQL for comparison."""
+
+from __future__ import annotations
+
+
+def all_queries():
+    """(queries, SQL) of every module."""
+    from workload import cohort_queries, member_queries  # noqa: F401
+    from workload.registry import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)
