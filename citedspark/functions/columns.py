@@ -60,8 +60,9 @@ def rate_percent(part: Column, whole: Column) -> Column:
 
 def tidy(value: Column) -> Column:
     """Stripped text; blanks and the words none, nan and null become NULL."""
-    text = F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
-    return F.when(~F.lower(text).isin(*BLANK_WORDS), text)
+    words = "|".join(word for word in BLANK_WORDS if word)
+    stripped = F.regexp_replace(value.cast("string"), rf"(?iU)^\s*({words})?\s*$|^\s+|\s+$", "")
+    return F.nullif(stripped, F.lit(""))
 
 
 def normalised_rows(df: DataFrame, extra_aliases: dict[str, Sequence[str]] | None = None) -> DataFrame:

@@ -418,7 +418,9 @@ def _finish(df: DataFrame, intent: str, keys: list[str]) -> DataFrame:
         F.when(F.col("_refused").isNotNull(), F.col("_refused")).when(inline, body).alias("text"),
         F.when(
             F.col("_refused").isNull(),
-            F.concat(F.array("own"), F.when(inline, F.col("units.cite")).otherwise(F.slice("units.cite", 1, 0))),
+            F.concat(
+                F.array("own"), F.coalesce(F.when(inline, F.col("units.cite")), F.slice(F.array("own"), 1, 0))
+            ),
         ).alias("citations"),
         F.when(F.col("_refused").isNull(), F.array("code")).otherwise(no_codes()).alias("quoted_codes"),
         F.when(F.col("_refused").isNotNull(), no_codes()).when(inline, F.col("rejected")).alias("rejected_codes"),
@@ -427,10 +429,7 @@ def _finish(df: DataFrame, intent: str, keys: list[str]) -> DataFrame:
 
 
 def _with_units(singles: DataFrame, attached: DataFrame, keys: list[str]) -> DataFrame:
-    empty = F.expr("filter(units, u -> false)")
-    return singles.join(attached, keys, "left").withColumns(
-        {"cells": F.coalesce("cells", F.lit(0)), "units": F.coalesce("units", empty, F.expr("slice(units, 1, 0)"))}
-    )
+    return singles.join(attached, keys, "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
 def _own_citation() -> dict[str, Column]:
