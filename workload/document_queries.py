@@ -19,9 +19,16 @@ def xml_documents(source: Source) -> DataFrame:
 
     Line 7 names another patient than its document; line 6 repeats its element ids.
     """
+    key = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    # A fixed number of partitions: small ones would be merged, but parsing costs more than bytes.
+    parts = max(
+        int(source.spark.conf.get("spark.sql.shuffle.partitions")), source.spark.sparkContext.defaultParallelism
+    )
     lines = (
         source.order_lines()
-        .groupBy("l_orderkey", "l_linenumber", "l_suppkey")
+        .select(*key, "l_partkey", "o_orderdate", "l_shipdate")
+        .repartition(parts, *key)
+        .groupBy(*key)
         .agg(
             F.min("l_partkey").alias("l_partkey"),
             F.min("o_orderdate").alias("o_orderdate"),
