@@ -73,7 +73,8 @@ def extra_rows(df: DataFrame, key: tuple[str, ...], name: str, blank_is_value: b
 
 
 def duplicate_groups(df: DataFrame, key: tuple[str, ...], name: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias(name))
+    groups = df.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1)
+    return groups.agg(F.count("*").alias(name))
 
 
 def orphans(
