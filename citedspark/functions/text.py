@@ -20,9 +20,8 @@ def _found(text: Column, *patterns: str) -> Column:
     return text.rlike(_FLAGS + "|".join(patterns))
 
 
-def refusal_classes(question: Column) -> Column:
-    """Every refusal class a question triggers, in reporting order."""
-    text = squeezed(question)
+def refusal_classes(text: Column) -> Column:
+    """Every refusal class a squeezed question triggers, in reporting order."""
     changes_medication = _found(text, *fv.MEDICATION_CHANGE_PHRASES) | (
         _found(text, fv.MEDICATION_CHANGE_VERB) & _found(text, fv.MEDICATION_CHANGE_OBJECT)
     )
@@ -37,9 +36,8 @@ def refusal_classes(question: Column) -> Column:
     )
 
 
-def question_intent(question: Column, refusals: Column) -> Column:
-    """The first refusal, else the first answerable class found, else no_citation."""
-    text = squeezed(question)
+def question_intent(text: Column, refusals: Column) -> Column:
+    """The first refusal, else the first answerable class found in a squeezed question, else no_citation."""
     answerable = [F.when(_found(text, pattern), F.lit(name)) for name, pattern in fv.ANSWER_INTENTS]
     return F.coalesce(F.try_element_at(refusals, F.lit(1)), *answerable, F.lit(fv.NO_CITATION))
 

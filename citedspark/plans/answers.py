@@ -21,6 +21,7 @@ from citedspark.functions.columns import tidy, up
 from citedspark.operators.ranking import top_rows
 from citedspark.plans import member as M
 from citedspark.plans.conform import Core
+from citedspark.session import staged
 
 MEMBER = "patient_id"
 # Cells written into one answer text; answers with more keep them as rows only.
@@ -529,11 +530,16 @@ def allergy_answers(core: Core, asked: DataFrame) -> DataFrame:
         }
     )
     body = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "), F.col("after"))
-    guarded = F.forall(
-        "rejected", lambda other: X.rejected_code_guarded(F.col("_body"), F.col("code"), other)
+    # The lines about rejected codes guard themselves. The costly look at every mention is
+    # only needed when a rejected code is also found elsewhere, or may be part of another code.
+    elsewhere = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "))
+    mixed = F.exists("rejected", lambda other: F.length(other) != F.length(F.col("code")))
+    doubtful = mixed | F.exists("rejected", lambda other: F.col("_elsewhere").contains(other))
+    guarded = F.when(~doubtful, True).otherwise(
+        F.forall("rejected", lambda other: X.rejected_code_guarded(F.col("_body"), F.col("code"), other))
     )
     return _finish(
-        prepared.withColumn("_body", body).withColumn(
+        prepared.withColumns({"_body": body, "_elsewhere": elsewhere}).withColumn(
             "refused",
             F.when(F.col("n") != 1, filled(fv.REFUSAL_TEXT["many_allergies"], n=F.col("n")))
             .when(missing, fv.REFUSAL_TEXT["bad_allergy"])
@@ -687,11 +693,12 @@ def answered(
 
     Precedence: refusal, failed query, nothing to cite, no source, cohort, unknown name,
     no member, and then the answer of the class. `query_failed` is an optional column.
+    The screened questions are written once: every class of answer reads who is asked about.
     """
     questions = resolved_questions
     if "query_failed" not in questions.columns:
         questions = questions.withColumn("query_failed", F.lit(False))
-    questions = questions.withColumn("named_day", F.coalesce("named_day", F.lit("")))
+    questions = staged(questions.withColumn("named_day", F.coalesce("named_day", F.lit(""))))
     usable = questions.filter((F.size("refusals") == 0) & F.col(MEMBER).isNotNull() & F.lit(connected))
     members = usable.select(MEMBER).distinct()
     asked_allergy = usable.filter(F.col("intent") == "allergy_citation")
