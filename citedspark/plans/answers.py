@@ -342,12 +342,17 @@ def single_medications(core: Core, members: DataFrame) -> DataFrame:
 
 
 def single_allergies(core: Core, asked: DataFrame) -> DataFrame:
-    """Per asked member and day (blank day: any): the row count, and the row when it is one."""
+    """Per asked member and day (blank day: any): the row count, and the row when it is one.
+
+    Each row is counted under its day and under no day, so days meet by equality and not as
+    pairs of a member's days and rows.
+    """
     keys = asked.select(MEMBER, F.coalesce("named_day", F.lit("")).alias("named_day")).distinct()
-    rows = M.allergy_rows(core).join(keys, MEMBER).filter(
-        F.date_format("start", "yyyy-MM-dd").startswith(F.col("named_day"))
+    rows = M.allergy_rows(core).withColumn(
+        "named_day", F.explode(F.array(F.lit(""), F.date_format("start", "yyyy-MM-dd")))
     )
-    return _single_rows(rows, [MEMBER, "named_day"], "ALLERGY", fv.SECTION_OF_STEP["allergy_section"])
+    counted = _single_rows(rows, [MEMBER, "named_day"], "ALLERGY", fv.SECTION_OF_STEP["allergy_section"])
+    return counted.join(keys, [MEMBER, "named_day"], "left_semi")
 
 
 def _single_rows(rows: DataFrame, keys: list[str], table: str, section: str) -> DataFrame:

@@ -306,16 +306,21 @@ class Source:
         )
 
     def document_section(self) -> DataFrame:
-        """Cells of one document per member: two per coded line, three per order and allergy, two per plan."""
-
-        def cell(section: str | Column, title: str | Column, element: Column, text_: Column, code: Column) -> Column:
-            lit = lambda v: F.lit(v) if isinstance(v, str) else v
-            return F.struct(
-                lit(section).alias("section_loinc"),
-                lit(title).alias("section_title"),
-                element.alias("element_id"),
-                text_.alias("text"),
-                code.alias("code"),
+        """Cells of one document per member: two per coded line, three per order and allergy, two per plan.
+
+        The section is a column before the cells are exploded, so a section filter reaches the scans.
+        """
+
+        def cell(element: Column, words: Column, code: Column) -> Column:
+            return F.struct(element.alias("element_id"), words.alias("text"), code.alias("code"))
+
+        def cells(df: DataFrame, section: Column, title: Column, *each: Column) -> DataFrame:
+            return df.select(
+                text("o_custkey").alias("document_id"),
+                text("o_custkey").alias("patient_id"),
+                section.alias("section_loinc"),
+                title.alias("section_title"),
+                F.inline(F.array(*each)),
             )
 
         flag = F.col("l_returnflag")
@@ -324,8 +329,6 @@ class Source:
             r, a, n = (F.lit(v) if isinstance(v, str) else v for v in (r, a, n))
             return F.when(flag == "R", r).when(flag == "A", a).otherwise(n)
 
-        section = by_flag("11450-4", "10160-0", "47519-4")
-        title = by_flag("Problems", "Medications", "Surgeries")
         prefix = by_flag("conditions", "medications", "procedures")
         part, supplier = coded(100000, "l_partkey"), coded(500000, "l_suppkey")
         code = by_flag(part, part, supplier)
@@ -338,52 +341,32 @@ class Source:
             F.col("l_orderkey"), F.lpad(text("l_linenumber"), 2, "0"), F.lpad(text("l_partkey"), 12, "0"),
             F.lpad(text("l_suppkey"), 10, "0"),
         )
-        lines = (
-            self.order_lines()
-            .select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-            .distinct()
-            .select(
-                "o_custkey",
-                F.explode(
-                    F.array(
-                        cell(section, title, F.concat_ws("-", prefix, F.lit("desc"), place), label, code),
-                        cell(
-                            section, title, F.concat_ws("-", prefix, F.lit("code"), place),
-                            joined("http://www.nlm.nih.gov/research/umls/rxnorm ", code), code,
-                        ),
-                    )
-                ).alias("c"),
-            )
+        distinct_lines = self.order_lines().select(
+            "o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"
+        ).distinct()
+        lines = cells(
+            distinct_lines,
+            by_flag("11450-4", "10160-0", "47519-4"),
+            by_flag("Problems", "Medications", "Surgeries"),
+            cell(F.concat_ws("-", prefix, F.lit("desc"), place), label, code),
+            cell(
+                F.concat_ws("-", prefix, F.lit("code"), place),
+                joined("http://www.nlm.nih.gov/research/umls/rxnorm ", code), code,
+            ),
         )
-        key = F.col("o_orderkey")
+        key, orders = F.col("o_orderkey"), self.table("orders")
         allergy, plan = coded(300000000, "o_orderkey"), coded(400000000, "o_orderkey")
-        orders = self.table("orders").select(
-            "o_custkey",
-            F.explode(
-                F.array(
-                    cell(
-                        "48765-2", "Allergies", joined("allergies-desc-", key),
-                        joined("Priority ", F.col("o_orderpriority")), allergy,
-                    ),
-                    cell(
-                        "48765-2", "Allergies", joined("allergies-code-", key),
-                        joined("http://snomed.info/sct ", allergy), allergy,
-                    ),
-                    cell(
-                        "48765-2", "Allergies", joined("entry-assertion-", key),
-                        F.lit("Allergy to substance"), coded(800000000, "o_orderkey"),
-                    ),
-                    cell(
-                        "18776-5", "Care Plans", joined("careplans-desc-", key),
-                        joined("Plan ", F.col("o_orderpriority")), plan,
-                    ),
-                    cell(
-                        "18776-5", "Care Plans", joined("careplans-code-", key),
-                        joined("http://snomed.info/sct ", plan), plan,
-                    ),
-                )
-            ).alias("c"),
+        allergies = cells(
+            orders, F.lit("48765-2"), F.lit("Allergies"),
+            cell(joined("allergies-desc-", key), joined("Priority ", F.col("o_orderpriority")), allergy),
+            cell(joined("allergies-code-", key), joined("http://snomed.info/sct ", allergy), allergy),
+            cell(
+                joined("entry-assertion-", key), F.lit("Allergy to substance"), coded(800000000, "o_orderkey")
+            ),
         )
-        return lines.unionByName(orders).select(
-            text("o_custkey").alias("document_id"), text("o_custkey").alias("patient_id"), "c.*"
+        plans = cells(
+            orders, F.lit("18776-5"), F.lit("Care Plans"),
+            cell(joined("careplans-desc-", key), joined("Plan ", F.col("o_orderpriority")), plan),
+            cell(joined("careplans-code-", key), joined("http://snomed.info/sct ", plan), plan),
         )
+        return lines.unionByName(allergies).unionByName(plans)
