@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citedspark.llm import minhash
+from citedspark.llm import block_join, byte_bpe, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +34,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents: 2-word shingles, 0.8 or more."""
     return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def token_digests(documents: DataFrame) -> DataFrame:
+    """Digests of each document's ids and of the bytes they decode to."""
+    path = public_tokenizers.path(RANKS)
+    coded = byte_bpe.decode(byte_bpe.encode(documents, path, public_tokenizers.PATTERN), path)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by the ranks and decoded again."""
+    return token_digests(table(spark, folder, "documents"))
+
+
+@query("""
+WITH v AS (
+    SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY vec_id)
+SELECT q.vec_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+       c.vec_id, list_inner_product(q.e, c.e) AS score
+FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+WHERE q.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) <= 20""")
+def op7_block_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of each vector whose id is divisible by 20, among all others."""
+    return block_join.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
