@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citedspark.llm import block_join, byte_bpe, minhash
+from citedspark.llm import block_join, byte_bpe, fm_index, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,48 @@ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e
 def op7_block_join(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of each vector whose id is divisible by 20, among all others."""
     return block_join.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+WITH item AS (
+    SELECT item_id, regexp_extract_all({ASCII_LOWER}, '{WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS size,
+           array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORDS}') AS w FROM documents),
+place AS (
+    SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM doc, (SELECT DISTINCT size FROM win))),
+found AS (SELECT DISTINCT doc_id, i, size, item_id FROM place JOIN win USING (size, phrase)),
+hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY 1),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op3_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document inside any 13-word window of a benchmark item."""
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Counts and digests of the removal spans, and the verdict: a twentieth of the words is hit."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return fm_index.removal_spans(documents, benchmark).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (F.lit(20) * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
