@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citedspark.llm import block_join, byte_bpe, fm_index, minhash
+from citedspark.llm import block_join, byte_bpe, fm_index, license_text, minhash, suffix_automaton
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(20) * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+@query()
+def op5_license_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and covered template spans of every document."""
+    found = suffix_automaton.license_spans(
+        table(spark, folder, "documents"), license_text.TEMPLATES, license_text.PHRASES
+    )
+    starts, named, covered = F.col("places.start"), F.col("places.label"), F.col("spans.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(named, covered)), ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0))
+        .otherwise(F.coalesce(F.array_max(F.col("spans.share")), F.lit(0.0)))
+        .alias("score"),
+    )
