@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citedspark.llm import block_join, byte_bpe, fm_index, license_text, minhash, suffix_automaton
+from citedspark.llm import (
+    block_join,
+    byte_bpe,
+    fm_index,
+    license_text,
+    minhash,
+    noisy_channel,
+    suffix_automaton,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +147,16 @@ def op5_license_automaton(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.coalesce(F.array_max(F.col("spans.share")), F.lit(0.0)))
         .alias("score"),
     )
+
+
+@query()
+def op6_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from four of five folds of the labelled ones."""
+    scored = noisy_channel.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(noisy_channel.fold("doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("restored").alias("n_restored"),
+    )
