@@ -6,9 +6,10 @@ form a lattice (a run may stand for one or two letters, a sign for the letters i
 for nothing), and Viterbi decoding finds the likeliest letters under a trigram model of
 characters that is counted over all documents. What is scored is the restored text.
 
-Evidence is learnt from labelled rows: a word or its beginning (4 to 6 bytes) counts once for
-each distinct pair of neighbours in toxic texts, so that copies of a text add nothing, and is
-kept if a likelihood-ratio test finds it significantly more frequent there than in clean texts.
+Evidence is learnt from labelled rows: a word or its beginning (4 to 6 bytes) counts as often as
+it has distinct neighbours on either side in toxic texts, so that copies of a text add nothing,
+and is kept if a likelihood-ratio test finds it significantly more frequent there than in clean
+texts.
 A document's log-odds are the prior's plus the strongest evidence among its words.
 
 At most about SAMPLE labelled rows, chosen by a hash of doc_id, train the evidence; characters
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from citedspark.llm.arrays import LOWER, NOT_BLANK, Words, mixed, prefix_sums, range_hashes, slices, text_bytes, whole_text
 
 SAMPLE = 40_000
-SUPPORT, SIGNIFICANT, TELLING = 5, 12.0, 3.0
+SUPPORT, SIGNIFICANT, TELLING = 5, 12.0, 4.5
 BEGINNINGS = (4, 5, 6)
 #: Symbols of the character model: the edge of a word, 26 letters, other bytes folded to 32.
 SYMBOLS = 64
@@ -209,7 +210,7 @@ class RestoredWords:
 
 
 def _contexts(model: np.ndarray):
-    """Distinct (feature, neighbours) of a slice."""
+    """Distinct (feature, neighbour, side) of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
@@ -217,16 +218,19 @@ def _contexts(model: np.ndarray):
             words = RestoredWords(batch.column(1), restorer)
             before = np.concatenate([[np.uint64(0)], words.hashes[:-1]])
             after = np.concatenate([words.hashes[1:], [np.uint64(0)]])
-            near = mixed(before * np.uint64(3) + after)
             features = words.features()
-            context = np.broadcast_to(near[:, None], features.shape).reshape(-1)
             flat = features.reshape(-1)
             on = flat != 0
-            pairs = np.unique(np.stack([flat[on], context[on]], axis=1), axis=0) if on.any() else np.zeros((0, 2), np.uint64)
-            yield pa.record_batch(
-                [pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))],
-                names=["feature", "context"],
-            )
+            for side, near in enumerate((before, after)):
+                context = np.broadcast_to(near[:, None], features.shape).reshape(-1)
+                pairs = np.unique(np.stack([flat[on], context[on]], axis=1), axis=0) if on.any() else np.zeros((0, 2), np.uint64)
+                yield pa.record_batch(
+                    [
+                        pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64)),
+                        pa.array(np.full(len(pairs), side, np.int32)),
+                    ],
+                    names=["feature", "context", "side"],
+                )
 
     return run
 
@@ -284,8 +288,9 @@ def learnt(documents: DataFrame, labels: DataFrame, model: np.ndarray, sample: i
         return Evidence(-40.0 if not classes.get(1) else 40.0, np.zeros(0, np.uint64), np.zeros(0))
     # Bounded by the words of the sample.
     seen = (
-        toxic.mapInArrow(_contexts(model), "feature long, context long").distinct()
-        .groupBy("feature").count().where(F.col("count") >= SUPPORT).toPandas()
+        toxic.mapInArrow(_contexts(model), "feature long, context long, side int").distinct()
+        .groupBy("feature", "side").count()
+        .groupBy("feature").agg(F.min("count").alias("count")).where(F.col("count") >= SUPPORT).toPandas()
     )
     known = np.sort(seen["feature"].to_numpy(np.int64).view(np.uint64))
     in_toxic = np.zeros(len(known))
