@@ -15,6 +15,7 @@ from citedspark.llm import (
     license_text,
     minhash,
     noisy_channel,
+    secrets,
     suffix_automaton,
 )
 
@@ -160,3 +161,16 @@ def op6_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("restored").alias("n_restored"),
     )
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: fixed forms, and tokens that a Markov model finds random."""
+    found = secrets.secret_spans(table(spark, folder, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.concat(base, "random")).alias("spans"),
+    )
