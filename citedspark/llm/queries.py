@@ -12,6 +12,7 @@ from citedspark.llm import (
     block_join,
     byte_bpe,
     fm_index,
+    kneser_ney,
     license_text,
     minhash,
     noisy_channel,
@@ -174,3 +175,13 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.concat(base, "random")).alias("spans"),
     )
+
+
+@query()
+def op8_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under a model of the rows of four of five folds."""
+    held_out = F.coalesce(noisy_channel.fold("doc_id") == 1, F.lit(False))
+    documents = table(spark, folder, "documents")
+    return kneser_ney.scored(documents, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
