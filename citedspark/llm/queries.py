@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citedspark.llm import (
     block_join,
+    bwt_merge,
     byte_bpe,
     fm_index,
     kneser_ney,
@@ -185,3 +186,14 @@ def op8_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.scored(documents, ~held_out).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query()
+def op10_bwt_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that no 200-byte repeat covers."""
+    found = bwt_merge.repeats_removed(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
