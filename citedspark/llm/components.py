@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from citedspark.session import staged
 
+#: Links of a task.
+LINKS = 50_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one partition's links; a link to its root for each node that is none."""
@@ -33,7 +36,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _stars(links: DataFrame, own_only: bool) -> DataFrame:
+def _stars(links: DataFrame, own_only: bool, tasks: int) -> DataFrame:
     """Move links (u > v) to the least neighbour: of all neighbours, or of the smaller ones only.
 
     A node of many links is a minimum in one aggregate and rows of a join, never a list.
@@ -47,24 +50,26 @@ def _stars(links: DataFrame, own_only: bool) -> DataFrame:
         )
     else:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u > v").distinct()
+    return moved.where("u > v").coalesce(tasks).distinct()
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """node, root: the least node reachable, for every node that a link names.
 
     Links are longs; self-links and repeats are allowed, an empty table gives an empty one.
-    Each round is a checkpoint, so a lost executor costs the current round at most.
+    Each round is a checkpoint, so a lost executor costs the current round at most. The number
+    of tasks follows the number of links that are left.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     current = staged(pairs.mapInArrow(_forest, "u long, v long").distinct())
-    mark = None
+    count, mark = current.count(), None
     for _ in range(rounds):
-        current = staged(_stars(_stars(current, False), True))
+        tasks = 1 + count // LINKS
+        current = staged(_stars(_stars(current, False, tasks), True, tasks).coalesce(tasks))
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
-        mark = now
+        count, mark = now[0], now
     else:
         raise RuntimeError("components did not settle")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
