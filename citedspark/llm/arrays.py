@@ -44,6 +44,17 @@ def whole_text(documents: DataFrame, text: str = "text") -> Column:
     return F.coalesce(documents[text], F.lit(""))
 
 
+def carried(documents: DataFrame, text: str = "text") -> DataFrame:
+    """row (a struct of all other columns) and text, so that names cannot clash with new columns."""
+    others = [documents[name].alias(name) for name in documents.columns if name != text]
+    return documents.select(F.struct(*others).alias("row"), documents[text].alias("text"))
+
+
+def carried_columns(documents: DataFrame, text: str = "text") -> list[Column]:
+    """The columns of `documents` again, from what `carried` made."""
+    return [F.col("text").alias(text) if name == text else F.col("row")[name].alias(name) for name in documents.columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of the batches with about `limit` bytes of text each."""
     for batch in batches:

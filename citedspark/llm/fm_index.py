@@ -8,13 +8,12 @@ position as a sample. All phrases are searched backwards side by side; occurrenc
 walking to the next sample, and merged to spans of words to remove.
 
 The phrases go to the tasks as a broadcast of at most PHRASE_BYTES of benchmark text; a larger
-benchmark is dealt to as many blocks as it needs, each searched in all documents, and the spans
-of the blocks are merged per document.
+benchmark is dealt to as many blocks as it needs, each searched in the documents as they pass,
+and the spans of the blocks are merged.
 
 Nulls, ties, repeats: null and blank texts have no words, no spans and n_words 0; a benchmark
 row without words or without item_id has no phrases. Items that share a phrase are all named.
-Rows that repeat a doc_id are each returned (with several blocks, once per doc_id and n_words).
-Only `doc_id`, `item_id` and `text` are read.
+Rows that repeat a doc_id are each returned. Only `doc_id`, `item_id` and `text` are read.
 """
 
 from __future__ import annotations
@@ -23,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from citedspark.llm.arrays import LETTERS, Words, mixed, slices, whole_text
+from citedspark.llm.arrays import LETTERS, Words, carried, slices
 
 WIDTH = 13
 PHRASE_BYTES = 16 << 20
@@ -181,7 +181,7 @@ def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set[str
     return np.cumsum(marks)[:-1] > 0, items
 
 
-_SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _searched(items: list[tuple[str, str]], width: int):
@@ -206,40 +206,63 @@ def _searched(items: list[tuple[str, str]], width: int):
             )
             named = pa.array([sorted(found.get(at, ())) for at in range(count)], pa.list_(pa.string()))
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(words.first)), spans, named],
-                names=["doc_id", "n_words", "spans", "items"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(words.first)), spans, named],
+                names=["row", "text", "n_words", "spans", "items"],
             )
 
     return run
 
 
-def removal_spans(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, spans of words inside a test phrase (merged), and items, for every row.
+def _searched_in(rows: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
+    added = f"n_words bigint, spans {_SPANS}, items array<string>"
+    schema = StructType([*rows.select("row", "text").schema, *StructType.fromDDL(added)])
+    return rows.select("row", "text").mapInArrow(_searched(items, width), schema)
 
-    A phrase is `width` consecutive words of an item, or a whole shorter item.
+
+def searched_rows(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Each row of `documents` (as `carried` has it) with n_words, spans and items.
+
+    Every block of the benchmark is searched in the rows as they pass.
     """
-    texts = documents.select("doc_id", whole_text(documents).alias("text"))
     asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // PHRASE_BYTES) or 1
-    found = []
+    rows = carried(documents)
     for block in range(blocks):
         part = asked.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")) if blocks > 1 else asked
         items = [tuple(row) for row in part.distinct().collect()]
-        found.append(texts.mapInArrow(_searched(items, width), _SCHEMA))
+        if block:  # what earlier blocks found travels with the row
+            rows = rows.select(F.struct("row", "spans", "items").alias("row"), "text")
+        rows = _searched_in(rows, items, width)
+        if block:
+            rows = rows.select(
+                F.col("row.row").alias("row"), "text", "n_words",
+                F.concat("row.spans", "spans").alias("spans"), F.array_union("row.items", "items").alias("items"),
+            )
     if blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    grouped = every.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+        return rows
     # Overlapping spans of different blocks become one.
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (done, span) ->
+    joined = F.expr(f"""aggregate(array_sort(spans), cast(array() as {_SPANS}), (done, span) ->
         case when size(done) > 0 and element_at(done, -1).end >= span.start
              then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start,
                   'end', greatest(element_at(done, -1).end, span.end))))
              else concat(done, array(span)) end)""")
-    return grouped.select("doc_id", "n_words", joined.alias("spans"), "items")
+    return rows.select("row", "text", "n_words", joined.alias("spans"), F.array_sort("items").alias("items"))
+
+
+def removal_spans(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, spans of words inside a test phrase (merged), and items, for every row.
+
+    A phrase is `width` consecutive words of an item, or a whole shorter item.
+    """
+    return searched_rows(documents, benchmark, width).select("row.doc_id", "n_words", "spans", "items")
+
+
+def hit_words() -> Column:
+    """How many words the spans cover."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+
+
+def contaminated() -> Column:
+    """The verdict on a row: a word is hit, and a twentieth of the words or more."""
+    return (hit_words() > 0) & (F.lit(20) * hit_words() >= F.col("n_words"))

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from citedspark.llm.arrays import LOWER, NOT_BLANK, Words, mixed, prefix_sums, range_hashes, slices, text_bytes, whole_text
+from citedspark.llm.arrays import LOWER, NOT_BLANK, Words, carried, mixed, prefix_sums, range_hashes, slices, text_bytes, whole_text
 
 SAMPLE = 40_000
 SUPPORT, SIGNIFICANT, TELLING = 5, 12.0, 4.5
@@ -337,18 +338,23 @@ def _scored(model: np.ndarray, evidence: Evidence):
                     {"word": word, "observed": observed.decode(errors="replace"), "restored": restored.decode(errors="replace")}
                 )
             yield pa.record_batch(
-                [batch.column(0), pa.array(score), pa.array(changes, _CHANGES)], names=["doc_id", "score", "restored"]
+                [batch.column(0), batch.column(1), pa.array(score), pa.array(changes, _CHANGES)],
+                names=["row", "text", "score", "restored"],
             )
 
     return run
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score and the words that were restored, for every row of `documents`."""
+def scored_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Each row of `documents` (as `carried` has it) with score and restored words."""
     model = character_model(documents)
     evidence = learnt(documents, labels, model, sample)
-    texts = documents.select("doc_id", whole_text(documents).alias("text"))
-    return texts.mapInArrow(
-        _scored(model, evidence),
-        "doc_id long, score double, restored array<struct<word:long,observed:string,restored:string>>",
-    )
+    rows = carried(documents)
+    added = "score double, restored array<struct<word:bigint,observed:string,restored:string>>"
+    schema = StructType([*rows.schema, *StructType.fromDDL(added)])
+    return rows.mapInArrow(_scored(model, evidence), schema)
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, score and the words that were restored, for every row of `documents`."""
+    return scored_rows(documents, labels, sample).select("row.doc_id", "score", "restored")

@@ -19,6 +19,7 @@ from citedspark.llm import (
     noisy_channel,
     secrets,
     suffix_automaton,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,15 +120,14 @@ def op3_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Counts and digests of the removal spans, and the verdict: a twentieth of the words is hit."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    """Counts and digests of the removal spans, and the verdict."""
     return fm_index.removal_spans(documents, benchmark).select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        fm_index.hit_words().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (F.lit(20) * n_hit >= F.col("n_words"))).alias("contaminated"),
+        fm_index.contaminated().alias("contaminated"),
     )
 
 
@@ -197,3 +197,13 @@ def op10_bwt_merge(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op4_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata and conversion record of every page's response record."""
+    made = warc.derived(warc.responses(table(spark, folder, "pages")))
+    return made.select(
+        "page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest",
+        F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"), "problem",
+    )

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citedspark.llm.arrays import whole_text
+from citedspark.llm.arrays import carried, whole_text
 
 SAMPLE = 20_000
 LEAST, TELLING = 16, 15.0
@@ -156,19 +156,23 @@ def _random_spans(text: Column, ratios: list[float] | None) -> Column:
     return _places(text, pattern, 3, F.transform(tokens, telling))
 
 
+def spanned_rows(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Each row of `documents` (as `carried` has it) with the spans of each kind."""
+    ratios = trained(documents, sample)
+    text = F.coalesce("text", F.lit(""))
+    return carried(documents).select(
+        "row", "text",
+        *[spans.alias(kind) for kind, spans in fixed_spans(text).items()],
+        _random_spans(text, ratios).alias("random"),
+    )
+
+
 def secret_spans(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, and the spans of each kind as arrays of (start, kind, end), for every row.
 
     Places are characters (code points), the end exclusive; kinds are numbered as in KINDS.
     """
-    ratios = trained(documents, sample)
-    texts = documents.select("doc_id", whole_text(documents).alias("text"))
-    text = F.col("text")
-    return texts.select(
-        "doc_id", "text",
-        *[spans.alias(kind) for kind, spans in fixed_spans(text).items()],
-        _random_spans(text, ratios).alias("random"),
-    )
+    return spanned_rows(documents, sample).select("row.doc_id", "text", *KINDS)
 
 
 def listed(spans: Column) -> Column:

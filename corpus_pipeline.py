@@ -1,28 +1,84 @@
-"""The training-data pipeline: every stage works on all that its predecessor kept."""
+"""The training-data pipeline: every stage works on all that its predecessor kept.
+
+Toxic documents go, one document of each near-duplicate group stays, contaminated documents go,
+secrets are masked in the text, and what is left is encoded and decoded. Rows are judged by
+themselves, so a row without doc_id or text passes where nothing speaks against it; rows that
+repeat a doc_id count as one document from the second stage on. Columns beside those that a
+stage needs are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from citedspark.llm import minhash
+from citedspark.llm import fm_index, minhash, noisy_channel, queries, secrets
+from citedspark.llm.arrays import carried_columns
 from citedspark.session import scratch_path
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below one half."""
+    scored = noisy_channel.scored_rows(docs, _table(spark, sf_dir, "labels"))
+    return scored.where("score < 0.5").select(carried_columns(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five words a shingle, 0.8 or more."""
+    """One document of each near-duplicate group: five words a shingle, 0.8 or more.
+
+    Of rows that repeat a doc_id the first by text stays; rows without doc_id are not compared.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(name) for name in docs.columns if name != "doc_id"])
+    one = (
+        docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("row"), F.row_number().over(order).alias("place"))
+        .where("place = 1").select("row.*")
+    )
+    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth."""
+    searched = fm_index.searched_rows(docs, _table(spark, sf_dir, "benchmark"))
+    return searched.where(~fm_index.contaminated()).select(carried_columns(docs))
+
+
+def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret's span replaced by a mark and the characters counted anew."""
+    found = secrets.spanned_rows(docs)
+    spans = F.concat(*secrets.KINDS)
+    masked = found.select("row", secrets.masked(F.col("text"), spans).alias("text"), (F.size(spans) > 0).alias("hit"))
+    columns = carried_columns(docs)
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+        columns[docs.columns.index("n_chars")] = counted.alias("n_chars")
+    return masked.select(columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the bytes they decode to."""
+    return queries.token_digests(docs)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_masks),
+    ("byte-level BPE", encoding),
+]
 
-#: SQL cannot express the learnt scores; the stages are tested against brute force.
+#: SQL cannot express the learnt scores and the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
