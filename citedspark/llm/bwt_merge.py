@@ -39,8 +39,10 @@ LENGTH, GRAM, BLOCK = 200, 24, 40
 _WINDOW = LENGTH - GRAM + 1
 #: Entries, or bytes of content, that a task holds before it hands them on.
 HELD, HELD_BYTES = 400_000, 8 << 20
-#: Bytes of segments merged together, and of a shard.
-CHUNK, SHARD = 1 << 20, 1 << 18
+#: Bytes of segments merged together, of a shard, and of text that is cut to segments at a time.
+CHUNK, SHARD, SLICE = 1 << 19, 1 << 17, 1 << 19
+#: Ranges of anchors for each partition of the input.
+RANGES = 4
 
 
 class Segments:
@@ -120,7 +122,7 @@ def _seen(ranges: int):
             held.clear()
             return _dealt(ranges, _range_of(anchor, ranges), [anchor, content, n.astype(np.uint32), tag], _SEEN)
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             found = Segments(data, offsets)
             if len(found.first):
@@ -200,7 +202,7 @@ def _gathered(folder: str, ranges: int):
                 [pa.array(parts), *[pa.array(each, pa.binary()) for each in packed]], names=["part", *_GATHERED]
             )
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             found = Segments(data, offsets)
             tags = _tags(batch, offsets, found)
@@ -342,7 +344,7 @@ _SCHEMA = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>,
 
 def _removed(folder: str, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             found = Segments(data, offsets)
             depth = np.zeros(len(data) + 1, np.int64)
@@ -394,7 +396,7 @@ def repeats_removed(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the removed spans (bytes, merged) and the bytes kept, for every row."""
     folder = scratch_path(documents.sparkSession, "bwt-merge")
     texts = documents.select("doc_id", whole_text(documents).alias("text"))
-    ranges = max(1, documents.rdd.getNumPartitions())
+    ranges = RANGES * max(1, documents.rdd.getNumPartitions())
     seen = texts.mapInArrow(_seen(ranges), _binaries(_SEEN))
     _with_every_range(seen, ranges, _SEEN).groupBy("part").applyInArrow(_kept(folder), "part long, contents long").agg(
         F.sum("contents")
