@@ -137,7 +137,8 @@ def _words_kept(folder: str, ranges: int):
         return pa.table(
             {
                 "part": [part], "distinct": [int(real.sum())], "tokens": [int(counts[real].sum())],
-                "often": [words[top].view(np.int64).tolist()], "times": [counts[top].tolist()],
+                "often": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())),
+                "times": pa.array([counts[top].tolist()], pa.list_(pa.int64())),
             }
         )
 
