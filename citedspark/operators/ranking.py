@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from citedspark.session import staged
 
-# Above this many rows a key is ranked in slices instead of in one task.
-HOT_ROWS = 2_000_000
 _SLICE = "_slice"
 
 
@@ -59,21 +57,7 @@ def running_total(
     )
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """1, 2, 3 ... per key in the given order; keys must not be NULL.
-
-    One counting pass (combined before its shuffle) tells whether any key is too large for
-    one task. Usually none is, and a plain window does. Hot keys, whose number is at most
-    rows / hot_rows, are ranked in slices.
-    """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
-    window = Window.partitionBy(*keys).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumn(out, F.row_number().over(window))
-    hot = staged(hot)
-    cold_rows = df.join(hot, list(keys), "left_anti").withColumn(out, F.row_number().over(window))
-    hot_part = df.join(hot, list(keys), "left_semi")
-    ranked = running_total(hot_part, keys, order, F.lit(1), out).withColumn(out, (F.col(out) + 1).cast("int"))
-    return cold_rows.unionByName(ranked.select(cold_rows.columns))
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1, 2, 3 ... per key in the given order, whatever the size of a key; keys must not be NULL."""
+    ranked = running_total(df, keys, order, F.lit(1), out)
+    return ranked.select(*df.columns, (F.col(out) + 1).cast("int").alias(out))

@@ -2,9 +2,9 @@
 
 List answers depend only on the member and the class of question, so they are built once
 per member and then joined to the questions: a member asked about in very many questions
-costs nothing extra. Answers that cite one row may cite any number of document cells;
-those stay rows (`medication_cells`, `allergy_cells`, `member_codes`), and are written into
-the text only up to a limit.
+costs nothing extra. Answers that cite one row may cite any number of document cells; the
+answer holds them all, and `medication_cells`, `allergy_cells` and `member_codes` give them
+as rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from citedspark.plans.conform import Core
 from citedspark.session import staged
 
 MEMBER = "patient_id"
-# Cells written into one answer text; answers with more keep them as rows only.
-INLINE_CELLS = 1000
 _EVIDENCE_OF = {
     "condition_list": "condition_evidence",
     "medication_list": "medication_evidence",
@@ -396,23 +394,19 @@ def _unit(text: Column) -> Column:
 
 
 def _attached(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Per answer: cell count, whether any line is unfit, and the lines up to the inline limit."""
+    """Per answer: cell count, whether any line is unfit, and all lines in order."""
     document = {name: F.col(name) for name in ("document_id", "section_loinc", "element_id")}
     units = cells.withColumn("unit", _unit(F.col("text"))).withColumn("cite", citation("document", **document))
-    checks = units.groupBy(*keys).agg(
-        F.count("*").alias("cells"), F.bool_or(X.has_banned_claim(F.col("unit"))).alias("banned_cell")
+    lines = units.select(*keys, "element_id", "document_id", "unit", "cite", X.has_banned_claim(F.col("unit")).alias("banned"))
+    return lines.groupBy(*keys).agg(
+        F.count("*").alias("cells"),
+        F.bool_or("banned").alias("banned_cell"),
+        F.array_sort(F.collect_list(F.struct("element_id", "document_id", "unit", "cite"))).alias("units"),
     )
-    listed = (
-        top_rows(units, keys, [up("element_id"), up("document_id")], INLINE_CELLS)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "unit", "cite"))).alias("units"))
-    )
-    return checks.join(listed, keys)
 
 
 def _finish(df: DataFrame, intent: str, keys: list[str]) -> DataFrame:
     """Status, text and citations from `refused`, `before`, `units`, `after`, `own`."""
-    inline = F.greatest("cells", "codes") <= INLINE_CELLS
     body = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "), F.col("after"))
     own_only = F.concat_ws(" ", F.col("before"), F.col("after"))
     ok = _gate(own_only, F.array("own")) & ~F.coalesce("banned_cell", F.lit(False))
@@ -421,15 +415,13 @@ def _finish(df: DataFrame, intent: str, keys: list[str]) -> DataFrame:
         F.lit(intent).alias("intent"),
         *keys,
         F.when(F.col("_refused").isNull(), "cited").otherwise("refused").alias("status"),
-        F.when(F.col("_refused").isNotNull(), F.col("_refused")).when(inline, body).alias("text"),
+        F.coalesce("_refused", body).alias("text"),
         F.when(
             F.col("_refused").isNull(),
-            F.concat(
-                F.array("own"), F.coalesce(F.when(inline, F.col("units.cite")), F.slice(F.array("own"), 1, 0))
-            ),
+            F.concat(F.array("own"), F.coalesce(F.col("units.cite"), F.slice(F.array("own"), 1, 0))),
         ).alias("citations"),
         F.when(F.col("_refused").isNull(), F.array("code")).otherwise(no_codes()).alias("quoted_codes"),
-        F.when(F.col("_refused").isNotNull(), no_codes()).when(inline, F.col("rejected")).alias("rejected_codes"),
+        F.when(F.col("_refused").isNotNull(), no_codes()).otherwise(F.col("rejected")).alias("rejected_codes"),
         F.when(F.col("_refused").isNull(), F.col("cells")).otherwise(0).alias("cells"),
     )
 
@@ -454,7 +446,6 @@ def medication_answers(core: Core, members: DataFrame) -> DataFrame:
             {
                 "own": citation("table", **_own_citation()),
                 "rejected": no_codes(),
-                "codes": F.lit(0),
                 "before": sentence(
                     F.col("description"), " is on the retrieved medication list. Code ", F.col("code"),
                     ". Start ", F.col("start"), ". ", rendered_kind("table", **_own_citation()), ".",
@@ -486,23 +477,18 @@ def member_codes(core: Core, members: DataFrame) -> DataFrame:
 def allergy_answers(core: Core, asked: DataFrame) -> DataFrame:
     """One answer per asked member and day with at least one allergy row.
 
-    Codes beside the quoted one are listed and guarded, never quoted. An answer beyond the
-    inline limit has no text; its cells and codes are the rows of `allergy_cells` and
-    `member_codes`.
+    Codes beside the quoted one are listed and guarded, never quoted.
     """
     keys = [MEMBER, "named_day"]
     singles = single_allergies(core, asked)
     one = singles.filter(F.col("n") == 1)
-    # One code more than fits, so that a member with too many is seen to have too many.
     codes = (
-        top_rows(member_codes(core, one), [MEMBER], [up("run")], INLINE_CELLS + 1)
-        .groupBy(MEMBER)
-        .agg(F.array_sort(F.collect_list("run")).alias("runs"), F.count("*").alias("codes"))
+        member_codes(core, one).groupBy(MEMBER)
+        .agg(F.array_sort(F.collect_list("run")).alias("runs"))
     )
     joined = (
         _with_units(singles, _attached(allergy_cells(core, singles), keys), keys)
         .join(codes, MEMBER, "left")
-        .withColumn("codes", F.coalesce("codes", F.lit(0)))
     )
     missing = reduce(lambda a, b: a | b, [blank(F.col(name)) for name in ("encounter_id", "code", "start")])
     rejected_lines = F.array_join(

@@ -1,44 +1,21 @@
-"""Declared knowledge about the flat files: types by column rule, keys, links and names.
+"""Declared knowledge about the flat files: columns, keys, links and names.
 
-A raw table takes its columns from the file's own header; the rules below give each
-column its type, its nullability and its conformed name.
+A file's header must name the declared columns in their order; `source_columns` has each
+column's type, whether it may be empty and its conformed name.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+from citedspark.source_columns import COLUMNS
 
 LINEAGE = ("source_filename", "source_file_row_number", "loaded_at", "load_batch_id")
 
-# --- Fixed values: type rules, first match wins --------------------------------
-# (tables or None for any, column pattern, Spark type)
-TYPE_RULES = (
-    (("conditions", "allergies", "careplans"), r"START|STOP", "date"),
-    (("supplies",), r"DATE", "date"),
-    (None, r"BIRTHDATE|DEATHDATE", "date"),
-    (
-        None,
-        r"START|STOP|DATE|START_DATE|END_DATE|CURRENTILLNESSDATE|SERVICEDATE|LASTBILLEDDATE.|FROMDATE|TODATE",
-        "timestamp_ntz",
-    ),
-    (None, r"LAT|LON", "decimal(20,15)"),
-    (None, r"QOLS_AVG", "decimal(18,16)"),
-    (("claims_transactions",), r"UNITS|CHARGEID|DIAGNOSISREF\d|TRANSFEROUTID|FEESCHEDULEID", "bigint"),
-    (("providers",), r"ENCOUNTERS|PROCEDURES", "bigint"),
-    (
-        None,
-        r"INCOME|DISPENSES|QUANTITY|UTILIZATION|UNIQUE_CUSTOMERS|MEMBER_MONTHS|ORDINAL"
-        r"|(UN)?COVERED_.*|(PATIENT)?DEPARTMENTID|HEALTHCARECLAIMTYPEID\d",
-        "bigint",
-    ),
-    (
-        None,
-        r"HEALTHCARE_.*|.*_COST|TOTALCOST|PAYER_COVERAGE|AMOUNT.*|REVENUE|OUTSTANDING.?"
-        r"|UNITAMOUNT|PAYMENTS|ADJUSTMENTS|TRANSFERS",
-        "decimal(18,2)",
-    ),
-)
+
+def _declared(file: str) -> dict[str, tuple[str, bool, str]]:
+    lines = (line.split() for line in COLUMNS[file].strip().splitlines())
+    return {name: (kind, empty == "null", view) for name, kind, empty, view in lines}
 
 
 @dataclass(frozen=True)
@@ -49,51 +26,38 @@ class Table:
     view: str
     primary_key: tuple[str, ...] = ()
     business_key: tuple[str, ...] = ()
-    nullable: str = ""
-    renames: dict[str, str] = field(default_factory=dict)
     multi_line: bool = False
 
+    @property
+    def columns(self) -> dict[str, tuple[str, bool, str]]:
+        """Type, whether it may be empty and conformed name, by column, in file order."""
+        return _declared(self.file)
+
     def column_type(self, column: str) -> str:
-        for tables, pattern, kind in TYPE_RULES:
-            if (tables is None or self.file in tables) and re.fullmatch(pattern, column.upper()):
-                return kind
-        return "string"
+        return self.columns[column.upper()][0]
 
     def is_nullable(self, column: str) -> bool:
-        return bool(self.nullable) and re.fullmatch(self.nullable, column.upper()) is not None
+        known = self.columns.get(column.upper())
+        return known is not None and known[1]
 
     def view_name(self, column: str) -> str:
-        """The conformed name: table-specific, else common, else unchanged."""
-        upper = column.upper()
-        if upper in self.renames:
-            return self.renames[upper]
-        if upper in ("START", "STOP"):
-            suffix = "date" if self.column_type(upper) == "date" else "ts"
-            return f"{upper.lower()}_{suffix}"
-        if upper == "ID":
-            return f"{self.view}_id"
-        return COMMON_NAMES.get(upper, upper.lower())
+        """The conformed name; a column that is not declared keeps its own."""
+        known = self.columns.get(column.upper())
+        return column.lower() if known is None else known[2]
+
+    def check_header(self, header: list[str]) -> None:
+        """Stop unless the header names the declared columns in their order, in any case."""
+        found, wanted = [name.upper() for name in header], list(self.columns)
+        if found == wanted:
+            return
+        lacking = [name for name in wanted if name not in found]
+        extra = [name for name in found if name not in wanted]
+        raise ValueError(
+            f"{self.file}: the header differs from the declared columns; missing {lacking}, not declared {extra}"
+            + ("" if lacking or extra else ", another order")
+        )
 
 
-# --- Fixed values: conformed names shared by several tables --------------------
-COMMON_NAMES = {
-    "PATIENT": "patient_id",
-    "PATIENTID": "patient_id",
-    "ENCOUNTER": "encounter_id",
-    "ORGANIZATION": "organization_id",
-    "PROVIDER": "provider_id",
-    "PROVIDERID": "provider_id",
-    "PAYER": "payer_id",
-    "SYSTEM": "code_system",
-    "REASONCODE": "reason_code",
-    "REASONDESCRIPTION": "reason_description",
-    "TOTALCOST": "total_cost",
-    "LAT": "latitude",
-    "LON": "longitude",
-    "APPOINTMENTID": "appointment_id",
-    "DEPARTMENTID": "department_id",
-    "SUPERVISINGPROVIDERID": "supervising_provider_id",
-}
 # The member view is an allow-list, so a new source column is never exposed by accident.
 MEMBER_COLUMNS = {
     "ID": "patient_id",
@@ -110,170 +74,25 @@ MEMBER_COLUMNS = {
 TABLES = {
     table.file: table
     for table in (
-        Table(
-            "patients",
-            "patient",
-            ("ID",),
-            nullable=r"DEATHDATE|DRIVERS|PASSPORT|PREFIX|MIDDLE|SUFFIX|MAIDEN|MARITAL|FIPS",
-        ),
-        Table(
-            "encounters",
-            "encounter",
-            ("ID",),
-            nullable=r"REASON.*",
-            renames={"ENCOUNTERCLASS": "encounter_class"},
-        ),
-        Table(
-            "conditions",
-            "condition",
-            business_key=("PATIENT", "ENCOUNTER", "CODE", "START"),
-            nullable=r"STOP",
-        ),
-        Table(
-            "medications",
-            "medication",
-            business_key=("PATIENT", "ENCOUNTER", "CODE", "START"),
-            nullable=r"STOP|REASON.*",
-        ),
-        Table(
-            "observations",
-            "observation",
-            business_key=("PATIENT", "ENCOUNTER", "CODE", "DATE", "VALUE"),
-            nullable=r"ENCOUNTER|CATEGORY|UNITS",
-            renames={"DATE": "observation_ts", "VALUE": "value_text", "TYPE": "value_type"},
-        ),
-        Table("procedures", "procedure", nullable=r"REASON.*"),
-        Table(
-            "allergies",
-            "allergy",
-            business_key=("PATIENT", "ENCOUNTER", "CODE", "START"),
-            nullable=r"STOP|REACTION.|DESCRIPTION\d|SEVERITY.",
-            renames={
-                "TYPE": "allergy_type",
-                **{
-                    f"{source}{number}": f"reaction_{number}_{target}"
-                    for number in (1, 2)
-                    for source, target in (
-                        ("REACTION", "code"),
-                        ("DESCRIPTION", "description"),
-                        ("SEVERITY", "severity"),
-                    )
-                },
-            },
-        ),
-        Table("careplans", "careplan", ("ID",), nullable=r"STOP|REASON.*"),
-        Table("immunizations", "immunization", renames={"DATE": "immunization_ts"}),
-        Table(
-            "imaging_studies",
-            "imaging_study",
-            ("ID", "SERIES_UID", "INSTANCE_UID"),
-            renames={
-                "DATE": "imaging_ts",
-                "BODYSITE_CODE": "body_site_code",
-                "BODYSITE_DESCRIPTION": "body_site_description",
-            },
-        ),
-        Table("devices", "device", nullable=r"STOP"),
-        Table(
-            "supplies",
-            "supply",
-            business_key=("PATIENT", "ENCOUNTER", "CODE", "DATE"),
-            renames={"DATE": "supply_date"},
-        ),
-        Table(
-            "payer_transitions",
-            "payer_transition",
-            nullable=r"MEMBERID|SECONDARY_PAYER|PLAN_OWNERSHIP|OWNER_NAME",
-            renames={
-                "MEMBERID": "member_id",
-                "START_DATE": "start_ts",
-                "END_DATE": "end_ts",
-                "SECONDARY_PAYER": "secondary_payer_id",
-            },
-        ),
-        Table(
-            "payers",
-            "payer",
-            ("ID",),
-            nullable=r"ADDRESS|CITY|STATE_HEADQUARTERED|ZIP|PHONE",
-            renames={"NAME": "payer_name"},
-        ),
-        Table("organizations", "organization", ("ID",), renames={"NAME": "organization_name"}),
-        Table(
-            "providers",
-            "provider",
-            ("ID",),
-            renames={
-                "NAME": "provider_name",
-                "ENCOUNTERS": "recorded_encounter_count",
-                "PROCEDURES": "recorded_procedure_count",
-            },
-        ),
-        Table(
-            "claims",
-            "claim",
-            ("ID",),
-            nullable=(
-                r"PRIMARYPATIENTINSURANCEID|SECONDARYPATIENTINSURANCEID|DIAGNOSIS[2-8]"
-                r"|REFERRINGPROVIDERID|STATUS2|OUTSTANDING2|LASTBILLEDDATE2"
-            ),
-            renames={
-                "PRIMARYPATIENTINSURANCEID": "primary_payer_id",
-                "SECONDARYPATIENTINSURANCEID": "secondary_payer_id",
-                "PATIENTDEPARTMENTID": "patient_department_id",
-                "REFERRINGPROVIDERID": "referring_provider_id",
-                "CURRENTILLNESSDATE": "current_illness_ts",
-                "SERVICEDATE": "service_ts",
-                **{f"DIAGNOSIS{n}": f"diagnosis_{n}" for n in range(1, 9)},
-                **{
-                    f"{source}{mark}": f"{target}_{'patient' if mark == 'P' else mark}"
-                    for mark in "12P"
-                    for source, target in (
-                        ("STATUS", "status"),
-                        ("OUTSTANDING", "outstanding"),
-                        ("LASTBILLEDDATE", "last_billed_ts"),
-                    )
-                },
-                **{f"HEALTHCARECLAIMTYPEID{n}": f"claim_type_id_{n}" for n in (1, 2)},
-            },
-        ),
-        Table(
-            "claims_transactions",
-            "claim_line",
-            ("ID",),
-            nullable=(
-                r"AMOUNT|METHOD|MODIFIER\d|DIAGNOSISREF[2-4]|TRANSFEROUTID|TRANSFERTYPE"
-                r"|TRANSFERS|LINENOTE|PATIENTINSURANCEID"
-            ),
-            renames={
-                "CLAIMID": "claim_id",
-                "CHARGEID": "charge_id",
-                "TYPE": "line_type",
-                "METHOD": "payment_method",
-                "FROMDATE": "from_ts",
-                "TODATE": "to_ts",
-                "PLACEOFSERVICE": "place_of_service_id",
-                "PROCEDURECODE": "procedure_code",
-                "UNITAMOUNT": "unit_amount",
-                "TRANSFEROUTID": "transfer_out_id",
-                "TRANSFERTYPE": "transfer_type",
-                "LINENOTE": "line_note",
-                "PATIENTINSURANCEID": "patient_insurance_id",
-                "FEESCHEDULEID": "fee_schedule_id",
-                **{f"MODIFIER{n}": f"modifier_{n}" for n in (1, 2)},
-                **{f"DIAGNOSISREF{n}": f"diagnosis_ref_{n}" for n in range(1, 5)},
-            },
-        ),
-        Table(
-            "document_section",
-            "document_section",
-            ("DOCUMENT_ID", "ELEMENT_ID"),
-            nullable=(
-                r"EFFECTIVE_TIME|CODE.*|ROW_.*|NARRATIVE_.*|STRUCTURED_.*|REJECTED_CODES|CSV_.*"
-            ),
-            renames={"SOURCE_FILE": "ccda_source_file"},
-            multi_line=True,
-        ),
+        Table("patients", "patient", ("ID",)),
+        Table("encounters", "encounter", ("ID",)),
+        Table("conditions", "condition", business_key=("PATIENT", "ENCOUNTER", "CODE", "START")),
+        Table("medications", "medication", business_key=("PATIENT", "ENCOUNTER", "CODE", "START")),
+        Table("observations", "observation", business_key=("PATIENT", "ENCOUNTER", "CODE", "DATE", "VALUE")),
+        Table("procedures", "procedure"),
+        Table("allergies", "allergy", business_key=("PATIENT", "ENCOUNTER", "CODE", "START")),
+        Table("careplans", "careplan", ("ID",)),
+        Table("immunizations", "immunization"),
+        Table("imaging_studies", "imaging_study", ("ID", "SERIES_UID", "INSTANCE_UID")),
+        Table("devices", "device"),
+        Table("supplies", "supply", business_key=("PATIENT", "ENCOUNTER", "CODE", "DATE")),
+        Table("payer_transitions", "payer_transition"),
+        Table("payers", "payer", ("ID",)),
+        Table("organizations", "organization", ("ID",)),
+        Table("providers", "provider", ("ID",)),
+        Table("claims", "claim", ("ID",)),
+        Table("claims_transactions", "claim_line", ("ID",)),
+        Table("document_section", "document_section", ("DOCUMENT_ID", "ELEMENT_ID"), multi_line=True),
     )
 }
 
@@ -302,19 +121,14 @@ LINKS = {
     },
     "providers": {"ORGANIZATION": "organizations"},
     "payer_transitions": {"PATIENT": "patients", "PAYER": "payers", "SECONDARY_PAYER": "payers"},
-    **{
-        child: {"PATIENT": "patients", "ENCOUNTER": "encounters"}
-        for child in (
-            "conditions",
-            "medications",
-            "procedures",
-            "allergies",
-            "careplans",
-            "immunizations",
-            "imaging_studies",
-            "devices",
-            "supplies",
-            "observations",
-        )
-    },
+    "conditions": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "medications": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "procedures": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "allergies": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "careplans": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "immunizations": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "imaging_studies": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "devices": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "supplies": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
+    "observations": {"PATIENT": "patients", "ENCOUNTER": "encounters"},
 }

@@ -15,9 +15,10 @@ from citedspark.sources import flat_files as L
 
 NOW = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
 PATIENTS = (
-    "Id,BIRTHDATE,DEATHDATE,SSN,DRIVERS,PASSPORT,FIRST,LAST,GENDER,ADDRESS,CITY,STATE,ZIP,LAT,LON,INCOME\n"
-    'p1,1950-02-28,,999,D,P,"Ann ""A"", B",Bell2,F,"1 Road",Town,State,01234,42.123456789012345,-71.5,100\n'
-    "p2,2023-06-01,2023-07-01,998,,,Cy3,Dee4,M,x,Town,State,00001,1,2,0\n"
+    "Id,BIRTHDATE,DEATHDATE,SSN,DRIVERS,PASSPORT,PREFIX,FIRST,MIDDLE,LAST,SUFFIX,MAIDEN,MARITAL,RACE,ETHNICITY,GENDER,"
+    "BIRTHPLACE,ADDRESS,CITY,STATE,COUNTY,FIPS,ZIP,LAT,LON,HEALTHCARE_EXPENSES,HEALTHCARE_COVERAGE,INCOME\n"
+    'p1,1950-02-28,,999,D,P,,"Ann ""A"", B",,Bell2,,,,r,e,F,b,"1 Road",Town,State,C,,01234,42.123456789012345,-71.5,1.50,2,100\n'
+    "p2,2023-06-01,2023-07-01,998,,,,Cy3,,Dee4,,,,r,e,M,b,x,Town,State,C,,00001,1,2,0,0,0\n"
 )
 
 
@@ -67,7 +68,20 @@ def test_bad_rows_stop_the_load_and_keep_the_old_table(spark, tmp_path, bad):
         L.refresh(L.load_table(spark, good, "supplies", "b", NOW), target)
     with pytest.raises(Exception):
         L.refresh(L.load_table(spark, write(tmp_path, "bad", head + bad), "supplies", "b", NOW), target)
-    assert spark.read.parquet(target).count() == 1
+    assert L.read_table(spark, target).count() == 1
+    more = write(tmp_path, "more", head + "2005-06-18,p,e,c,d,1\n2005-06-19,p,e,c,d,2\n")
+    L.refresh(L.load_table(spark, more, "supplies", "b", NOW), target)
+    assert L.read_table(spark, target).count() == 2
+
+
+@pytest.mark.parametrize(
+    "header", ["DATE,PATIENT,ENCOUNTER,CODE,DESCRIPTION", "DATE,PATIENT,ENCOUNTER,CODE,DESCRIPTION,QUANTITY,LOT",
+               "PATIENT,DATE,ENCOUNTER,CODE,DESCRIPTION,QUANTITY"],
+)
+def test_a_header_that_differs_stops_the_load(spark, tmp_path, header):
+    path = write(tmp_path, "supplies", header + "\n" + ",".join("1" for _ in header.split(",")) + "\n")
+    with pytest.raises(ValueError, match="header"):
+        L.load_table(spark, path, "supplies", "b", NOW)
 
 
 def test_row_numbers_over_split_files(spark, tmp_path):

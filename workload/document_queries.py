@@ -15,32 +15,29 @@ from workload.tables import Source, coded, joined, text
 
 
 def xml_documents(source: Source) -> DataFrame:
-    """One small document per order line and supplier, as (source_file, content).
+    """One small document per order line, part and supplier, as (source_file, content).
 
     Line 7 names another patient than its document; line 6 repeats its element ids.
     """
-    key = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     # A fixed number of partitions: small ones would be merged, but parsing costs more than bytes.
     parts = max(
         int(source.spark.conf.get("spark.sql.shuffle.partitions")), source.spark.sparkContext.defaultParallelism
     )
     lines = (
         source.order_lines()
-        .select(*key, "l_partkey", "o_orderdate", "l_shipdate")
+        .select(*key, "o_orderdate", "l_shipdate")
         .repartition(parts, *key)
         .groupBy(*key)
-        .agg(
-            F.min("l_partkey").alias("l_partkey"),
-            F.min("o_orderdate").alias("o_orderdate"),
-            F.min("l_shipdate").alias("l_shipdate"),
-        )
+        .agg(F.min("o_orderdate").alias("o_orderdate"), F.min("l_shipdate").alias("l_shipdate"))
     )
 
     def digits(column: str, width: int):
         return F.lpad(F.lower(F.hex(column)), width, "0")
 
     uuid = F.concat_ws(
-        "-", digits("l_suppkey", 8), digits("l_linenumber", 4), F.lit("0000"), F.lit("0000"), digits("l_orderkey", 12)
+        "-", digits("l_suppkey", 8), digits("l_linenumber", 4), F.substring(digits("l_partkey", 8), 1, 4),
+        F.substring(digits("l_partkey", 8), 5, 4), digits("l_orderkey", 12),
     )
     role = F.when(F.col("l_linenumber") == 7, joined("x", uuid)).otherwise(uuid)
     part, supplier, other = coded(100000, "l_partkey"), coded(500000, "l_suppkey"), coded(900000, "l_suppkey")
@@ -78,10 +75,11 @@ DOC_VIEWS = {
     "v_doc": """
         SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, o_orderdate, l_shipdate,
                lpad(lower(to_hex(l_suppkey)), 8, '0') || '-' || lpad(lower(to_hex(l_linenumber)), 4, '0')
-               || '-0000-0000-' || lpad(lower(to_hex(l_orderkey)), 12, '0') AS uuid
-        FROM (SELECT l_orderkey, l_linenumber, l_suppkey, MIN(l_partkey) AS l_partkey,
+               || '-' || left(lpad(lower(to_hex(l_partkey)), 8, '0'), 4) || '-' || right(lpad(lower(to_hex(l_partkey)), 8, '0'), 4)
+               || '-' || lpad(lower(to_hex(l_orderkey)), 12, '0') AS uuid
+        FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
                      MIN(o_orderdate) AS o_orderdate, MIN(l_shipdate) AS l_shipdate
-              FROM v_line GROUP BY 1, 2, 3)""",
+              FROM v_line GROUP BY 1, 2, 3, 4)""",
     "v_xml_cell": """
         SELECT uuid AS document_id, CASE WHEN l_linenumber = 7 THEN 'x' || uuid ELSE uuid END AS patient_id,
                c.section_loinc, c.section_title, c.element_id, c."text", c.code, c.code_system, c.element_role,
