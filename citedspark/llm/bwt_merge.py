@@ -5,6 +5,11 @@ its GRAM-byte strings, and equal strings have equal anchors at equal places. A s
 of neighbouring strings with one anchor. Segments whose anchor stands once in the corpus hold no
 repeat; all others are gathered by their anchor, each distinct content once and with its count.
 
+Where very many contents share an anchor, as around a passage that many documents quote, their
+segments are cut further: to STEPS strings at a time, told apart by the bytes that those strings
+have in common, and where that is still too many, to single strings. So no gathering holds more
+than HOT contents of one anchor, and equal strings still meet.
+
 What is repeated. The segments of an anchor range are cut into shards. A shard's suffixes, taken
 in blocks of BLOCK bytes as symbols, are sorted, which gives its transform: before each suffix,
 the symbol that precedes it. The transforms are merged by refining their interleave: from the
@@ -41,6 +46,8 @@ _WINDOW = LENGTH - GRAM + 1
 HELD, HELD_BYTES = 400_000, 8 << 20
 #: Bytes of segments merged together, of a shard, and of text that is cut to segments at a time.
 CHUNK, SHARD, SLICE = 1 << 19, 1 << 17, 1 << 19
+#: Contents of an anchor beyond which its segments are cut, and strings of a cut, level by level.
+HOT, STEPS = 1000, (16, 1)
 #: Ranges of anchors for each partition of the input.
 RANGES = 4
 
@@ -53,7 +60,7 @@ class Segments:
         size = len(data)
         lengths = np.diff(offsets)
         if size < LENGTH or lengths.max(initial=0) < LENGTH:
-            self.first = self.last = np.zeros(0, np.int64)
+            self.first = self.last = self.at = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
             return
         places = np.arange(size - GRAM + 1)
@@ -77,9 +84,27 @@ class Segments:
         closes = valid.copy()
         closes[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         self.first, self.last = np.flatnonzero(begins), np.flatnonzero(closes)
-        self.anchor = grams[at[self.first]]
+        self.at = at[self.first]
+        self.anchor = grams[self.at]
         self.content = range_hashes(self.sums, self.first, self.last + LENGTH)
 
+    def cut(self, which: np.ndarray, step: int) -> Segments:
+        """The given segments cut to `step` strings; a cut's anchor tells apart what its strings share."""
+        first, last, at = self.first[which], self.last[which], self.at[which]
+        high, low = (at - first) // step, (at - last) // step  # a cut is told by its distance from the anchor
+        count = high - low + 1
+        origin = np.repeat(np.arange(len(first)), count)
+        block = high[origin] - (np.arange(len(origin)) - np.repeat(np.cumsum(count) - count, count))
+        out = object.__new__(Segments)
+        out.sums, out.at = self.sums, at[origin]
+        latest = out.at - step * block
+        out.first = np.maximum(first[origin], latest - step + 1)
+        out.last = np.minimum(last[origin], latest)
+        shared = range_hashes(self.sums, latest, latest - step + 1 + LENGTH)
+        out.anchor = mixed(self.anchor[which][origin] + shared + block.astype(np.uint64))
+        out.content = range_hashes(self.sums, out.first, out.last + LENGTH)
+        return out
+
 
 def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -113,7 +138,15 @@ def _grouped(anchor: np.ndarray, content: np.ndarray, n: np.ndarray, tag: np.nda
 _SEEN = ["anchors", "contents", "n", "tags"]
 
 
-def _seen(ranges: int):
+def _at_level(found: Segments, folder: str, ranges: int, level: int) -> Segments:
+    """The segments that are compared at a level: at first all, then cuts of what was too many."""
+    for below in range(level):
+        hot = [entry for _, entry, _ in _looked_up(folder, ranges, f"hot-{below}", found.anchor, found.anchor)]
+        found = found.cut(np.sort(np.concatenate([np.zeros(0, np.int64), *hot])), STEPS[below])
+    return found
+
+
+def _seen(folder: str, ranges: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -124,7 +157,7 @@ def _seen(ranges: int):
 
         for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
-            found = Segments(data, offsets)
+            found = _at_level(Segments(data, offsets), folder, ranges, level)
             if len(found.first):
                 held.append((found.anchor, found.content, np.ones(len(found.first), np.int64), _tags(batch, offsets, found)))
             if sum(len(each[0]) for each in held) >= HELD:
@@ -139,8 +172,11 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _kept(folder: str):
-    """Write the contents of anchors that stand twice or more, with counts and places to read them."""
+def _kept(folder: str, level: int, most: int):
+    """Write the contents of anchors that stand twice or more, with counts and places to read them.
+
+    Anchors of too many contents are written by themselves, for the next level.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -150,14 +186,20 @@ def _kept(folder: str):
         )
         if len(anchor):
             new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            twice = np.repeat(np.add.reduceat(n, new) >= 2, np.diff(np.append(new, len(anchor))))
+            contents = np.diff(np.append(new, len(anchor)))
+            many = (contents > most) & (level < len(STEPS))
+            hot = anchor[new[many]]
+            twice = np.repeat((np.add.reduceat(n, new) >= 2) & ~many, contents)
             content, n, tag = content[twice], n[twice], tag[twice]
             order = np.argsort(content)
             content, n, tag = content[order], n[order], tag[order]
-        shards.write(folder, f"content-{part}", content)
-        shards.write(folder, f"n-{part}", np.minimum(n, 2).astype(np.uint8))
-        shards.write(folder, f"tag-{part}", tag)
-        return pa.table({"part": [part], "contents": [len(content)]})
+        else:
+            hot = anchor
+        shards.write(folder, f"hot-{level}-{part}", hot)
+        shards.write(folder, f"content-{level}-{part}", content)
+        shards.write(folder, f"n-{level}-{part}", np.minimum(n, 2).astype(np.uint8))
+        shards.write(folder, f"tag-{level}-{part}", tag)
+        return pa.table({"part": [part], "hot": [len(hot)]})
 
     return run
 
@@ -184,7 +226,7 @@ def _looked_up(folder: str, ranges: int, table: str, anchor: np.ndarray, content
 _GATHERED = ["anchors", "contents", "sizes", "bytes"]
 
 
-def _gathered(folder: str, ranges: int):
+def _gathered(folder: str, ranges: int, level: int):
     """Each content to be compared, read at one of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +246,10 @@ def _gathered(folder: str, ranges: int):
 
         for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
-            found = Segments(data, offsets)
+            found = _at_level(Segments(data, offsets), folder, ranges, level)
             tags = _tags(batch, offsets, found)
-            for part, entry, place in _looked_up(folder, ranges, "content", found.anchor, found.content):
-                entry = entry[_shard(folder, f"tag-{part}", "<u4")[place] == tags[entry]]
+            for part, entry, place in _looked_up(folder, ranges, f"content-{level}", found.anchor, found.content):
+                entry = entry[_shard(folder, f"tag-{level}-{part}", "<u4")[place] == tags[entry]]
                 if not len(entry):
                     continue
                 first, end = found.first[entry], found.last[entry] + LENGTH
@@ -290,7 +332,7 @@ def merged_intervals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return row[long], group[long]
 
 
-def _compared(folder: str):
+def _compared(folder: str, level: int):
     """Write, for each content of a range, the runs of its strings that stand elsewhere too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -298,7 +340,7 @@ def _compared(folder: str):
         anchor, content = _joined(table, "anchors", np.uint64), _joined(table, "contents", np.uint64)
         sizes = _joined(table, "sizes", np.uint16).astype(np.int64)
         data = _joined(table, "bytes", np.uint8)
-        known, times = _shard(folder, f"content-{part}", "<u8"), _shard(folder, f"n-{part}", "<u1")
+        known, times = _shard(folder, f"content-{level}-{part}", "<u8"), _shard(folder, f"n-{level}-{part}", "<u1")
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((content, anchor))
         if len(order):  # a content that two places sent
@@ -324,16 +366,16 @@ def _compared(folder: str):
             new = np.ones(len(row), bool)
             new[1:] = (np.diff(row) > 1) | (np.diff(segment) > 0)
             starts = np.flatnonzero(new)
-            stops = np.append(starts[1:], len(row)) - 1
+            stops = np.append(starts[1:], len(row))[: len(starts)] - 1
             at = segment[starts]
             found.append((content[own][at], row[starts] - base[at], row[stops] - base[at]))
         key, start, stop = (
             np.concatenate(each) for each in zip(*found, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), strict=True)
         )
         order = np.lexsort((start, key))
-        shards.write(folder, f"repeat-{part}", key[order])
-        shards.write(folder, f"start-{part}", start[order].astype(np.uint16))
-        shards.write(folder, f"stop-{part}", stop[order].astype(np.uint16))
+        shards.write(folder, f"repeat-{level}-{part}", key[order])
+        shards.write(folder, f"start-{level}-{part}", start[order].astype(np.uint16))
+        shards.write(folder, f"stop-{level}-{part}", stop[order].astype(np.uint16))
         return pa.table({"part": [part], "runs": [len(key)]})
 
     return run
@@ -342,20 +384,22 @@ def _compared(folder: str):
 _SCHEMA = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _removed(folder: str, ranges: int):
+def _removed(folder: str, ranges: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             found = Segments(data, offsets)
             depth = np.zeros(len(data) + 1, np.int64)
-            for part, entry, place in _looked_up(folder, ranges, "repeat", found.anchor, found.content):
-                keys = _shard(folder, f"repeat-{part}", "<u8")
-                # `place` is the first run of the content; the others follow it.
-                last = np.searchsorted(keys, found.content[entry], side="right")
-                runs = np.arange(int((last - place).sum())) + np.repeat(place - (np.cumsum(last - place) - (last - place)), last - place)
-                origin = np.repeat(found.first[entry], last - place)
-                np.add.at(depth, origin + _shard(folder, f"start-{part}", "<u2")[runs], 1)
-                np.add.at(depth, origin + _shard(folder, f"stop-{part}", "<u2")[runs] + LENGTH, -1)
+            for level in range(levels):
+                own = _at_level(found, folder, ranges, level)
+                for part, entry, place in _looked_up(folder, ranges, f"repeat-{level}", own.anchor, own.content):
+                    keys = _shard(folder, f"repeat-{level}-{part}", "<u8")
+                    # `place` is the first run of the content; the others follow it.
+                    count = np.searchsorted(keys, own.content[entry], side="right") - place
+                    runs = np.arange(int(count.sum())) + np.repeat(place - (np.cumsum(count) - count), count)
+                    origin = np.repeat(own.first[entry], count)
+                    np.add.at(depth, origin + _shard(folder, f"start-{level}-{part}", "<u2")[runs], 1)
+                    np.add.at(depth, origin + _shard(folder, f"stop-{level}-{part}", "<u2")[runs] + LENGTH, -1)
             covered = np.cumsum(depth[:-1]) > 0
             begins, closes = covered.copy(), covered.copy()
             begins[1:] &= ~covered[:-1]
@@ -392,17 +436,26 @@ def _binaries(names: list[str]) -> str:
     return "part long, " + ", ".join(f"{name} binary" for name in names)
 
 
-def repeats_removed(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the removed spans (bytes, merged) and the bytes kept, for every row."""
+def repeats_removed(documents: DataFrame, hot_contents: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, the removed spans (bytes, merged) and the bytes kept, for every row.
+
+    An anchor of more than `hot_contents` contents is cut; the result does not depend on it.
+    """
     folder = scratch_path(documents.sparkSession, "bwt-merge")
     texts = documents.select("doc_id", whole_text(documents).alias("text"))
     ranges = RANGES * max(1, documents.rdd.getNumPartitions())
-    seen = texts.mapInArrow(_seen(ranges), _binaries(_SEEN))
-    _with_every_range(seen, ranges, _SEEN).groupBy("part").applyInArrow(_kept(folder), "part long, contents long").agg(
-        F.sum("contents")
-    ).collect()
-    gathered = texts.mapInArrow(_gathered(folder, ranges), _binaries(_GATHERED))
-    _with_every_range(gathered, ranges, _GATHERED).groupBy("part").applyInArrow(
-        _compared(folder), "part long, runs long"
-    ).agg(F.sum("runs")).collect()
-    return texts.mapInArrow(_removed(folder, ranges), _SCHEMA)
+    levels = len(STEPS) + 1
+    for level in range(levels):
+        seen = texts.mapInArrow(_seen(folder, ranges, level), _binaries(_SEEN))
+        kept = _with_every_range(seen, ranges, _SEEN).groupBy("part").applyInArrow(
+            _kept(folder, level, hot_contents), "part long, hot long"
+        )
+        hot = kept.agg(F.sum("hot")).first()[0]
+        gathered = texts.mapInArrow(_gathered(folder, ranges, level), _binaries(_GATHERED))
+        _with_every_range(gathered, ranges, _GATHERED).groupBy("part").applyInArrow(
+            _compared(folder, level), "part long, runs long"
+        ).agg(F.sum("runs")).collect()
+        if not hot:
+            levels = level + 1
+            break
+    return texts.mapInArrow(_removed(folder, ranges, levels), _SCHEMA)

@@ -96,10 +96,26 @@ def test_signature_estimates_similarity():
         assert np.isinf(found[1]).all()
 
 
-def test_repeats_removed(documents, empty, texts):
-    raw = [(text or "").encode() for text in texts] + [texts[0].encode()] * 2
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_repeats_removed(documents, empty, texts, hot):
+    _check_repeats(documents, texts, hot)
+    assert bwt_merge.repeats_removed(empty).count() == 0
+
+
+def test_repeats_around_a_common_passage(spark):
+    """Many contents share the anchors of a passage, so they are cut, at last to single strings."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdef ") for _ in range(230))
+    texts = ["".join(rng.choice("xyz ") for _ in range(rng.randint(0, 260))) + passage + "".join(rng.choice("uvw ") for _ in range(150)) for _ in range(400)]
+    texts += [passage[:199], passage[5:] + "q", "z" + passage[20:220]]
+    frame = spark.createDataFrame([(100 + at, text) for at, text in enumerate(texts)], "doc_id long, text string")
+    _check_repeats(frame, texts, 300, extra=0)
+
+
+def _check_repeats(documents, texts, hot, extra=2):
+    raw = [(text or "").encode() for text in texts] + [texts[0].encode()] * extra
     count = collections.Counter(text[at : at + 200] for text in raw for at in range(len(text) - 199))
-    for row in bwt_merge.repeats_removed(documents).collect():
+    for row in bwt_merge.repeats_removed(documents, hot).collect():
         text = (texts[row["doc_id"] - 100] if row["doc_id"] is not None else texts[0]) or ""
         data = text.encode()
         covered = np.zeros(len(data), bool)
@@ -112,7 +128,6 @@ def test_repeats_removed(documents, empty, texts):
         assert row["n_bytes"] == len(data) and (mine == covered).all()
         assert bytes(row["kept"]) == bytes(np.frombuffer(data, np.uint8)[~covered])
         assert len(row["spans"]) == int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum())
-    assert bwt_merge.repeats_removed(empty).count() == 0
 
 
 def test_merged_intervals_over_shards(monkeypatch):
