@@ -85,7 +85,7 @@ class Segments:
         closes[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         self.first, self.last = np.flatnonzero(begins), np.flatnonzero(closes)
         self.at = at[self.first]
-        self.anchor = grams[self.at]
+        self.anchor = mixed(grams[self.at])  # least hashes are small; mixed again they fill all ranges
         self.content = range_hashes(self.sums, self.first, self.last + LENGTH)
 
     def cut(self, which: np.ndarray, step: int) -> Segments:
