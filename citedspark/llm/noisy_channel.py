@@ -39,6 +39,8 @@ SUPPORT, SIGNIFICANT, TELLING = 5, 12.0, 4.5
 BEGINNINGS = (4, 5, 6)
 #: Symbols of the character model: the edge of a word, 26 letters, other bytes folded to 32.
 SYMBOLS = 64
+#: Text bytes that a task takes apart at a time.
+SLICE = 1 << 19
 #: Best states kept at each step of a decoding, and words a task remembers.
 BEAM, REMEMBERED = 8, 200_000
 
@@ -61,7 +63,7 @@ _TRIM[list(b".,;:!?\"'()[]")] = True
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character trigrams of a task's texts; what is no letter is an edge."""
     total = np.zeros(SYMBOLS**3, np.int64)
-    for batch in slices(batches, 0):
+    for batch in slices(batches, 0, SLICE):
         raw, _ = text_bytes(batch.column(0))
         symbol = np.concatenate([[0, 0], _SYMBOL[LOWER[raw]], [0]])
         total += np.bincount((symbol[:-2] * SYMBOLS + symbol[1:-1]) * SYMBOLS + symbol[2:], minlength=SYMBOLS**3)
@@ -215,7 +217,7 @@ def _contexts(model: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             words = RestoredWords(batch.column(1), restorer)
             before = np.concatenate([[np.uint64(0)], words.hashes[:-1]])
             after = np.concatenate([words.hashes[1:], [np.uint64(0)]])
@@ -241,7 +243,7 @@ def _matched(model: np.ndarray, known: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, total, words_seen = Restorer(model), np.zeros(len(known), np.int64), 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             words = RestoredWords(batch.column(1), restorer)
             words_seen += len(words.hashes)
             flat = words.features().reshape(-1)
@@ -323,7 +325,7 @@ _CHANGES = pa.list_(pa.struct([("word", pa.int64()), ("observed", pa.string()),
 def _scored(model: np.ndarray, evidence: Evidence):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             words = RestoredWords(batch.column(1), restorer)
             strongest = np.zeros(batch.num_rows)
             if len(evidence.features) and len(words.hashes):
