@@ -24,7 +24,10 @@ def gate_sql(checks: dict[str, tuple[object, str]]) -> str:
     )
 
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
 
 
 @query(gate_sql({f"raw_{t}_rows": (0, f"SELECT COUNT(*) FROM {t}") for t in TABLES}))
