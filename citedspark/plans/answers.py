@@ -710,7 +710,13 @@ def answered(
     # Only the allergy answer depends on the day in the question.
     day = F.when(F.col("intent") == "allergy_citation", F.col("named_day")).otherwise(F.lit(""))
     found = by_key.withColumnsRenamed({"named_day": "_day"})
-    joined = questions.withColumn("_day", day).join(found, ["intent", MEMBER, "_day"], "left")
+    # Questions about nobody have no answer to meet; joined, they would all share a key.
+    someone = F.col(MEMBER).isNotNull()
+    dated = questions.withColumn("_day", day)
+    joined = (
+        dated.filter(someone).join(found, ["intent", MEMBER, "_day"], "left")
+        .unionByName(dated.filter(~someone), allowMissingColumns=True)
+    )
     if risk_rows is not None:
         risk = risk_answer(risk_rows).withColumnsRenamed(
             {"status": "risk_status", "text": "risk_text", "citations": "risk_citations"}
