@@ -361,7 +361,7 @@ def _compared(folder: str, level: int):
             segment = np.searchsorted(base, row, side="right") - 1
             weight = times[np.searchsorted(known, content[own])].astype(np.int64)
             repeated = np.bincount(group, weights=weight[segment])[group] >= 2
-            row, segment = np.sort(row[repeated]), None
+            row = np.sort(row[repeated])
             segment = np.searchsorted(base, row, side="right") - 1
             new = np.ones(len(row), bool)
             new[1:] = (np.diff(row) > 1) | (np.diff(segment) > 0)
@@ -369,9 +369,8 @@ def _compared(folder: str, level: int):
             stops = np.append(starts[1:], len(row))[: len(starts)] - 1
             at = segment[starts]
             found.append((content[own][at], row[starts] - base[at], row[stops] - base[at]))
-        key, start, stop = (
-            np.concatenate(each) for each in zip(*found, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), strict=True)
-        )
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        key, start, stop = (np.concatenate(each) for each in zip(nothing, *found, strict=True))
         order = np.lexsort((start, key))
         shards.write(folder, f"repeat-{level}-{part}", key[order])
         shards.write(folder, f"start-{level}-{part}", start[order].astype(np.uint16))

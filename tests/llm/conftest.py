@@ -39,8 +39,3 @@ def documents(spark, texts):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-@pytest.fixture(autouse=True)
-def _importable(monkeypatch):
-    """Workers import the package from the repository."""

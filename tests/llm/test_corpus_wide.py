@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,13 +201,12 @@ def test_kneser_ney_probabilities_add_up(spark, texts):
     first = vocabulary[3]
     asked = spark.createDataFrame([(k, f"{first} {word}") for k, word in enumerate([*vocabulary, "unknown"])], "doc_id long, text string")
     prefix = spark.createDataFrame([(0, first)], "doc_id long, text string")
-    table = __import__("pyarrow").table
     scorer = kneser_ney.Scorer(model)
 
     def token_scores(frame):
         out = []
         for row in frame.orderBy("doc_id").collect():
-            batch = table({"doc_id": [row["doc_id"]], "text": [row["text"]]}).to_batches()[0]
+            batch = pa.table({"doc_id": [row["doc_id"]], "text": [row["text"]]}).to_batches()[0]
             tokens, edge = kneser_ney._tokens(batch)
             single = [scorer.scored(tokens[:n], np.array([0, n]))[2][0] for n in range(1, len(tokens) + 1)]
             out.append(np.diff([0.0, *single]))
