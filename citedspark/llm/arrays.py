@@ -117,6 +117,14 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of every run of `size` bytes, equal to those of `range_hashes`."""
+    values = sums[size:] - sums[:-size]
+    values *= _powers(pow(_BASE, -1, 1 << 64), len(values))
+    values += np.uint64(size)
+    return mixed(values)
+
+
 class Words:
     """Words of a slice: byte ranges, document (row in the slice) and hash of each."""
 

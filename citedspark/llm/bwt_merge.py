@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citedspark.llm import shards
-from citedspark.llm.arrays import mixed, prefix_sums, range_hashes, slices, text_bytes, whole_text
+from citedspark.llm.arrays import gram_hashes, mixed, prefix_sums, range_hashes, slices, text_bytes, whole_text
 from citedspark.session import scratch_path
 
 LENGTH, GRAM, BLOCK = 200, 24, 40
@@ -63,9 +63,8 @@ class Segments:
             self.first = self.last = self.at = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
             return
-        places = np.arange(size - GRAM + 1)
-        grams = range_hashes(self.sums, places, places + GRAM)
-        ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
+        grams = gram_hashes(self.sums, GRAM)
+        ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         # Least of every _WINDOW neighbours, from least-so-far runs in both directions of blocks.
         blocks = -(-len(ranked) // _WINDOW)
         padded = np.full(blocks * _WINDOW, np.uint64(2**64 - 1))
@@ -74,16 +73,18 @@ class Segments:
         ahead = np.minimum.accumulate(padded, axis=1).reshape(-1)
         behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         strings = len(ranked) - _WINDOW + 1
-        least = np.minimum(behind[:strings], ahead[_WINDOW - 1 : _WINDOW - 1 + strings])
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = np.minimum(behind[:strings], ahead[_WINDOW - 1 : _WINDOW - 1 + strings])
+        at &= np.uint64(0xFFFFFFFF)
+        at = at.view(np.int64)
         # Strings that lie inside one document.
-        ends = np.repeat(offsets[1:], lengths)[:strings]
-        valid = np.arange(strings) + LENGTH <= ends
-        begins = valid.copy()
-        begins[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
-        closes = valid.copy()
-        closes[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
-        self.first, self.last = np.flatnonzero(begins), np.flatnonzero(closes)
+        valid = np.ones(strings, bool)
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            valid[max(start, end - LENGTH + 1) : end] = False
+        changes = np.flatnonzero((at[1:] != at[:-1]) | (valid[1:] != valid[:-1])) + 1
+        starts = np.concatenate([[0], changes])
+        stops = np.append(changes, strings) - 1
+        inside = valid[starts]
+        self.first, self.last = starts[inside], stops[inside]
         self.at = at[self.first]
         self.anchor = mixed(grams[self.at])  # least hashes are small; mixed again they fill all ranges
         self.content = range_hashes(self.sums, self.first, self.last + LENGTH)
