@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: powers keep all 64 bits apart
 
 
@@ -68,6 +68,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(first, last - first)
             first = last
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,9 +40,9 @@ BEGINNINGS = (4, 5, 6)
 #: Symbols of the character model: the edge of a word, 26 letters, other bytes folded to 32.
 SYMBOLS = 64
 #: Text bytes that a task takes apart at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Best states kept at each step of a decoding, and words a task remembers.
-BEAM, REMEMBERED = 8, 200_000
+BEAM, REMEMBERED = 8, 50_000
 
 # The letters that a sign or digit can stand for.
 RESEMBLES = {
