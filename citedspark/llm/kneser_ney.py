@@ -1,17 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and mapped by workers.
-
-Counting. Words are 64-bit hashes; each task sends the distinct words, then the distinct
-bigrams, of its texts as packed arrays with counts, dealt to ranges of the first word's hash.
-A word with more than a quarter of a range's share of all tokens is dealt by the whole bigram
-instead, so no range gathers the followers of a frequent word. A range sorts and sums its arrays
-and writes them as sorted hash arrays to the shared folder: words with their counts, numbers of
-left neighbours and of followers seen once, twice or more; bigrams with their counts.
-
-Scoring. Workers map the arrays into memory and look up each token and bigram of a text by
-binary search. With c, N and D the counts, left-neighbour counts and discounts,
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and mapped by workers.
+
+Counting. Words are 64-bit hashes; each task sends the distinct words, then the distinct n-grams
+of the order, of its texts as packed arrays with counts, dealt to ranges of the hash of their
+shortest beginning that holds a word of no great frequency: mostly the first word. A word with
+more than a quarter of a range's share of all tokens is frequent, so no range gathers the
+followers of frequent words. A range sorts and sums its arrays and writes them as sorted hash
+arrays to the shared folder: n-grams with their counts, and their contexts with the sum of the
+counts and the numbers of followers seen once, twice or more. It sends on the n-grams without
+their first word, each with its number of left neighbours, as the counts of the order below; an
+n-gram at the beginning of a text has no left neighbour and keeps its own count there. What was
+seen once is written as a bare hash.
+
+Scoring. Workers map the arrays into memory and look up each token, n-gram and context of a text
+by binary search. With a, A and D the counts of an order, their sum over a context and discounts,
 
     p(v)     = (N(v) - D(N(v))) / sum N + lambda / (V + 1)
-    p(v | u) = (c(uv) - D(c(uv))) / c(u) + gamma(u) p(v)
+    p(v | h) = (a(hv) - D(a(hv))) / A(h) + gamma(h) p(v | h without its first word)
+
+where a is the count in the highest order, and the number of left neighbours N below it. A token
+near the beginning of its text has as much context as there is.
 
 The arrays grow with the corpus; what reaches the driver is a few numbers a range and the
 frequent words (at most four a range).
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 
 from citedspark.llm import shards
 from citedspark.llm.arrays import NOT_BLANK, Words, mixed, slices, whole_text
-from citedspark.session import scratch_path, staged
+from citedspark.session import scratch_path
 
 #: Hashes of the end of a text, and of the place before its first word.
 END, START = np.uint64(0xE5D0E5D0E5D0E5D0), np.uint64(0x57A757A757A757A7)
@@ -57,24 +64,36 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-def _before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    previous = np.concatenate([[START], tokens[:-1]])
-    previous[first[:-1]] = START
-    return previous
+def _grams(tokens: np.ndarray, first: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(words of the n-gram that ends at each place that has one, those places)."""
+    inside = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    places = np.flatnonzero(inside >= size - 2)
+    words = [tokens[np.maximum(places - back, 0)] for back in range(size - 1, -1, -1)]
+    words[0] = np.where(inside[places] == size - 2, START, words[0])
+    return [word >> _SHORT for word in words], places
+
+
+def _is_in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _keys(u: np.ndarray, v: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sortable bigram hashes, and whether the first word is a frequent one.
+def _keys(words: list[np.ndarray], frequent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sortable hashes of each beginning of n-grams, and whether all words but the last are frequent.
 
-    Words are given by 48 bits. The top bits of a hash are the first word's, or the pair's own
-    if that word is frequent.
+    Words are given by 48 bits. The top bits of a hash place it: they are those of the shortest
+    beginning that holds a word that is not frequent, or of the whole if all words are.
     """
-    pair = mixed(u * np.uint64(0xD6E8FEB86659FD93) + mixed(v))
-    often = np.zeros(len(u), bool)
-    if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
-    top = np.where(often, mixed(pair), u << _SHORT)
-    return (top & _TOP) | (pair & ~_TOP), often
+    keys, chain, top = [words[0] << _SHORT], mixed(words[0]), words[0] << _SHORT
+    often, spread = _is_in(frequent, words[0]), np.zeros(len(words[0]), bool)
+    for word in words[1:]:
+        chain = mixed(chain * np.uint64(0xD6E8FEB86659FD93) + mixed(word))
+        spread = often
+        top = np.where(spread, mixed(chain), top)
+        keys.append((top & _TOP) | (chain & ~_TOP))
+        often = spread & _is_in(frequent, word)
+    return keys, spread
 
 
 def _packed(short: np.ndarray) -> list[np.ndarray]:
@@ -145,82 +164,154 @@ def _words_kept(folder: str, ranges: int):
     return run
 
 
-def _unpacked(table: pa.Table, low: str, high: str) -> np.ndarray:
-    return _joined(table, low, np.uint32).astype(np.uint64) | (_joined(table, high, np.uint16).astype(np.uint64) << np.uint64(32))
+#: A row is: n-grams of `level` words with counts n; or contexts of that many words with their
+#: stats; or, with part -1, what a range has `seen` of the level.
+_GRAM_SCHEMA = "level int, part long, low binary, high binary, n binary, stats binary, seen array<long>"
+_GRAM_TYPES = pa.schema(
+    [
+        ("level", pa.int32()), ("part", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary()),
+        ("stats", pa.binary()), ("seen", pa.list_(pa.int64())),
+    ]
+)
+
+
+def _rows(ranges: int, words: list[np.ndarray], keys: np.ndarray, n: np.ndarray, stats: np.ndarray | None = None) -> pa.Table:
+    """Rows for the ranges of the keys, which are in order."""
+    edges = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+    parts = np.flatnonzero(np.diff(edges)).tolist()
+    sides = [[], []]
+    for part in parts:
+        split = [_packed(word[edges[part] : edges[part + 1]]) for word in words]
+        for k in (0, 1):
+            sides[k].append(b"".join(each[k].tobytes() for each in split))
+    cut = lambda array: [array[edges[part] : edges[part + 1]].tobytes() for part in parts]
+    columns = [
+        [len(words)] * len(parts), parts, *sides, cut(n.astype(np.uint32)),
+        [b""] * len(parts) if stats is None else cut(stats), [None] * len(parts),
+    ]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _GRAM_TYPES.types, strict=True)], schema=_GRAM_TYPES)
+
+
+def _seen_row(level: int, counts: np.ndarray) -> pa.Table:
+    seen = [int((counts == step).sum()) for step in (1, 2, 3, 4)] + [int((counts > 0).sum())]
+    return pa.Table.from_pylist(
+        [{"level": level, "part": -1, "low": b"", "high": b"", "n": b"", "stats": b"", "seen": seen}], _GRAM_TYPES
+    )
+
+
+def _unpacked(table: pa.Table, level: int) -> list[np.ndarray]:
+    """The words of a table's rows."""
+    rows = []
+    for low, high in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True):
+        value = np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+        rows.append(value.reshape(level, -1))
+    return list(np.concatenate([np.zeros((level, 0), np.uint64), *rows], axis=1))
+
 
+def _write_known(folder: str, name: str, part: int, keys: np.ndarray, values: np.ndarray, once: tuple[int, ...]) -> None:
+    """Write keys in order with their rows of values; those with the values `once` as bare keys."""
+    bare = (values == np.array(once)).all(axis=1)
+    shards.write(folder, f"{name}-once-{part}", keys[bare])
+    shards.write(folder, f"{name}-more-{part}", keys[~bare])
+    shards.write(folder, f"{name}-values-{part}", values[~bare].astype(np.uint32))
+
+
+def _grams_sent(ranges: int, order: int, frequent: np.ndarray):
+    """The n-grams of the order; and shorter ones at the beginning of a text, which have no left neighbour."""
 
-def _bigrams_sent(ranges: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[list[np.ndarray]]] = {size: [] for size in range(2, order + 1)}
 
-        def flush() -> pa.RecordBatch:
-            u, v = (np.concatenate(side) >> _SHORT for side in zip(*held, strict=True))
-            held.clear()
-            keys, counts, at = _summed(_keys(u, v, frequent)[0], np.ones(len(u), np.int64))
-            arrays = [*_packed(u[at]), *_packed(v[at]), counts.astype(np.uint32)]
-            return _dealt(ranges, _range_of(keys, ranges), arrays, ["u0", "u1", "v0", "v1", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for size, parts in held.items():
+                words = [np.concatenate(side) for side in zip(*parts, strict=True)]
+                parts.clear()
+                keys, counts, at = _summed(_keys(words, frequent)[0][-1], np.ones(len(words[0]), np.int64))
+                yield from _rows(ranges, [word[at] for word in words], keys, counts).to_batches()
 
+        total = 0
         for batch in slices(batches, 1):
             tokens, first = _tokens(batch)
-            held.append((_before(tokens, first), tokens))
-            if sum(len(each) for _, each in held) >= HELD:
-                yield flush()
-        if held:
-            yield flush()
+            for size in held:
+                words, _ = _grams(tokens, first, size)
+                if size < order:
+                    begins = words[0] == START >> _SHORT
+                    words = [word[begins] for word in words]
+                held[size].append(words)
+            total += len(tokens)
+            if total >= HELD:
+                yield from flush()
+                total = 0
+        if total:
+            yield from flush()
 
     return run
 
 
-_BIGRAM_SCHEMA = "part long, v0 binary, v1 binary, n binary, seen array<long>, followers array<long>"
-
-
-def _bigrams_kept(folder: str, ranges: int, frequent: np.ndarray):
-    """Write a range's bigrams and the follower counts of its words; send on left neighbours."""
+def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int):
+    """Write a range's n-grams of a level and their contexts; send on what the lower levels count."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        u, v = _unpacked(table, "u0", "u1"), _unpacked(table, "v0", "v1")
-        keys, often = _keys(u, v, frequent)
-        keys, counts, at = _summed(keys, _joined(table, "n", np.uint32).astype(np.int64))
-        u, v, often = u[at], v[at], often[at]
-        shards.write(folder, f"bigrams-{part}", keys)
-        shards.write(folder, f"times-{part}", counts.astype(np.uint32))
-        words = shards.mapped(folder, f"words-{part}", "<u8") >> _SHORT
-        level = np.minimum(counts, 3)
-        followers: list[int] = []
-        for step, name in enumerate(("ones", "twos", "more"), 1):
-            own = u[(level == step) & ~often]
-            place = np.searchsorted(words, own)
-            shards.write(folder, f"{name}-{part}", np.bincount(place, minlength=len(words)).astype(np.uint32))
-            which, n = np.unique(u[(level == step) & often], return_counts=True)
-            for word, times in zip(which.tolist(), n.tolist(), strict=True):
-                followers += [word, step, times]
-        seen = [int((counts == step).sum()) for step in (1, 2, 3, 4)] + [len(counts)]
-        word, n = np.unique(v, return_counts=True)
-        sent = _dealt(ranges, _range_of(word << _SHORT, ranges), [*_packed(word), n.astype(np.uint32)], ["v0", "v1", "n"])
-        rows = sent.num_rows
-        empty = pa.nulls(1, pa.binary())
-        lists = pa.list_(pa.int64())
-        return pa.table(
-            {
-                "part": pa.concat_arrays([sent.column(0).cast(pa.int64()), pa.array([-1], pa.int64())]),
-                **{name: pa.concat_arrays([sent.column(k), empty]) for k, name in enumerate(("v0", "v1", "n"), 1)},
-                "seen": pa.concat_arrays([pa.nulls(rows, lists), pa.array([seen], lists)]),
-                "followers": pa.concat_arrays([pa.nulls(rows, lists), pa.array([followers], lists)]),
-            }
-        )
+        if part < 0:
+            return table.cast(_GRAM_TYPES)
+        of = table.column("level").to_numpy()
+        passed = table.filter(pa.array(of < level)).cast(_GRAM_TYPES)
+        table = table.filter(pa.array(of == level))
+        stats = np.frombuffer(b"".join(table.column("stats").to_pylist()), np.int64).reshape(-1, 4)
+        filled = np.array([len(value) > 0 for value in table.column("stats").to_pylist()], bool)
+        _write_spread(folder, level + 1, part, _unpacked(table.filter(pa.array(filled)), level), stats, frequent)
+        table = table.filter(pa.array(~filled))
+        words, n = _unpacked(table, level), _joined(table, "n", np.uint32).astype(np.int64)
+        keys, spread = _keys(words, frequent)
+        context = keys[-2]
+        known, counts, at = _summed(keys[-1], n)
+        words, context, spread = [word[at] for word in words], context[at], spread[at]
+        _write_known(folder, f"grams{level}", part, known, counts[:, None], (1,))
+        out = [passed, _seen_row(level, counts)]
+        for own in (~spread, spread):
+            at_context, place, of_context = np.unique(context[own], return_index=True, return_inverse=True)
+            found = np.zeros((len(at_context), 4), np.int64)
+            np.add.at(found[:, 0], of_context, counts[own])
+            np.add.at(found, (of_context, np.minimum(counts[own], 3)), 1)
+            if own is spread:
+                first = [word[own][place] for word in words[:-1]]
+                out.append(_rows(ranges, first, at_context, np.zeros(len(at_context)), found))
+            else:
+                _write_known(folder, f"contexts{level}", part, at_context, found, (1, 1, 0, 0))
+        shorter = words[1:]
+        suffix, lefts, at = _summed(_keys(shorter, frequent)[0][-1], np.ones(len(known), np.int64))
+        out.append(_rows(ranges, [word[at] for word in shorter], suffix, lefts))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _lefts_kept(folder: str):
+def _write_spread(folder: str, level: int, part: int, words: list[np.ndarray], stats: np.ndarray, frequent: np.ndarray) -> None:
+    """Contexts of frequent words only, whose n-grams lie in several ranges: their stats summed."""
+    keys, of_key = np.unique(_keys(words, frequent)[0][-1], return_inverse=True)
+    found = np.zeros((len(keys), 4), np.int64)
+    np.add.at(found, of_key, stats)
+    shards.write(folder, f"spread{level}-{part}", keys)
+    shards.write(folder, f"spreadvalues{level}-{part}", found)
+
+
+def _words_left(folder: str, frequent: np.ndarray):
+    """Write how many left neighbours each word has."""
+
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        if part < 0:
+            return table.cast(_GRAM_TYPES)
+        stats = np.frombuffer(b"".join(table.column("stats").to_pylist()), np.int64).reshape(-1, 4)
+        filled = np.array([len(value) > 0 for value in table.column("stats").to_pylist()], bool)
+        _write_spread(folder, 2, part, _unpacked(table.filter(pa.array(filled)), 1), stats, frequent)
+        table = table.filter(pa.array(~filled))
         words = shards.mapped(folder, f"words-{part}", "<u8") >> _SHORT
-        place = np.searchsorted(words, _unpacked(table, "v0", "v1"))
+        place = np.searchsorted(words, _unpacked(table, 1)[0])
         lefts = np.bincount(place, weights=_joined(table, "n", np.uint32), minlength=len(words)).astype(np.uint32)
         shards.write(folder, f"lefts-{part}", lefts)
-        return pa.table({"part": [part], "seen": [[int((lefts == step).sum()) for step in (1, 2, 3, 4)] + [int((lefts > 0).sum())]]})
+        return _seen_row(1, lefts)
 
     return run
 
@@ -238,14 +329,13 @@ def discounts(seen: list[int]) -> np.ndarray:
 class Model:
     """Where the arrays are, and the few numbers that hold for all of them."""
 
-    def __init__(self, folder: str, ranges: int, frequent: np.ndarray, followers: np.ndarray, tokens: int, distinct: int,
-                 of_bigrams: list[int], of_lefts: list[int]) -> None:
-        self.folder, self.ranges, self.tokens, self.distinct = folder, ranges, tokens, distinct
-        self.frequent, self.followers = frequent, followers
-        self.bigram_discount, self.left_discount = discounts(of_bigrams), discounts(of_lefts)
-        self.pairs = of_bigrams[4]
-        spent = self.left_discount[1] * of_lefts[0] + self.left_discount[2] * of_lefts[1]
-        spent += self.left_discount[3] * (of_lefts[4] - of_lefts[0] - of_lefts[1])
+    def __init__(self, folder: str, ranges: int, frequent: np.ndarray, tokens: int, distinct: int, seen: list[list[int]]) -> None:
+        self.folder, self.ranges, self.tokens, self.distinct, self.frequent = folder, ranges, tokens, distinct, frequent
+        #: Of the orders 1, 2 and so on.
+        self.discounts = [discounts(own) for own in seen]
+        self.order, of_lefts, discount = len(seen), seen[0], self.discounts[0]
+        self.pairs = seen[1][4]
+        spent = discount[1] * of_lefts[0] + discount[2] * of_lefts[1] + discount[3] * (of_lefts[4] - of_lefts[0] - of_lefts[1])
         self.uniform = (spent / self.pairs if self.pairs else 1.0) / (distinct + 1)
 
 
@@ -257,59 +347,63 @@ def _shard(folder: str, name: str, kind: str) -> np.ndarray:
 class Scorer:
     """Lookups in the mapped arrays."""
 
-    NAMES = ("counts", "lefts", "ones", "twos", "more")
-
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def _found(self, keys: np.ndarray, table: str, columns: tuple[tuple[str, str], ...]) -> np.ndarray:
-        """A row of the columns for each key; zeros for a key that is not there."""
+    def _found(self, keys: np.ndarray, width: int, tables: list[tuple[str, list[tuple[str, str]], tuple[int, ...]]]) -> np.ndarray:
+        """A row of values for each key, from the tables (name, columns, values without columns); else zeros."""
         order = np.argsort(keys)
         ordered = keys[order]
-        out = np.zeros((len(keys), len(columns)), np.int64)
+        out = np.zeros((len(keys), width), np.int64)
         part = _range_of(ordered, self.model.ranges)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             number = int(part[a])
-            known = _shard(self.model.folder, f"{table}-{number}", "<u8")
-            if not len(known):
-                continue
-            place = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
-            own = known[place] == ordered[a:b]
-            for column, (name, kind) in enumerate(columns):
-                values = _shard(self.model.folder, f"{name}-{number}", kind)
-                out[order[a:b][own], column] = values[place[own]]
+            for table, columns, fixed in tables:
+                known = _shard(self.model.folder, f"{table}-{number}", "<u8")
+                if not len(known):
+                    continue
+                place = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
+                own = known[place] == ordered[a:b]
+                if not columns:
+                    out[order[a:b][own]] = fixed
+                    continue
+                values = [_shard(self.model.folder, f"{name}-{number}", kind).reshape(len(known), -1)[place[own]] for name, kind in columns]
+                out[order[a:b][own]] = np.concatenate([value.astype(np.int64) for value in values], axis=1)
         return out
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
-        found = self._found(hashes, "words", (("counts", "<i8"), *((name, "<u4") for name in self.NAMES[1:])))
-        frequent = self.model.frequent
-        if len(frequent):
-            short = hashes >> _SHORT
-            at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
-            own = frequent[at] == short
-            found[own, 2:] = self.model.followers[at[own]]
-        return found
+        """Counts and numbers of left neighbours."""
+        return self._found(hashes, 2, [("words", [("counts", "<i8"), ("lefts", "<u4")], ())])
+
+    def _known(self, name: str, keys: np.ndarray, once: tuple[int, ...], spread: list) -> np.ndarray:
+        tables = [(f"{name}-once", [], once), (f"{name}-more", [(f"{name}-values", "<u4")], ()), *spread]
+        distinct, which = np.unique(keys, return_inverse=True)
+        return self._found(distinct, len(once), tables)[which]
 
     def scored(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, log10 probability) of each row."""
         model, rows = self.model, len(first) - 1
-        distinct, which = np.unique(np.append(tokens, START), return_inverse=True)
+        distinct, which = np.unique(tokens, return_inverse=True)
         found = self.words(distinct)
-        v, u = which[:-1], np.concatenate([[which[-1]], which[:-2]])
-        u[first[:-1]] = which[-1]
         base = np.log10((found[:, 0] + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         lefts = found[:, 1]
-        lower = model.uniform + np.maximum(lefts - model.left_discount[np.minimum(lefts, 3)], 0.0) / max(1, model.pairs)
-        gamma = found[:, 2:] @ model.bigram_discount[1:] / np.maximum(found[:, 0], 1)
-        gamma[found[:, 2:].sum(axis=1) == 0] = 1.0
-        short = distinct >> _SHORT
-        keys, _ = _keys(short[u], short[v], model.frequent)
-        times = self._found(keys, "bigrams", (("times", "<u4"),))[:, 0]
-        top = np.maximum(times - model.bigram_discount[np.minimum(times, 3)], 0.0) / np.maximum(found[u, 0], 1)
-        score = np.log10(top + gamma[u] * lower[v])
+        lower = model.uniform + np.maximum(lefts - model.discounts[0][np.minimum(lefts, 3)], 0.0) / max(1, model.pairs)
+        share = lower[which]
+        for level in range(2, model.order + 1):
+            discount = model.discounts[level - 1]
+            words, places = _grams(tokens, first, level)
+            keys, _ = _keys(words, model.frequent)
+            times = self._known(f"grams{level}", keys[-1], (1,), [])[:, 0]
+            spread = [(f"spread{level}", [(f"spreadvalues{level}", "<i8")], ())]
+            stats = self._known(f"contexts{level}", keys[-2], (1, 1, 0, 0), spread)
+            gamma = stats[:, 1:] @ discount[1:] / np.maximum(stats[:, 0], 1)
+            gamma[stats[:, 0] == 0] = 1.0
+            top = np.maximum(times - discount[np.minimum(times, 3)], 0.0) / np.maximum(stats[:, 0], 1)
+            share[places] = top + gamma * share[places]
+        score = np.log10(share)
         row = np.repeat(np.arange(rows), np.diff(first))
-        sums = [np.bincount(row, weights=values, minlength=rows) for values in (found[v, 0] > 0, base[v], score)]
+        sums = [np.bincount(row, weights=values, minlength=rows) for values in (found[which, 0] > 0, base[which], score)]
         return sums[0].astype(np.int64), sums[1], sums[2]
 
 
@@ -321,8 +415,18 @@ def _with_every_range(dealt: DataFrame, ranges: int, names: list[str]) -> DataFr
     return dealt.select("part", *names).union(empty)
 
 
-def trained(documents: DataFrame, folder: str) -> Model:
-    """Count the texts and write the arrays below `folder`."""
+def _with_empty_grams(dealt: DataFrame, ranges: int, level: int) -> DataFrame:
+    empty = dealt.sparkSession.range(ranges).select(
+        F.lit(level).alias("level"), F.col("id").alias("part"), *[F.lit(b"").alias(name) for name in ("low", "high", "n", "stats")],
+        F.lit(None).cast("array<long>").alias("seen"),
+    )
+    return dealt.union(empty)
+
+
+def trained(documents: DataFrame, folder: str, order: int = 2) -> Model:
+    """Count the texts and write the arrays of a model of the order, two or more, below `folder`."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     texts = documents.select("doc_id", whole_text(documents).alias("text"))
     ranges = max(1, documents.rdd.getNumPartitions())
     words = texts.mapInArrow(_words_sent(ranges), "part long, words binary, counts binary")
@@ -335,24 +439,14 @@ def trained(documents: DataFrame, folder: str) -> Model:
     limit = max(1, tokens // (4 * ranges))
     often = [word for row in kept for word, n in zip(row["often"], row["times"], strict=True) if n > limit]
     frequent = np.unique(np.array(often, np.int64).view(np.uint64) >> _SHORT)
-    names = ["u0", "u1", "v0", "v1", "n"]
-    pairs = texts.mapInArrow(_bigrams_sent(ranges, frequent), "part long, " + ", ".join(f"{name} binary" for name in names))
-    written = staged(
-        _with_every_range(pairs, ranges, names).groupBy("part")
-        .applyInArrow(_bigrams_kept(folder, ranges, frequent), _BIGRAM_SCHEMA)
-    )
-    numbers = written.where("part < 0").select("seen", "followers").collect()
-    of_bigrams = np.array([row["seen"] for row in numbers]).sum(axis=0).tolist()
-    followers = np.zeros((len(frequent), 3), np.int64)
-    for row in numbers:
-        for word, step, n in zip(*(row["followers"][k::3] for k in range(3)), strict=True):
-            followers[np.searchsorted(frequent, np.uint64(word)), step - 1] += n
-    lefts = (
-        _with_every_range(written.where("part >= 0"), ranges, ["v0", "v1", "n"]).groupBy("part")
-        .applyInArrow(_lefts_kept(folder), "part long, seen array<long>").collect()
-    )
-    of_lefts = np.array([row["seen"] for row in lefts]).sum(axis=0).tolist()
-    return Model(folder, ranges, frequent, followers, tokens, distinct, of_bigrams, of_lefts)
+    grams = texts.mapInArrow(_grams_sent(ranges, order, frequent), _GRAM_SCHEMA)
+    for level in range(order, 0, -1):
+        keep = _grams_kept(folder, ranges, frequent, level) if level > 1 else _words_left(folder, frequent)
+        grams = _with_empty_grams(grams, ranges, level).groupBy("part").applyInArrow(keep, _GRAM_SCHEMA)
+    seen = np.zeros((order, 5), np.int64)
+    for row in grams.select("level", "seen").collect():
+        seen[row["level"] - 1] += row["seen"]
+    return Model(folder, ranges, frequent, tokens, distinct, seen.tolist())
 
 
 def _scored(model: Model):
@@ -372,13 +466,13 @@ def _scored(model: Model):
     return run
 
 
-def scored(documents: DataFrame, training: Column) -> DataFrame:
+def scored(documents: DataFrame, training: Column, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score, for every row.
 
-    The model learns from the rows where `training` holds; perplexity is 10 ** (-score / n_tokens).
+    The model of the order learns from the rows where `training` holds; perplexity is 10 ** (-score / n_tokens).
     """
     folder = scratch_path(documents.sparkSession, "kneser-ney")
-    model = trained(documents.where(training), folder)
+    model = trained(documents.where(training), folder, order)
     texts = documents.select("doc_id", whole_text(documents).alias("text"))
     return texts.mapInArrow(
         _scored(model),

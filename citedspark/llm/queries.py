@@ -180,10 +180,10 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op8_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
-    """Log-probability of every document under a model of the rows of four of five folds."""
+    """Log-probability of every document under a trigram model of the rows of four of five folds."""
     held_out = F.coalesce(noisy_channel.fold("doc_id") == 1, F.lit(False))
     documents = table(spark, folder, "documents")
-    return kneser_ney.scored(documents, ~held_out).select(
+    return kneser_ney.scored(documents, ~held_out, order=3).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

@@ -193,6 +193,54 @@ def test_kneser_ney(documents, empty, texts):
     assert kneser_ney.scored(empty, training).count() == 0
 
 
+def plain_kneser_ney_of(order, training, asked):
+    """By dictionaries: counts at the top; below, left neighbours, or counts at the beginning of a text."""
+    padded = lambda own: ["<s>", *own]
+    counts = {n: collections.Counter() for n in range(1, order + 1)}
+    for own in training:
+        text = padded(own)
+        counts[order].update(tuple(text[at : at + order]) for at in range(len(text) - order + 1))
+        for n in range(2, min(order, len(text) + 1)):
+            counts[n][tuple(text[:n])] += 1
+    for n in range(order, 1, -1):
+        counts[n - 1].update(gram[1:] for gram in counts[n])
+    vocabulary = {word for own in training for word in own}
+    seen = lambda own: [sum(1 for n in own.values() if n == k) for k in (1, 2, 3, 4)]
+    cut = {n: kneser_ney.discounts(seen(own)) for n, own in counts.items()}
+    totals, spent = collections.Counter(), collections.Counter()
+    for n, own in counts.items():
+        for gram, times in own.items():
+            totals[n, gram[:-1]] += times
+            spent[n, gram[:-1]] += cut[n][min(times, 3)]
+    def chance(context, word):
+        if not context:
+            rest = spent[1, ()] / totals[1, ()] / (len(vocabulary) + 1)
+            return rest + max(counts[1][word,] - cut[1][min(counts[1][word,], 3)], 0) / totals[1, ()]
+        n = len(context) + 1
+        if not totals[n, context]:
+            return chance(context[1:], word)
+        times = counts[n][*context, word]
+        own = max(times - cut[n][min(times, 3)], 0)
+        return (own + spent[n, context] * chance(context[1:], word)) / totals[n, context]
+    return [
+        sum(math.log10(chance(tuple(padded(own)[max(0, at + 2 - order) : at + 1]), word)) for at, word in enumerate(own)) for own in asked
+    ]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_of_an_order(spark, documents, texts, order):
+    rng = random.Random(order)
+    extra = [(1000 + k, " ".join(rng.choice(["the", "of", "a", "x", "y"]) for _ in range(30))) for k in range(40)]
+    frame = documents.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(4)
+    rows = [(row["doc_id"], [*words(row["text"]), None]) for row in frame.collect()]
+    expected = plain_kneser_ney_of(order, [own for i, own in rows if i is None or i % 5 != 1], [own for _, own in rows])
+    wanted = {i: score for (i, _), score in zip(rows, expected, strict=True)}
+    found = kneser_ney.scored(frame, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True)), order).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        assert row["score"] == pytest.approx(wanted[row["doc_id"]])
+
+
 def test_kneser_ney_probabilities_add_up(spark, texts):
     """Over all words and an unknown one, the model's probabilities after a word sum to one."""
     frame = spark.createDataFrame([(k, text) for k, text in enumerate(texts[:6])], "doc_id long, text string")
