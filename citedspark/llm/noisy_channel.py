@@ -6,6 +6,11 @@ form a lattice (a run may stand for one or two letters, a sign for the letters i
 for nothing), and Viterbi decoding finds the likeliest letters under a trigram model of
 characters that is counted over all documents. What is scored is the restored text.
 
+Beside it stand further readings, which are scored as well and take nothing away: of words of
+signs and digits alone, of words with a doubled letter, which may stand for one, and of
+neighbouring words of one or two characters. These form one lattice, in which each space is a
+boundary of words or nothing; the likeliest path and the likeliest without boundaries are read.
+
 Evidence is learnt from labelled rows: a word or its beginning (4 to 6 bytes) counts as often as
 it has distinct neighbours on either side in toxic texts, so that copies of a text add nothing,
 and is kept if a likelihood-ratio test finds it significantly more frequent there than in clean
@@ -92,12 +97,19 @@ class Restorer:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[tuple[bytes, bool], bytes] = {}
+        self.known_runs: dict[bytes, list[tuple[int, int, bytes]]] = {}
+        self.rows: dict[tuple[int, int], list[float]] = {}
+
+    def _choices(self, byte: int, length: int, loose: bool) -> list[tuple[bytes, float]]:
+        """What a run of one byte can stand for, with the log-probability of the channel.
 
-    def _choices(self, byte: int, length: int) -> list[tuple[bytes, float]]:
-        """What a run of one byte can stand for, with the log-probability of the channel."""
+        A doubled letter can stand for one if `loose`; not a byte of a longer character.
+        """
         own = bytes([byte])
         if _LETTER[byte]:
+            if length == 2 and loose and byte < 0x80:
+                return [(own * 2, -0.5), (own, -1.0)]
             if length < 3:
                 return [(own * length, 0.0)]
             return [(own, -1.0), (own * 2, -1.5)]
@@ -109,9 +121,9 @@ class Restorer:
                 found.append((bytes([letter]) * 2, -2.0 - math.log(len(letters))))
         return found
 
-    def restored(self, word: bytes) -> bytes:
+    def restored(self, word: bytes, loose: bool = False) -> bytes:
         """The likeliest letters behind a lower-cased word."""
-        known = self.known.get(word)
+        known = self.known.get((word, loose))
         if known is not None:
             return known
         states: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
@@ -121,7 +133,7 @@ class Restorer:
             while after < len(word) and word[after] == word[place]:
                 after += 1
             following: dict[tuple[int, int], tuple[float, bytes]] = {}
-            for letters, cost in self._choices(word[place], after - place):
+            for letters, cost in self._choices(word[place], after - place, loose):
                 for (a, b), (score, text) in states.items():
                     total = score + cost
                     for letter in letters:
@@ -137,9 +149,73 @@ class Restorer:
         text = min(ends, key=lambda end: (-end[0], end[1]))[1]
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[word] = text
+        self.known[word, loose] = text
         return text
 
+    def _after(self, a: int, b: int) -> list[float]:
+        """The model's row after two symbols."""
+        row = self.rows.get((a, b))
+        if row is None:
+            row = self.rows[a, b] = self.model[a, b].tolist()
+        return row
+
+    def _path(self, words: list[bytes], boundaries: bool) -> list[tuple[int, int, bytes]]:
+        """(first word, words, letters) of the likeliest path through the lattice of neighbouring words."""
+        steps: list[list[tuple[bytes, float]]] = []
+        for number, word in enumerate(words):
+            if number:
+                steps.append([(b"\0", -0.7), (b" ", -0.7)] if boundaries else [(b"\0", 0.0)])
+            place = 0
+            while place < len(word):
+                after = place
+                while after < len(word) and word[after] == word[place]:
+                    after += 1
+                choices = self._choices(word[place], after - place, True)
+                if not place and number and word[0] == words[number - 1][-1] and word[0] < 0x80 and _LETTER[word[0]]:
+                    choices = [*choices, (b"", -1.5)]  # a letter doubled over a space
+                steps.append(choices)
+                place = after
+        # A state is the last two symbols; its path is linked backwards.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for choices in steps:
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (x, y), (score, path) in states.items():
+                for letters, cost in choices:
+                    a, b, total = x, y, score + cost
+                    if letters != b"\0":
+                        for letter in letters:
+                            symbol = int(_SYMBOL[letter])
+                            total += self._after(a, b)[symbol]
+                            a, b = b, symbol
+                    best = following.get((a, b))
+                    if best is None or total > best[0]:
+                        following[a, b] = (total, (path, letters))
+            states = following
+        path = max(states.items(), key=lambda state: state[1][0] + self._after(*state[0])[0])[1][1]
+        pieces: list[bytes] = []
+        while path is not None:
+            path, letters = path
+            pieces.append(letters)
+        found, first = [], 0
+        for part in b"".join(reversed(pieces)).split(b" "):
+            count = part.count(b"\0") + 1
+            found.append((first, count, part.replace(b"\0", b"")))
+            first += count
+        return found
+
+    def readings(self, words: list[bytes]) -> list[tuple[int, int, bytes]]:
+        """(first word, words, letters) of words that neighbouring short words may spell together."""
+        key = b" ".join(words)
+        known = self.known_runs.get(key)
+        if known is None:
+            both = dict.fromkeys([*self._path(words, True), *self._path(words, False)])
+            known = [reading for reading in both if reading[1] > 1 and reading[2]]
+            if len(key) <= 64:
+                if len(self.known_runs) >= REMEMBERED:
+                    self.known_runs.clear()
+                self.known_runs[key] = known
+        return known
+
 
 class RestoredWords:
     """The words of a slice after restoration: hashes of words and beginnings, and their rows."""
@@ -206,10 +282,59 @@ class RestoredWords:
                 for (place, word), text in zip(found, texts, strict=True)
                 if word != text
             ]
+        base = {place: text for (place, _), text in zip(found, texts, strict=True)}
+        self._read(raw, starts, ends, restorer, base, letters, marks)
+
+    def _read(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, restorer: Restorer, base: dict[int, bytes], letters: np.ndarray, marks: np.ndarray) -> None:
+        """Further readings: their hashes, rows and neighbours."""
+        data = np.frombuffer(raw, np.uint8)
+        doubled = np.zeros(len(data) + 1, np.int64)
+        if len(data) > 1:
+            np.cumsum((data[1:] == data[:-1]) & _LETTER[data[1:]] & (data[1:] < 0x80), out=doubled[2:])
+        twice = doubled[ends] > doubled[np.minimum(starts + 1, ends)]
+        signs = (letters[ends] == letters[starts]) & (marks[ends] > marks[starts])
+        read: list[tuple[int, int, bytes, bytes]] = []  # (first word, words, observed, text)
+        for at in np.flatnonzero(twice | signs).tolist():
+            word = raw[starts[at] : ends[at]]
+            text = restorer.restored(word, True)
+            if text and text != word and text != base.get(at):
+                read.append((at, 1, word, text))
+        sizes = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        short = sizes[ends] - sizes[starts] <= 2
+        near = np.flatnonzero(short[1:] & short[:-1] & (self.row[1:] == self.row[:-1]))
+        cut = np.flatnonzero(np.diff(near) > 1) + 1
+        firsts, lasts = (near[np.concatenate([[0], cut])], near[np.append(cut - 1, len(near) - 1)] + 2) if len(near) else (near, near)
+        begin, end = starts.tolist() if len(near) else [], ends.tolist() if len(near) else []
+        for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
+            words = [raw[begin[at] : end[at]] for at in range(a, b)]
+            for first, count, text in restorer.readings(words):
+                if text != base.get(a + first):
+                    read.append((a + first, count, b" ".join(words[first : first + count]), text))
+        place = np.array([at for at, *_ in read], np.int64)
+        after = place + np.array([count for _, count, *_ in read], np.int64)
+        joined = np.frombuffer(b"".join(text for *_, text in read), np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(text) for *_, text in read])]).astype(np.int64)
+        own = prefix_sums(joined)
+        hashes = range_hashes(own, edges[:-1], edges[1:])
+        beginnings = np.zeros((len(read), len(BEGINNINGS)), np.uint64)
+        for column, size in enumerate(BEGINNINGS):
+            enough = np.flatnonzero(np.diff(edges) > size)
+            beginnings[enough, column] = mixed(range_hashes(own, edges[enough], edges[enough] + size) + np.uint64(size))
+        beside = np.concatenate([[np.uint64(0)], self.hashes, [np.uint64(0)]])
+        #: Of the words and then of the further readings: rows, and hashes of the words on either side.
+        self.rows = np.concatenate([self.row, self.row[place]])
+        self.before = np.concatenate([beside[:-2], beside[place]])
+        self.after = np.concatenate([beside[2:], beside[after + 1]])
+        self._features = np.concatenate(
+            [np.concatenate([self.hashes, hashes])[:, None], np.concatenate([self.beginnings, beginnings])], axis=1
+        )
+        self.changes += [
+            (int(self.row[at]), int(at - self.first[self.row[at]]), observed, text) for at, _, observed, text in read
+        ]
 
     def features(self) -> np.ndarray:
-        """words x (word, beginnings) hashes; 0 where a word is too short."""
-        return np.concatenate([self.hashes[:, None], self.beginnings], axis=1)
+        """words and readings x (word, beginnings) hashes; 0 where a word is too short."""
+        return self._features
 
 
 def _contexts(model: np.ndarray):
@@ -219,12 +344,10 @@ def _contexts(model: np.ndarray):
         restorer = Restorer(model)
         for batch in slices(batches, 1, SLICE):
             words = RestoredWords(batch.column(1), restorer)
-            before = np.concatenate([[np.uint64(0)], words.hashes[:-1]])
-            after = np.concatenate([words.hashes[1:], [np.uint64(0)]])
             features = words.features()
             flat = features.reshape(-1)
             on = flat != 0
-            for side, near in enumerate((before, after)):
+            for side, near in enumerate((words.before, words.after)):
                 context = np.broadcast_to(near[:, None], features.shape).reshape(-1)
                 pairs = np.unique(np.stack([flat[on], context[on]], axis=1), axis=0) if on.any() else np.zeros((0, 2), np.uint64)
                 yield pa.record_batch(
@@ -332,7 +455,7 @@ def _scored(model: np.ndarray, evidence: Evidence):
                 features = words.features()
                 at = np.minimum(np.searchsorted(evidence.features, features), len(evidence.features) - 1)
                 own = np.where(evidence.features[at] == features, evidence.weights[at], 0.0).max(axis=1)
-                np.maximum.at(strongest, words.row, own)
+                np.maximum.at(strongest, words.rows, own)
             score = 1.0 / (1.0 + np.exp(-(evidence.prior + strongest)))
             changes: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for row, word, observed, restored in words.changes:

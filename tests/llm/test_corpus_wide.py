@@ -338,3 +338,43 @@ def test_warc_derivatives(spark):
     about = next(bytes(row["block"]).decode() for row in rows if row["page_id"] == 1 and row["kind"] == "metadata")
     assert "http-header: Content-Type: text/html; charset=utf-8" in about and "payload-digest-agrees: true" in about
     assert warc.derived(records.where("page_id > 99")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [
+        ("i d 1 o t", "idiot"), ("1 d ! o t", "idiot"), ("v 1 l e", "vile"), ("v - i - l - e", "vile"), ("v i i l e", "vile"),
+        ("a v i l e person", "vile"), ("$#1+", "shit"), ("455", "ass"), ("viile", "vile"), ("na st y", "nasty"), ("n a st y", "nasty"),
+        ("na s7 y", "nasty"), ("$ h 1 +", "shit"), ("\u00e9 v i l", "\u00e9vil"),
+    ],
+)
+def test_readings_of_mixed_forms(spark, written, meant):
+    """Words of signs, spelled words with signs, doubled letters and fragments are read, with their boundaries."""
+    rng = random.Random(4)
+    plain = ["a", "person", "the", "of", "is", "garden", "vile", "idiot", "nasty", "shit", "assume", "ass", "hit", "list", "evil", "\u00e9vil"]
+    corpus = [(k, " ".join(rng.choice(plain) for _ in range(40))) for k in range(60)]
+    model = noisy_channel.character_model(spark.createDataFrame(corpus, "doc_id long, text string"))
+    for text in (written, f"the garden {written} garden", f"{written}. garden"):
+        found = noisy_channel.RestoredWords(pa.array([text, meant]), noisy_channel.Restorer(model))
+        own = set(found.features()[found.rows == 0, 0].tolist())
+        assert set(found.features()[found.rows == 1, 0].tolist()) <= own
+
+
+def test_toxicity_of_mixed_forms(spark):
+    rng = random.Random(6)
+    clean = ["garden", "river", "the", "of", "letter", "window", "music", "paper", "stone", "and", "a", "road"]
+    clean += [f"{a}{b}" for a in ("gar", "riv", "let", "win", "mus") for b in ("den", "er", "ter", "dow", "ic")]
+    rows = []
+    for k in range(600):
+        own = [rng.choice(clean) for _ in range(20)]
+        if k % 4 == 0:
+            own.insert(rng.randrange(20), rng.choice(["idiot", "vile", "nasty"]))
+        rows.append((k, " ".join(own)))
+    forms = ["i d 1 o t", "1d10+", "viile", "na st y", "a v i l e person", "n 4 s t y", "v 1 1 l e"]
+    asked = [(1000 + k, f"the garden of music {form} and the river") for k, form in enumerate(forms)]
+    calm = [(2000, "a river of 1 9 8 4 and the 2024 road"), (2001, "of a letter")]
+    frame = spark.createDataFrame(rows + asked + calm, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    found = {row["doc_id"]: row["score"] for row in noisy_channel.toxicity(frame, marks).collect()}
+    assert [form for k, form in enumerate(forms) if found[1000 + k] < 0.5] == []
+    assert found[2000] < 0.5 and found[2001] < 0.5
