@@ -46,8 +46,8 @@ BEGINNINGS = (4, 5, 6)
 SYMBOLS = 64
 #: Text bytes that a task takes apart at a time.
 SLICE = 1 << 18
-#: Best states kept at each step of a decoding, and words a task remembers.
-BEAM, REMEMBERED = 8, 50_000
+#: Decoded words, and runs of words, that a task remembers.
+REMEMBERED = 50_000
 
 # The letters that a sign or digit can stand for.
 RESEMBLES = {
@@ -59,6 +59,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[0x80:] = 27 + (np.arange(0x80, 0x100) & 31)
 _LETTER = _SYMBOL > 0
+_SYMBOLS = _SYMBOL.tolist()
 _MARK = np.zeros(256, bool)  # printable ASCII that is no letter
 _MARK[[*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _TRIM = np.zeros(256, bool)
@@ -97,7 +98,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.known: dict[tuple[bytes, bool], bytes] = {}
+        self.known: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.known_runs: dict[bytes, list[tuple[int, int, bytes]]] = {}
         self.rows: dict[tuple[int, int], list[float]] = {}
 
@@ -123,9 +124,10 @@ class Restorer:
 
     def restored(self, word: bytes, loose: bool = False) -> bytes:
         """The likeliest letters behind a lower-cased word."""
-        known = self.known.get((word, loose))
+        known = self.known[loose].get(word)
         if known is not None:
             return known
+        # A state is the last two symbols, so no more than SYMBOLS squared are kept, and none is left out.
         states: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
         place = 0
         while place < len(word):
@@ -137,19 +139,19 @@ class Restorer:
                 for (a, b), (score, text) in states.items():
                     total = score + cost
                     for letter in letters:
-                        symbol = int(_SYMBOL[letter])
-                        total += float(self.model[a, b, symbol])
+                        symbol = _SYMBOLS[letter]
+                        total += self._after(a, b)[symbol]
                         a, b = b, symbol
                     best = following.get((a, b))
                     if best is None or total > best[0] or (total == best[0] and text + letters < best[1]):
                         following[(a, b)] = (total, text + letters)
-            states = dict(sorted(following.items(), key=lambda item: (-item[1][0], item[1][1]))[:BEAM])
+            states = following
             place = after
-        ends = [(score + float(self.model[a, b, 0]), text) for (a, b), (score, text) in states.items()]
+        ends = [(score + self._after(a, b)[0], text) for (a, b), (score, text) in states.items()]
         text = min(ends, key=lambda end: (-end[0], end[1]))[1]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word, loose] = text
+        if len(self.known[loose]) >= REMEMBERED:
+            self.known[loose].clear()
+        self.known[loose][word] = text
         return text
 
     def _after(self, a: int, b: int) -> list[float]:
@@ -184,7 +186,7 @@ class Restorer:
                     a, b, total = x, y, score + cost
                     if letters != b"\0":
                         for letter in letters:
-                            symbol = int(_SYMBOL[letter])
+                            symbol = _SYMBOLS[letter]
                             total += self._after(a, b)[symbol]
                             a, b = b, symbol
                     best = following.get((a, b))
@@ -457,13 +459,20 @@ def _scored(model: np.ndarray, evidence: Evidence):
                 own = np.where(evidence.features[at] == features, evidence.weights[at], 0.0).max(axis=1)
                 np.maximum.at(strongest, words.rows, own)
             score = 1.0 / (1.0 + np.exp(-(evidence.prior + strongest)))
-            changes: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for row, word, observed, restored in words.changes:
-                changes[row].append(
-                    {"word": word, "observed": observed.decode(errors="replace"), "restored": restored.decode(errors="replace")}
-                )
+            row = np.array([change[0] for change in words.changes], np.int64)
+            order = np.argsort(row, kind="stable")
+            own = [words.changes[at] for at in order.tolist()]
+            structs = pa.StructArray.from_arrays(
+                [
+                    pa.array([word for _, word, *_ in own], pa.int64()),
+                    *[pa.array([change[k].decode(errors="replace") for change in own], pa.string()) for k in (2, 3)],
+                ],
+                fields=list(_CHANGES.value_type),
+            )
+            offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            changes = pa.ListArray.from_arrays(pa.array(offsets), structs)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array(changes, _CHANGES)],
+                [batch.column(0), batch.column(1), pa.array(score), changes.cast(_CHANGES)],
                 names=["row", "text", "score", "restored"],
             )
 

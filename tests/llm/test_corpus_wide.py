@@ -378,3 +378,25 @@ def test_toxicity_of_mixed_forms(spark):
     found = {row["doc_id"]: row["score"] for row in noisy_channel.toxicity(frame, marks).collect()}
     assert [form for k, form in enumerate(forms) if found[1000 + k] < 0.5] == []
     assert found[2000] < 0.5 and found[2001] < 0.5
+
+
+def test_decoding_is_exact():
+    """No path through the lattice is likelier than the one decoded, however late a letter favours it."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    model = np.log(rng.dirichlet(np.full(noisy_channel.SYMBOLS, 0.05), (noisy_channel.SYMBOLS,) * 2) + 1e-9).astype(np.float32)
+    restorer = noisy_channel.Restorer(model)
+
+    def likelihood(text, cost):
+        symbols = [0, 0, *(int(noisy_channel._SYMBOL[letter]) for letter in text), 0]
+        return cost + sum(float(model[tuple(symbols[at : at + 3])]) for at in range(len(symbols) - 2))
+
+    for word in (b"*x*1", b"*a*1b*", b"1*1*k", b"*|*1"):
+        runs = [(byte, len(list(own))) for byte, own in itertools.groupby(word)]
+        paths = itertools.product(*(restorer._choices(byte, length, False) for byte, length in runs))
+        best = max(likelihood(b"".join(part for part, _ in path), sum(cost for _, cost in path)) for path in paths)
+        text = restorer.restored(word)
+        again = itertools.product(*(restorer._choices(byte, length, False) for byte, length in runs))
+        own = max(likelihood(text, sum(c for _, c in path)) for path in again if b"".join(p for p, _ in path) == text)
+        assert own == pytest.approx(best)
