@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from citedspark.llm.arrays import NOT_BLANK, Words, distinct_by_row, mixed, shingle_hashes, slices, whole_text
+from citedspark.llm.arrays import NOT_BLANK, Words, carried, distinct_by_row, mixed, shingle_hashes, slices, whole_text
 from citedspark.llm.components import components
 from citedspark.session import staged
 
@@ -100,6 +101,17 @@ def _signed(width: int, bands: int, depth: int):
     return run
 
 
+def _classed(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            *_, classes = _sets(batch, width)
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(classes.view(np.int64))], names=["row", "text", "class"]
+            )
+
+    return run
+
+
 def _listed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -391,14 +403,8 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(components(known.union(links), "a", "b"))
 
 
-def near_duplicates(
-    documents: DataFrame, width: int = 5, threshold: int = 80, bands: int = BANDS, depth: int = ROWS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `documents`.
-
-    Documents are linked where 100 * shared >= threshold * union of their sets of distinct
-    `width`-word shingles; component_id is the smallest doc_id reachable.
-    """
+def _judged(documents: DataFrame, width: int, threshold: int, bands: int, depth: int) -> DataFrame:
+    """What `near_duplicates` returns, with the class of each row and the group (a class) it is linked to."""
     texts = documents.select("doc_id", whole_text(documents).alias("text"))
     signed = staged(
         texts.mapInArrow(
@@ -434,12 +440,35 @@ def near_duplicates(
         classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class")
     )
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    named = grouped.join(smallest, "root").select("class", "component")
+    named = grouped.join(smallest, "root").select("class", "component", F.col("root").alias("group"))
     everyone = classes.select("class", "least").join(named, "class", "left")
-    everyone = everyone.select("class", F.coalesce("component", "least").alias("component"))
+    everyone = everyone.select("class", F.coalesce("component", "least").alias("component"), F.coalesce("group", "class").alias("group"))
     result = signed.select("doc_id", "n_shingles", "class").join(everyone, "class", "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), "class", "group").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def near_duplicates(
+    documents: DataFrame, width: int = 5, threshold: int = 80, bands: int = BANDS, depth: int = ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `documents`.
+
+    Documents are linked where 100 * shared >= threshold * union of their sets of distinct
+    `width`-word shingles; component_id is the smallest doc_id reachable.
+    """
+    return _judged(documents, width, threshold, bands, depth).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def kept_rows(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows that are kept (as `carried` has them), each with the group of like rows it stands for.
+
+    Rows that repeat a doc_id are judged each by its own text.
+    """
+    judged = _judged(documents, width, threshold, BANDS, ROWS).where("kept")
+    kept = judged.select("doc_id", "class", F.coalesce("group", F.lit(0)).alias("group")).distinct()
+    rows = carried(documents)
+    schema = StructType([*rows.schema, *StructType.fromDDL("class long")])
+    return rows.mapInArrow(_classed(width), schema).withColumn("doc_id", F.col("row.doc_id")).join(kept, ["doc_id", "class"])

@@ -3,7 +3,7 @@
 Toxic documents go, one document of each near-duplicate group stays, contaminated documents go,
 secrets are masked in the text, and what is left is encoded and decoded. Rows are judged by
 themselves, so a row without doc_id or text passes where nothing speaks against it; rows that
-repeat a doc_id count as one document from the second stage on. Columns beside those that a
+repeat a doc_id count as one document from the second stage on where their texts are alike. Columns beside those that a
 stage needs are carried along.
 """
 
@@ -30,15 +30,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five words a shingle, 0.8 or more.
 
-    Of rows that repeat a doc_id the first by text stays; rows without doc_id are not compared.
+    Each row is judged by its own text. Of kept rows of one doc_id and one group the first by text
+    stays; rows without doc_id are not compared.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(name) for name in docs.columns if name != "doc_id"])
-    one = (
-        docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("row"), F.row_number().over(order).alias("place"))
-        .where("place = 1").select("row.*")
-    )
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    others = [F.col("row")[name] if name != "text" else F.col("text") for name in docs.columns if name != "doc_id"]
+    order = Window.partitionBy("doc_id", "group").orderBy(*others)
+    one = minhash.kept_rows(docs).withColumn("place", F.row_number().over(order)).where("place = 1")
+    return one.select(carried_columns(docs)).union(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

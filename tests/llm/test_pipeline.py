@@ -101,3 +101,15 @@ def test_run_is_the_last_stage(spark, folder):
     result = corpus_pipeline.run(spark, path)
     assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert result.count() > 250
+
+
+def test_near_dedup_judges_repeated_ids_by_row(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(CLEAN) for _ in range(60))
+    first, other, third, fourth = text(), text(), text(), text()
+    near = third.replace(third.split()[30], "changed", 1)
+    rows = [(1, first), (2, first), (2, other), (3, None), (3, third), (4, fourth), (4, fourth), (5, third), (5, near), (None, first)]
+    rows += [(6, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert found == sorted([(1, first), (2, other), (3, None), (3, third), (4, fourth), (None, first)], key=str)
