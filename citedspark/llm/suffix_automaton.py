@@ -3,8 +3,9 @@
 Each text is streamed through the automaton; after every word it gives the longest run of words
 ending there that stands in some template (the matching statistics). Runs of four words or more
 that cannot be extended are matches; matches that follow one another both in the text and in a
-template, with a gap of at most GAP words, are chained, and a chain that covers COVERED of its
-template gives the template's label to the span. Phrases that name a licence are read off the
+template, with a gap of at most GAP words, are chained. All places of a match in a template are
+weighed, and the chain that covers most is taken, then the best before and after it; a chain that
+covers COVERED of its template gives the template's label to the span. Phrases that name a licence are read off the
 automaton's states. Words outside the templates reset the automaton, so only runs of template
 words are walked, one word at a time.
 
@@ -42,6 +43,15 @@ class SuffixAutomaton:
                 while state > 0 and number not in self.ends[state]:
                     self.ends[state][number] = place + 1
                     state = self.link[state]
+        #: Of each state: all ends of its runs in each of the sequences.
+        self.all_ends: list[dict[int, list[int]]] = [{} for _ in self.next]
+        for number, sequence in enumerate(sequences):
+            state = 0
+            for place, word in enumerate(sequence):
+                state = above = self.next[state][word]
+                while above > 0:
+                    self.all_ends[above].setdefault(number, []).append(place + 1)
+                    above = self.link[above]
 
     def _new(self, size: int, following: dict[int, int], link: int, ends: dict[int, int]) -> int:
         self.next.append(following)
@@ -125,25 +135,45 @@ class Templates:
         return places, matches
 
     def chained(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, share of the template) of chains of one text's matches."""
-        open_: dict[int, list[int]] = {}
-        done: list[tuple[int, list[int]]] = []
-        for start, end, state in matches:
-            for number, last in self.automaton.ends[state].items():
-                if number >= len(self.labels):
+        """(label, start, end, share of the template) of the best chains of one text's matches."""
+        places: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        for match, (start, end, state) in enumerate(matches):
+            for number, ends in self.automaton.all_ends[state].items():
+                if number < len(self.labels):
+                    places.setdefault(number, []).extend((match, start, end, last - (end - start), last) for last in ends)
+        spans = set()
+        for number, own in places.items():
+            waiting = [own]
+            while waiting:
+                part = waiting.pop()
+                first, last, covered = _best_chain(part)
+                if covered < COVERED * self.sizes[number]:
                     continue
-                first = last - (end - start)
-                chain = open_.get(number)
-                if chain and last > chain[3] and start - chain[1] <= GAP and abs(first - chain[3]) <= GAP:
-                    chain[4] += last - max(first, chain[3])
-                    chain[1], chain[3] = end, last
-                else:
-                    if chain:
-                        done.append((number, chain))
-                    open_[number] = [start, end, first, last, last - first]
-        done += open_.items()
-        spans = [(self.labels[n], c[0], c[1], c[4] / self.sizes[n]) for n, c in done if c[4] >= COVERED * self.sizes[n]]
-        return sorted(set(spans))
+                spans.add((self.labels[number], part[first][1], part[last][2], covered / self.sizes[number]))
+                for rest in ([p for p in part if p[0] < part[first][0]], [p for p in part if p[0] > part[last][0]]):
+                    if rest:
+                        waiting.append(rest)
+        return sorted(spans)
+
+
+def _best_chain(places: list[tuple[int, int, int, int, int]]) -> tuple[int, int, int]:
+    """(first place, last place, words of the template) of the chain that covers most.
+
+    Places are (match, start and end in the text, start and end in the template), by match.
+    """
+    covered, begun = [last - first for *_, first, last in places], list(range(len(places)))
+    for at, (match, start, _, first, last) in enumerate(places):
+        own = covered[at]
+        for before in range(at - 1, -1, -1):
+            other, _, end, _, reached = places[before]
+            if start - end > GAP:  # ends grow with the matches
+                break
+            if other < match and last > reached and abs(first - reached) <= GAP:
+                total = covered[before] + last - max(first, reached)
+                if total > covered[at] or total == covered[at] and total > own and begun[before] > begun[at]:
+                    covered[at], begun[at] = total, begun[before]
+    best = max(range(len(places)), key=lambda at: (covered[at], -at))
+    return begun[best], best, covered[best]
 
 
 _SCHEMA = (

@@ -150,6 +150,18 @@ def test_licence_places_and_spans(spark, empty):
     assert suffix_automaton.license_spans(empty, license_text.TEMPLATES, license_text.PHRASES).count() == 0
 
 
+def test_chain_goes_on_over_repeated_runs_and_stray_matches(spark):
+    shared = "alpha beta gamma delta epsilon"
+    template = " ".join(["one two three four five six", shared, "seven eight nine ten eleven twelve", shared, "last words of the whole text here"])
+    edited = " ".join(["one two three four five six", shared, "new seven eight nine ten eleven twelve new", shared, "new last words of the whole text here"])
+    stray = "seven eight nine ten eleven twelve new one two three four new alpha beta gamma delta epsilon last words of the whole text here"
+    frame = spark.createDataFrame([(1, edited), (2, stray), (3, f"{edited} {'other ' * 20} {edited}")], "doc_id long, text string")
+    found = {row["doc_id"]: row["spans"] for row in suffix_automaton.license_spans(frame, [("t", template)], []).collect()}
+    assert [(s["start"], s["end"], s["share"]) for s in found[1]] == [(0, len(edited.split()), 1.0)]
+    assert [s["share"] for s in found[2]] == [pytest.approx(18 / 29)]
+    assert len(found[3]) == 2
+
+
 def test_automaton_has_every_run():
     rng = random.Random(4)
     sequences = [[rng.randint(0, 3) for _ in range(30)] for _ in range(5)]
