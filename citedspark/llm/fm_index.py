@@ -122,7 +122,7 @@ class FmIndex:
 class Phrases:
     """The windows of benchmark items, by length, and the items that each belongs to."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], width: int) -> None:
         array = pa.array([text for _, text in items], pa.string())
         words = Words(array, LETTERS)
         vocabulary, ids = np.unique(words.hashes, return_inverse=True)
@@ -132,7 +132,7 @@ class Phrases:
             own = (ids[words.first[row] : words.first[row + 1]] + 1).tolist()
             size = min(width, len(own))
             for first in range(len(own) - size + 1 if size else 0):
-                by_window.setdefault(tuple(own[first : first + size]), set()).add(item)
+                by_window.setdefault(tuple(own[first : first + size]), set()).update(() if item is None else (item,))
         self.by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
         for size in sorted({len(window) for window in by_window}):
             part = [window for window in by_window if len(window) == size]
@@ -184,7 +184,7 @@ def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set[str
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _searched(items: list[tuple[str, str]], width: int):
+def _searched(items: list[tuple[str | None, str]], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, width)
         for batch in slices(batches, 1, SHARD_BYTES):
@@ -213,23 +213,25 @@ def _searched(items: list[tuple[str, str]], width: int):
     return run
 
 
-def _searched_in(rows: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
+def _searched_in(rows: DataFrame, items: list[tuple[str | None, str]], width: int) -> DataFrame:
     added = f"n_words bigint, spans {_SPANS}, items array<string>"
     schema = StructType([*rows.select("row", "text").schema, *StructType.fromDDL(added)])
     return rows.select("row", "text").mapInArrow(_searched(items, width), schema)
 
 
-def searched_rows(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def searched_rows(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, unnamed: bool = False) -> DataFrame:
     """Each row of `documents` (as `carried` has it) with n_words, spans and items.
 
-    Every block of the benchmark is searched in the rows as they pass.
+    Every block of the benchmark is searched in the rows as they pass. With `unnamed`, items
+    without item_id are searched as well; their words are in the spans, and they name no item.
     """
-    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
+    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    asked = asked.dropna(subset=["text"] if unnamed else ["item_id", "text"])
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // PHRASE_BYTES) or 1
     rows = carried(documents)
     for block in range(blocks):
-        part = asked.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")) if blocks > 1 else asked
+        part = asked.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}")) if blocks > 1 else asked
         items = [tuple(row) for row in part.distinct().collect()]
         if block:  # what earlier blocks found travels with the row
             rows = rows.select(F.struct("row", "spans", "items").alias("row"), "text")

@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
-    searched = fm_index.searched_rows(docs, _table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark windows, of items with or without item_id, cover less than a twentieth."""
+    searched = fm_index.searched_rows(docs, _table(spark, sf_dir, "benchmark"), unnamed=True)
     return searched.where(~fm_index.contaminated()).select(carried_columns(docs))
 
 

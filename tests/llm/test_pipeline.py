@@ -113,3 +113,18 @@ def test_near_dedup_judges_repeated_ids_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
     assert found == sorted([(1, first), (2, other), (3, None), (3, third), (4, fourth), (None, first)], key=str)
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 60])
+def test_decontamination_by_items_without_id(spark, tmp_path, budget, monkeypatch):
+    from citedspark.llm import fm_index
+
+    monkeypatch.setattr(fm_index, "PHRASE_BYTES", budget)
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(CLEAN) for _ in range(n))
+    item, named = text(20), text(20)
+    spark.createDataFrame([(None, item), (1, named), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{text(9)} {item}"), (2, named), (3, text(40)), (4, None)], "doc_id long, text string")
+    assert sorted(row["doc_id"] for row in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [3, 4]
+    found = fm_index.searched_rows(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), unnamed=True)
+    assert {row["row"]["doc_id"]: row["items"] for row in found.collect()} == {1: [], 2: ["1"], 3: [], 4: []}
