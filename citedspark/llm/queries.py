@@ -20,6 +20,7 @@ from citedspark.llm import (
     secrets,
     suffix_automaton,
     warc,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +208,14 @@ def op4_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest",
         F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"), "problem",
     )
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on the 32 leading components of their covariance, scaled to unit variance."""
+    rows = whitening.whitened(table(spark, folder, "embeddings"), components=32)
+    one = rows.select("*", F.posexplode(F.arrays_zip(F.col("whitened").alias("w"), F.col("explained").alias("e"))).alias("at", "of"))
+    return one.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("of.w").alias("whitened"), F.col("of.e").alias("explained"), "identity_error",
+    )
