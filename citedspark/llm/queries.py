@@ -18,6 +18,7 @@ from citedspark.llm import (
     minhash,
     noisy_channel,
     secrets,
+    simhash,
     suffix_automaton,
     warc,
     whitening,
@@ -219,3 +220,10 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
         F.col("of.w").alias("whitened"), F.col("of.e").alias("explained"), "identity_error",
     )
+
+
+@query()
+def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose 4-word SimHash fingerprints differ in at most 4 bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), width=4, radius=4)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
