@@ -19,6 +19,7 @@ from citedspark.llm import (
     noisy_channel,
     secrets,
     simhash,
+    spelling,
     suffix_automaton,
     warc,
     whitening,
@@ -227,3 +228,9 @@ def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose 4-word SimHash fingerprints differ in at most 4 bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), width=4, radius=4)
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, folder, "documents"))
