@@ -16,20 +16,22 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def _found(text: Column, *patterns: str) -> Column:
-    return text.rlike(_FLAGS + "|".join(patterns))
+def _found(text: Column, pattern: str) -> Column:
+    return text.rlike(_FLAGS + pattern)
 
 
 def refusal_classes(text: Column) -> Column:
     """Every refusal class a squeezed question triggers, in reporting order."""
-    changes_medication = _found(text, *fv.MEDICATION_CHANGE_PHRASES) | (
-        _found(text, fv.MEDICATION_CHANGE_VERB) & _found(text, fv.MEDICATION_CHANGE_OBJECT)
+    changes_medication = (
+        _found(text, fv.NEW_PRESCRIPTION_PATTERN)
+        | _found(text, fv.START_MEDICATION_PATTERN)
+        | (_found(text, fv.MEDICATION_CHANGE_VERB) & _found(text, fv.MEDICATION_CHANGE_OBJECT))
     )
     triggered = (
         changes_medication,
         _found(text, fv.DISCHARGE_PATTERN),
         _found(text, fv.EXTERNAL_PATTERN),
-        _found(text, *fv.TREATMENT_PATTERNS),
+        _found(text, fv.TREATMENT_PATTERN),
     )
     return F.array_compact(
         F.array(*[F.when(hit, F.lit(name)) for name, hit in zip(fv.REFUSALS, triggered)])

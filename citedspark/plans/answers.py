@@ -3,8 +3,7 @@
 List answers depend only on the member and the class of question, so they are built once
 per member and then joined to the questions: a member asked about in very many questions
 costs nothing extra. Answers that cite one row may cite any number of document cells; the
-answer holds them all, and `medication_cells`, `allergy_cells` and `member_codes` give them
-as rows.
+answer holds them all, and `answer_rows` gives them as rows.
 """
 
 from __future__ import annotations
@@ -17,46 +16,21 @@ from pyspark.sql import functions as F
 from citedspark import fixed_values as fv
 from citedspark.functions import text as X
 from citedspark.functions.citations import citation, problems, rendered, rendered_kind
-from citedspark.functions.columns import tidy, up
+from citedspark.functions.columns import down, tidy, up
 from citedspark.operators.ranking import top_rows
+from citedspark.plans import answer_rows as R
 from citedspark.plans import member as M
+from citedspark.plans.answer_rows import cell_codes
 from citedspark.plans.conform import Core
-from citedspark.session import staged
+from citedspark.plans.wording import blank, filled, said, sentence
+from citedspark.session import written
 
 MEMBER = "patient_id"
-_EVIDENCE_OF = {
-    "condition_list": "condition_evidence",
-    "medication_list": "medication_evidence",
-    "care_plan_list": "care_plan_evidence",
-    "procedure_list": "procedure_evidence",
-    "immunization_list": "immunization_evidence",
-}
-
 
 def no_codes() -> Column:
     return F.array().cast("array<string>")
 
 
-def filled(template: str, **values: Column) -> Column:
-    """A message with its {names} replaced by columns."""
-    parts: list[Column] = []
-    for index, piece in enumerate(template.replace("}", "{").split("{")):
-        parts.append(values[piece].cast("string") if index % 2 else F.lit(piece))
-    return F.concat(*parts)
-
-
-def said(value: Column, otherwise: str) -> Column:
-    return F.coalesce(tidy(value), F.lit(otherwise))
-
-
-def blank(value: Column) -> Column:
-    return F.coalesce(tidy(value), F.lit("")) == ""
-
-
-def sentence(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
-
-
 def _section_of(intent: str) -> str:
     return next(
         (fv.SECTION_OF_STEP[step] for step in fv.RETRIEVAL_STEPS[intent] if step in fv.SECTION_OF_STEP), ""
@@ -64,15 +38,6 @@ def _section_of(intent: str) -> str:
 
 
 # --- evidence match -----------------------------------------------------------
-def cell_codes(cells: DataFrame) -> DataFrame:
-    """One row per cell and code run found in its code or text; incomplete cells are left out."""
-    haystack = F.concat_ws(" ", tidy(F.col("code")), tidy(F.col("text")))
-    complete = ~(blank(F.col("document_id")) | blank(F.col("section_loinc")) | blank(F.col("element_id")))
-    return cells.filter(complete).select(
-        *M.CELL_FIELDS[:-2], "text", F.explode(X.code_runs(haystack)).alias("run")
-    )
-
-
 def evidence_match(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of the same member that share a code run with a row; each cell once per row.
 
@@ -110,22 +75,45 @@ def _line(intent: str, df: DataFrame, text: Column, cite: Column, incomplete: Co
     )
 
 
+#: List class -> view, start column, the id that ends its order.
+_STACKED = {
+    "condition_list": ("condition", "start_date", "encounter_id"),
+    "medication_list": ("medication", "start_ts", "encounter_id"),
+    "care_plan_list": ("careplan", "start_date", "careplan_id"),
+    "procedure_list": ("procedure", "start_ts", "encounter_id"),
+    "immunization_list": ("immunization", "immunization_ts", "encounter_id"),
+}
+
+
+def evidence_rows(core: Core, members: DataFrame, intents: tuple[str, ...], count: int = 10) -> DataFrame:
+    """The first rows of each class and member: open spans first where spans end, then the newest.
+
+    The classes are stacked with their order as columns, so all of them share one window.
+    """
+
+    def stacked(intent: str) -> DataFrame:
+        view, start, last = _STACKED[intent]
+        closed = F.col("stop_date").isNotNull() if intent == "condition_list" else F.lit(False)
+        return core[view].select(
+            F.lit(intent).alias("intent"), MEMBER, closed.alias("_closed"),
+            F.col(start).cast("timestamp_ntz").alias("_start"), F.col(last).alias("_last"),
+            F.col("source_file_row_number").alias("_row"), "encounter_id", "code",
+            F.col(start).cast("string").alias("start"), "description",
+        )
+
+    rows = reduce(DataFrame.unionByName, [stacked(intent) for intent in intents])
+    order = [F.col("_closed").asc(), down("_start"), up("code"), up("_last"), up("_row")]
+    wanted = rows.join(members.select(MEMBER), MEMBER, "left_semi")
+    return top_rows(wanted, ["intent", MEMBER], order, count).drop("_closed", "_start", "_last", "_row")
+
+
 def _clinical_lines(core: Core, members: DataFrame, intents: tuple[str, ...]) -> DataFrame:
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            M.panel(core, _EVIDENCE_OF[intent], members=members).select(
-                F.lit(intent).alias("intent"),
-                F.lit(_section_of(intent)).alias("section_loinc"),
-                F.lit(fv.CLINICAL_LISTS[intent][0]).alias("table"),
-                MEMBER, "position",
-                *[
-                    tidy(F.col(name)).alias(name)
-                    for name in ("encounter_id", "code", "start", "description")
-                ],
-            )
-            for intent in intents
-        ],
+    rows = evidence_rows(core, members, intents).select(
+        "intent",
+        _by_intent({intent: F.lit(_section_of(intent)) for intent in intents}).alias("section_loinc"),
+        _by_intent({intent: F.lit(fv.CLINICAL_LISTS[intent][0]) for intent in intents}).alias("table"),
+        MEMBER, "position",
+        *[tidy(F.col(name)).alias(name) for name in ("encounter_id", "code", "start", "description")],
     )
     cite = {name: F.col(name) for name in ("table", MEMBER, "encounter_id", "code", "start")}
     own = rows.select(
@@ -333,211 +321,39 @@ def list_answers(core: Core, members: DataFrame, intents: tuple[str, ...] = LIST
 
 
 # --- answers that cite one row ------------------------------------------------
-def single_medications(core: Core, members: DataFrame) -> DataFrame:
-    """Per asked member: how many antihistamine rows there are, and the row when it is one."""
-    rows = M.antihistamine_rows(core).join(members.select(MEMBER), MEMBER, "left_semi")
-    return _single_rows(rows, [MEMBER], "MEDICATION", fv.SECTION_OF_STEP["medication_section"])
-
-
-def single_allergies(core: Core, asked: DataFrame) -> DataFrame:
-    """Per asked member and day (blank day: any): the row count, and the row when it is one.
-
-    Each row is counted under its day and under no day, so days meet by equality and not as
-    pairs of a member's days and rows.
-    """
-    keys = asked.select(MEMBER, F.coalesce("named_day", F.lit("")).alias("named_day")).distinct()
-    rows = M.allergy_rows(core).withColumn(
-        "named_day", F.explode(F.array(F.lit(""), F.date_format("start", "yyyy-MM-dd")))
-    )
-    counted = _single_rows(rows, [MEMBER, "named_day"], "ALLERGY", fv.SECTION_OF_STEP["allergy_section"])
-    return counted.join(keys, [MEMBER, "named_day"], "left_semi")
-
-
-def _single_rows(rows: DataFrame, keys: list[str], table: str, section: str) -> DataFrame:
-    fields = [tidy(F.col(name)).alias(name) for name in ("encounter_id", "code", "start", "description")]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min(F.struct(*fields)).alias("row"))
-        .select(
-            *keys, "n", "row.*", F.lit(table).alias("table"), F.lit(section).alias("section_loinc")
-        )
-    )
-
-
-def allergy_cells(core: Core, singles: DataFrame) -> DataFrame:
-    """Every cell of the allergy section that carries the quoted code, as rows."""
-    cells = core["document_section"].filter(F.col("section_loinc") == fv.SECTION_OF_STEP["allergy_section"])
-    return evidence_match(singles.filter(F.col("n") == 1), cells, [MEMBER, "named_day"])
-
-
-def medication_cells(core: Core, singles: DataFrame) -> DataFrame:
-    """Every cell about the medication that also shares its code, as rows."""
-    one = singles.filter(F.col("n") == 1).select(MEMBER, "section_loinc", "code", "description")
-    cells = core["document_section"].filter(F.col("section_loinc") == fv.SECTION_OF_STEP["medication_section"])
-    about = (
-        cells.withColumnsRenamed({"code": "cell_code"})
-        .join(one, [MEMBER, "section_loinc"])
-        .filter(M.about_medication(F.col("cell_code"), F.col("text"), F.col("code"), F.col("description")))
-        .select(*M.CELL_FIELDS[:-1], F.col("cell_code").alias("code"))
-    )
-    return evidence_match(one, about, [MEMBER])
-
+def single_answers(core: Core, asked: DataFrame) -> DataFrame:
+    """(intent, patient_id, named_day, status, text, citations, codes, cells) of the asked keys that have rows.
 
-def _unit(text: Column) -> Column:
-    """The lines of one attached cell."""
-    document = {name: F.col(name) for name in ("document_id", "section_loinc", "element_id")}
-    return F.concat_ws(
-        " ",
-        sentence(rendered_kind("document", **document), "."),
-        sentence("Section text: ", tidy(text), "."),
-    )
-
-
-def _attached(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Per answer: cell count, whether any line is unfit, and all lines in order."""
-    document = {name: F.col(name) for name in ("document_id", "section_loinc", "element_id")}
-    units = cells.withColumn("unit", _unit(F.col("text"))).withColumn("cite", citation("document", **document))
-    lines = units.select(*keys, "element_id", "document_id", "unit", "cite", X.has_banned_claim(F.col("unit")).alias("banned"))
-    return lines.groupBy(*keys).agg(
-        F.count("*").alias("cells"),
-        F.bool_or("banned").alias("banned_cell"),
-        F.array_sort(F.collect_list(F.struct("element_id", "document_id", "unit", "cite"))).alias("units"),
-    )
-
-
-def _finish(df: DataFrame, intent: str, keys: list[str]) -> DataFrame:
-    """Status, text and citations from `refused`, `before`, `units`, `after`, `own`."""
-    body = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "), F.col("after"))
-    own_only = F.concat_ws(" ", F.col("before"), F.col("after"))
-    ok = _gate(own_only, F.array("own")) & ~F.coalesce("banned_cell", F.lit(False))
-    refused = F.coalesce("refused", F.when(~ok, fv.REFUSAL_TEXT["citation_check"]))
-    return df.withColumn("_refused", refused).select(
-        F.lit(intent).alias("intent"),
-        *keys,
-        F.when(F.col("_refused").isNull(), "cited").otherwise("refused").alias("status"),
-        F.coalesce("_refused", body).alias("text"),
-        F.when(
-            F.col("_refused").isNull(),
-            F.concat(F.array("own"), F.coalesce(F.col("units.cite"), F.slice(F.array("own"), 1, 0))),
-        ).alias("citations"),
-        F.when(F.col("_refused").isNull(), F.array("code")).otherwise(no_codes()).alias("quoted_codes"),
-        F.when(F.col("_refused").isNotNull(), no_codes()).otherwise(F.col("rejected")).alias("rejected_codes"),
-        F.when(F.col("_refused").isNull(), F.col("cells")).otherwise(0).alias("cells"),
-    )
-
-
-def _with_units(singles: DataFrame, attached: DataFrame, keys: list[str]) -> DataFrame:
-    return singles.join(attached, keys, "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
-
-
-def _own_citation() -> dict[str, Column]:
-    return {name: F.col(name) for name in ("table", MEMBER, "encounter_id", "code", "start")}
-
-
-def medication_answers(core: Core, members: DataFrame) -> DataFrame:
-    """One answer per asked member with at least one antihistamine row."""
-    singles = single_medications(core, members)
-    joined = _with_units(singles, _attached(medication_cells(core, singles), [MEMBER]), [MEMBER])
-    missing = reduce(
-        lambda a, b: a | b, [blank(F.col(name)) for name in ("encounter_id", "code", "start", "description")]
-    )
-    return _finish(
-        joined.withColumns(
-            {
-                "own": citation("table", **_own_citation()),
-                "rejected": no_codes(),
-                "before": sentence(
-                    F.col("description"), " is on the retrieved medication list. Code ", F.col("code"),
-                    ". Start ", F.col("start"), ". ", rendered_kind("table", **_own_citation()), ".",
-                ),
-                "after": F.concat_ws(
-                    " ", F.when(F.col("cells") == 0, fv.NO_MEDICATION_CELL), F.lit(fv.RECORD_FOOTER)
-                ),
-                "refused": F.when(
-                    F.col("n") != 1, filled(fv.REFUSAL_TEXT["many_medications"], n=F.col("n"))
-                ).when(missing, fv.REFUSAL_TEXT["bad_medication"]),
-            }
-        ),
-        "medication_citation",
-        [MEMBER],
-    )
-
-
-def member_codes(core: Core, members: DataFrame) -> DataFrame:
-    """Distinct code runs in the allergy section of each member, as rows."""
-    cells = core["document_section"].filter(
-        F.col("section_loinc") == fv.SECTION_OF_STEP["allergy_section"]
-    ).join(members.select(MEMBER).distinct(), MEMBER, "left_semi")
-    runs = F.array_distinct(
-        F.concat(X.code_runs(tidy(F.col("code"))), X.code_runs(tidy(F.col("text"))))
-    )
-    return cells.select(MEMBER, F.explode(runs).alias("run")).distinct()
-
-
-def allergy_answers(core: Core, asked: DataFrame) -> DataFrame:
-    """One answer per asked member and day with at least one allergy row.
-
-    Codes beside the quoted one are listed and guarded, never quoted.
+    The verdicts come from rows (`answer_rows`); here the lines of an answer are joined to one text,
+    which must fit a task. `answer_rows.SingleAnswers.lines` gives the same lines without that bound.
     """
-    keys = [MEMBER, "named_day"]
-    singles = single_allergies(core, asked)
-    one = singles.filter(F.col("n") == 1)
-    codes = (
-        member_codes(core, one).groupBy(MEMBER)
-        .agg(F.array_sort(F.collect_list("run")).alias("runs"))
-    )
+    parts = R.SingleAnswers(core, asked)
+    cited = F.col("refusal").isNull()
+    units = parts.cells.groupBy(*R.KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("element_id", "document_id", "unit", "citation"))).alias("units")
+    )
+    runs = parts.codes.groupBy(MEMBER).agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    others = F.when(
+        cited & (F.col("intent") == R.ALLERGY),
+        F.array_except(F.coalesce("runs", no_codes()), X.code_runs(F.col("code"))),
+    ).otherwise(no_codes())
     joined = (
-        _with_units(singles, _attached(allergy_cells(core, singles), keys), keys)
-        .join(codes, MEMBER, "left")
-    )
-    missing = reduce(lambda a, b: a | b, [blank(F.col(name)) for name in ("encounter_id", "code", "start")])
-    rejected_lines = F.array_join(
-        F.transform(
-            "rejected",
-            lambda other: sentence(
-                "Not the quoted allergy: retrieved code ", other,
-                " differs from allergies.csv code ", F.col("code"), ".",
-            ),
-        ),
-        " ",
+        parts.heads.join(units, R.KEYS, "left").join(runs, MEMBER, "left")
+        .select(*R.KEYS, "refusal", "lead", "units", "code", "cells", others.alias("rejected"),
+                R.own_citation().alias("own"), R.note().alias("note"))
     )
-    prepared = joined.withColumn(
-        "rejected", F.array_except(F.coalesce("runs", no_codes()), X.code_runs(F.col("code")))
-    ).withColumns(
-        {
-            "own": citation("table", **_own_citation()),
-            "before": sentence(
-                "Quoted allergy code ", F.col("code"), ", ",
-                said(F.col("description"), "description not on the row"), ". Start ", F.col("start"),
-                ". Encounter ", F.col("encounter_id"), ". ", fv.ALLERGY_SOURCE, " ",
-                rendered_kind("table", **_own_citation()), ".",
-            ),
-            "after": F.concat_ws(
-                " ",
-                F.nullif(rejected_lines, F.lit("")),
-                F.when(F.col("cells") == 0, fv.NO_ALLERGY_CELL),
-                F.lit(fv.RECORD_FOOTER),
-            ),
-        }
+    rejected = F.array_join(F.transform("rejected", lambda other: R.rejected_line(F.col("code"), other)), " ")
+    text = F.concat_ws(
+        " ", "lead", F.array_join(F.col("units.unit"), " "), F.nullif(rejected, F.lit("")), "note", F.lit(fv.RECORD_FOOTER)
     )
-    body = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "), F.col("after"))
-    # The lines about rejected codes guard themselves. The costly look at every mention is
-    # only needed when a rejected code is also found elsewhere, or may be part of another code.
-    elsewhere = F.concat_ws(" ", F.col("before"), F.array_join(F.col("units.unit"), " "))
-    mixed = F.exists("rejected", lambda other: F.length(other) != F.length(F.col("code")))
-    doubtful = mixed | F.exists("rejected", lambda other: F.col("_elsewhere").contains(other))
-    guarded = F.when(~doubtful, True).otherwise(
-        F.forall("rejected", lambda other: X.rejected_code_guarded(F.col("_body"), F.col("code"), other))
-    )
-    return _finish(
-        prepared.withColumns({"_body": body, "_elsewhere": elsewhere}).withColumn(
-            "refused",
-            F.when(F.col("n") != 1, filled(fv.REFUSAL_TEXT["many_allergies"], n=F.col("n")))
-            .when(missing, fv.REFUSAL_TEXT["bad_allergy"])
-            .when(~guarded, fv.REFUSAL_TEXT["allergy_guard"]),
-        ),
-        "allergy_citation",
-        keys,
+    return joined.select(
+        *R.KEYS,
+        F.when(cited, "cited").otherwise("refused").alias("status"),
+        F.when(cited, text).otherwise(F.col("refusal")).alias("text"),
+        F.when(cited, F.concat(F.array("own"), F.coalesce(F.col("units.citation"), F.slice(F.array("own"), 1, 0)))).alias("citations"),
+        F.when(cited, F.array("code")).otherwise(no_codes()).alias("quoted_codes"),
+        F.col("rejected").alias("rejected_codes"),
+        "cells",
     )
 
 
@@ -689,23 +505,15 @@ def answered(
     questions = resolved_questions
     if "query_failed" not in questions.columns:
         questions = questions.withColumn("query_failed", F.lit(False))
-    questions = staged(questions.withColumn("named_day", F.coalesce("named_day", F.lit(""))))
+    questions = written(questions.withColumn("named_day", F.coalesce("named_day", F.lit(""))), "questions")
     usable = questions.filter((F.size("refusals") == 0) & F.col(MEMBER).isNotNull() & F.lit(connected))
-    members = usable.select(MEMBER).distinct()
-    asked_allergy = usable.filter(F.col("intent") == "allergy_citation")
     any_day = F.lit("").alias("named_day")
     codes = [no_codes().alias("quoted_codes"), no_codes().alias("rejected_codes"), F.lit(0).cast("long").alias("cells")]
     common = ["intent", MEMBER, "named_day", "status", "text", "citations", "quoted_codes", "rejected_codes", "cells"]
-
-    def asking(intents: tuple[str, ...]) -> DataFrame:
-        return usable.filter(F.col("intent").isin(*intents)).select(MEMBER).distinct()
-
+    listing = written(usable.filter(F.col("intent").isin(*LIST_INTENTS)).select(MEMBER).distinct(), "listing")
     by_key = (
-        list_answers(core, asking(LIST_INTENTS)).select("*", any_day, *codes).select(*common)
-        .unionByName(
-            medication_answers(core, asking(("medication_citation",))).select("*", any_day).select(*common)
-        )
-        .unionByName(allergy_answers(core, asked_allergy).select(*common))
+        list_answers(core, listing).select("*", any_day, *codes).select(*common)
+        .unionByName(single_answers(core, usable).select(*common))
     )
     # Only the allergy answer depends on the day in the question.
     day = F.when(F.col("intent") == "allergy_citation", F.col("named_day")).otherwise(F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citedspark import fixed_values as fv
 from citedspark.functions import text as X
 from citedspark.functions.citations import rendered
+from citedspark.operators.guard import unguarded
 
 
 def _listed(column: str):
@@ -40,30 +41,36 @@ def narration_prompts(answers: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def accepted_narrations(narrations: DataFrame, answers: DataFrame) -> DataFrame:
-    """Add `accepted`: every citation and quoted code kept, rejected codes guarded, no claim.
+#: What a narration is judged by, beside its text.
+JUDGED_BY = ["status", "citations", "quoted_codes", "rejected_codes"]
+
 
-    `narrations` has question_id and narration.
+def judged(told: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of (keys, narration, JUDGED_BY) with `accepted`; keys are unique.
+
+    Every citation and quoted code is kept, every mention of a rejected code is negated, and
+    there is no claim and no outside label. Mentions are found in one pass over the texts of
+    the narrations that have rejected codes at all.
     """
     said = F.col("narration")
-    keeps_citations = F.forall(F.transform("citations", rendered), lambda text: said.contains(text))
-    keeps_codes = F.forall("quoted_codes", lambda code: said.contains(code))
-    guarded = F.forall(
-        "quoted_codes",
-        lambda quoted: F.forall(
-            "rejected_codes", lambda other: X.rejected_code_guarded(said, quoted, other)
-        ),
-    )
     keep = (
         (F.col("status") == "cited")
         & (F.trim(said) != "")
-        & keeps_citations
+        & F.forall(F.transform("citations", rendered), lambda text: said.contains(text))
         & ~X.has_banned_claim(said)
-        & keeps_codes
-        & guarded
+        & F.forall("quoted_codes", lambda code: said.contains(code))
         & ~said.rlike("(?iU)" + fv.EXTERNAL_LABEL_PATTERN)
     )
-    fields = ["question_id", "status", "citations", "quoted_codes", "rejected_codes"]
-    return narrations.join(answers.select(*fields), "question_id").select(
-        "question_id", "narration", F.coalesce(keep, F.lit(False)).alias("accepted")
-    )
+    guarded = told.where(keep & (F.size("rejected_codes") > 0) & (F.size("quoted_codes") > 0))
+    rejected = guarded.select(*keys, F.explode(F.array_distinct("rejected_codes")).alias("code"))
+    bare = unguarded(guarded.withColumn("_line", F.lit(0)), rejected, keys, ["_line"], "narration")
+    failed = bare.where("unguarded > 0").select(*keys, F.lit(True).alias("_failed"))
+    return told.join(failed, keys, "left").withColumn(
+        "accepted", F.coalesce(keep, F.lit(False)) & F.col("_failed").isNull()
+    ).drop("_failed")
+
+
+def accepted_narrations(narrations: DataFrame, answers: DataFrame) -> DataFrame:
+    """(question_id, narration, accepted) of narrations, at most one for each answer."""
+    told = narrations.join(answers.select("question_id", *JUDGED_BY), "question_id")
+    return judged(told, ["question_id"]).select("question_id", "narration", "accepted")

@@ -42,3 +42,13 @@ def staged(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str, partition: tuple[str, ...] = ()) -> DataFrame:
+    """Write the rows as Parquet below the shared folder and read them again.
+
+    Later readers take the columns and the partitions they need, and see the same rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -17,15 +17,15 @@ def _lit(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _found(*patterns: str, column: str = "q") -> str:
-    return f"regexp_matches({column}, {_lit('(?i)' + '|'.join(patterns))})"
+def _found(pattern: str, column: str = "q") -> str:
+    return f"regexp_matches({column}, {_lit('(?i)' + pattern)})"
 
 
 CHANGE = (
-    f"({_found(*fv.MEDICATION_CHANGE_PHRASES)} OR ({_found(fv.MEDICATION_CHANGE_VERB)} "
+    f"({_found(fv.NEW_PRESCRIPTION_PATTERN)} OR {_found(fv.START_MEDICATION_PATTERN)} OR ({_found(fv.MEDICATION_CHANGE_VERB)} "
     f"AND {_found(fv.MEDICATION_CHANGE_OBJECT)}))"
 )
-HITS = (CHANGE, _found(fv.DISCHARGE_PATTERN), _found(fv.EXTERNAL_PATTERN), _found(*fv.TREATMENT_PATTERNS))
+HITS = (CHANGE, _found(fv.DISCHARGE_PATTERN), _found(fv.EXTERNAL_PATTERN), _found(fv.TREATMENT_PATTERN))
 SQUEEZED = r"trim(regexp_replace(question, '\s+', ' ', 'g'))"
 REFUSAL_LIST = "list_filter([" + ", ".join(
     f"CASE WHEN {hit} THEN '{name}' END" for name, hit in zip(fv.REFUSALS, HITS)

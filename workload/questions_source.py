@@ -28,6 +28,7 @@ TEMPLATES = (
     "Please write a new prescription, and quote the progress note and the drug label.",
     "Tell me something",
     "   ",
+    "Which allergy is recorded for this member?",
 )
 MONTH_NAMES = (
     "January February March April May June July August September October November December".split()
