@@ -8,6 +8,7 @@ memory follows the longest single text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
+KEPT_POWERS = SLICE_BYTES + 1
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: powers keep all 64 bits apart
 
 
@@ -70,6 +72,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             first = last
         del batch
         pa.default_memory_pool().release_unused()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the machine at a task's end; the worker stays for later tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +108,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, size: int) -> np.ndarray:
+    """Powers of the base; those for a longer text than KEPT_POWERS are made anew and not kept."""
     key = f"{base:x}"
     known = _POWERS.get(key)
     if known is None or len(known) < size:
-        steps = np.full(max(size, 1 << 16), base, np.uint64)
+        steps = np.full(max(size, KEPT_POWERS), base, np.uint64)
         steps[0] = 1
-        known = _POWERS[key] = np.cumprod(steps, dtype=np.uint64)
+        known = np.cumprod(steps, dtype=np.uint64)
+        if len(known) == KEPT_POWERS:
+            _POWERS[key] = known
     return known[:size]
 
 

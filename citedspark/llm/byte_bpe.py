@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citedspark.llm.arrays import slices, whole_text
 
 #: Pieces in a generation of a worker's memory. Two are kept, and a piece that is in neither is
 #: merged again, so the limit bounds memory and never a result.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Tree nodes merged side by side.
 _AT_ONCE = 1 << 17
 _NONE = np.int64(2**62)
@@ -41,16 +42,18 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.width = max(self.tokens) + 1
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = [
-            (left * self.width + right, rank)
-            for token, rank in self.ranks.items()
-            for cut in range(1, len(token))
-            if (left := self.ranks.get(token[:cut])) is not None
-            and (right := self.ranks.get(token[cut:])) is not None
-        ]
-        pairs.sort()
-        self.pair_keys = np.array([key for key, _ in pairs], np.int64)
-        self.pair_ranks = np.array([rank for _, rank in pairs], np.int64)
+        pairs = np.fromiter(
+            (
+                (left * self.width + right, rank)
+                for token, rank in self.ranks.items()
+                for cut in range(1, len(token))
+                if (left := self.ranks.get(token[:cut])) is not None
+                and (right := self.ranks.get(token[cut:])) is not None
+            ),
+            np.dtype((np.int64, 2)),
+        )
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair_keys, self.pair_ranks = pairs.T.copy()
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left * self.width + right
@@ -196,3 +199,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def coded(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded of every row: `encode` and `decode` in one pass and one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bpe, memory), split = _loaded(path), regex.compile(pattern).findall
+        for batch in slices(batches, 1):
+            ids = memory.ids(bpe, [split(text) for text in batch.column(1).to_pylist()])
+            decoded = [bpe.decode(each) for each in ids]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
+                names=["doc_id", "ids", "decoded"],
+            )
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(documents).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, ids binary, decoded binary")

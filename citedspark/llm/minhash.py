@@ -35,7 +35,7 @@ BANDS, ROWS = 40, 5
 #: Turns in which bucket members meet a centre before the pairs that are left are compared.
 ROUNDS = 2
 #: Members of a block, and hash values of their sets that are compared at a time.
-BLOCK, COLUMNS = 2048, 4096
+BLOCK, COLUMNS = 2048, 1024
 
 
 def super_minhash(rows: np.ndarray, elements: np.ndarray, documents: int, slots: int) -> np.ndarray:
@@ -189,12 +189,14 @@ def _blocks_compared(threshold: int):
             sides.append((flat[order], rows[order]))
         for first in range(0, 1 << 16, COLUMNS):
             dense = []
-            for (flat, rows), part in zip(sides, (left, right), strict=True):
-                low, high = np.searchsorted(flat, [first, first + COLUMNS])
+            places = [np.searchsorted(flat, [first, first + COLUMNS]) for flat, _ in sides]
+            if any(low == high for low, high in places):
+                continue
+            for (flat, rows), part, (low, high) in zip(sides, (left, right), places, strict=True):
                 block = np.zeros((len(part), COLUMNS), np.float32)
                 np.add.at(block, (rows[low:high], flat[low:high] - first), 1.0)
                 dense.append(block)
-            total += dense[0] @ np.minimum(dense[1], 1.0).T  # every element of the left that may be shared
+            total += dense[0] @ np.minimum(dense[1], 1.0, out=dense[1]).T  # every element of the left that may be shared
         return total
 
     def compared(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,139 +275,9 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
-def _sets_of(texts: DataFrame, classes: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
-    """class, elements of the classes that share a bucket, from one text of each."""
-    chosen = staged(classes.select("class", "least").join(crowded.select("class").distinct(), "class"))
-    wanted = chosen.select(F.col("least").alias("doc_id")).distinct()
-    return (
-        texts.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_listed(width), "class long, elements array<long>, short binary")
-        .join(chosen.select("class"), "class", "left_semi")
-        .dropDuplicates(["class"])
-    )
-
-
-def _placed(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, class, root of the members of buckets that hold several components."""
-    placed = crowded.join(roots.withColumnRenamed("node", "class"), "class")
-    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return placed.join(several.select("bucket"), "bucket", "left_semi")
-
-
-def _to_centres(crowded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's centre with the members of other components.
-
-    The centre is the least member in an order that differs from bucket to bucket and turn to turn.
-    """
-    placed = _placed(crowded, roots)
-    order = F.struct(F.xxhash64("class", "bucket", F.lit(turn)).alias("turn"), F.col("class").alias("centre"), F.col("root").alias("own"))
-    centres = placed.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.centre", "c.own")
-    return (
-        placed.join(centres, "bucket").where("root <> own")
-        .select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-    )
-
-
-def _blocks_compared(threshold: int):
-    """Pairs of a block pair that can be similar enough: their 16-bit sets bound the shared part.
-
-    Rows come sorted by (bucket, i, j); a block pair is at most a few BLOCKs of rows.
-    """
-
-    def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        total = np.zeros((len(left), len(right)), np.float32)
-        sides = []
-        for part in (left, right):
-            flat = np.concatenate(part).astype(np.int64)
-            rows = np.repeat(np.arange(len(part)), [len(each) for each in part])
-            order = np.argsort(flat, kind="stable")
-            sides.append((flat[order], rows[order]))
-        for first in range(0, 1 << 16, COLUMNS):
-            dense = []
-            for (flat, rows), part in zip(sides, (left, right), strict=True):
-                low, high = np.searchsorted(flat, [first, first + COLUMNS])
-                block = np.zeros((len(part), COLUMNS), np.float32)
-                np.add.at(block, (rows[low:high], flat[low:high] - first), 1.0)
-                dense.append(block)
-            total += dense[0] @ np.minimum(dense[1], 1.0).T  # every element of the left that may be shared
-        return total
-
-    def compared(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        left = [row for row in rows if row[5]]
-        right = [row for row in rows if not row[5]]
-        if not left or not right:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sets = [[np.frombuffer(row[6], np.uint16) for row in side] for side in (left, right)]
-        size = [np.array([len(each) for each in side]) for side in sets]
-        if len(left) * len(right) <= 64:
-            both = np.array([[np.isin(a, b).sum() for b in sets[1]] for a in sets[0]])
-        else:
-            both = shared(*sets)
-        union = size[0][:, None] + size[1][None, :] - both
-        root = [np.array([row[4] for row in side]) for side in (left, right)]
-        near, far = np.nonzero((100 * both >= threshold * union) & (root[0][:, None] != root[1][None, :]))
-        node = [np.array([row[3] for row in side]) for side in (left, right)]
-        a, b = node[0][near], node[1][far]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if rows and row[:3] != rows[0][:3]:
-                    found.append(compared(rows))
-                    rows = []
-                rows.append(row)
-            if found:
-                a, b = (np.concatenate(side) for side in zip(*found, strict=True))
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if rows:
-            a, b = compared(rows)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _across(crowded: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that share a bucket and no component and can be similar enough.
-
-    Every bucket has a main component; members of its other components are compared with all
-    members, block by block, and only pairs that pass leave the task. A bucket of two was
-    compared when one member was the other's centre.
-    """
-    placed = _placed(crowded, roots)
-    by_root = placed.groupBy("bucket", "root").count()
-    main = by_root.groupBy("bucket").agg(
-        F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("n")
-    ).where("n > 2").selectExpr("bucket", "main.root AS main_root", "n", "n - main.count AS others")
-    rows = placed.join(main, "bucket").join(sets.select("class", "short"), "class")
-    lefts, rights = F.ceil(F.col("others") / BLOCK).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.xxhash64("class")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    columns = ["bucket", "i", "j", "class", "root", "asks", "short"]
-    asking = rows.where("root <> main_root").select(
-        "*", F.pmod(own, lefts).alias("i"), F.explode(F.sequence(zero, rights - one)).alias("j"), F.lit(True).alias("asks")
-    )
-    asked = rows.select(
-        "*", F.explode(F.sequence(zero, lefts - one)).alias("i"), F.pmod(own, rights).alias("j"), F.lit(False).alias("asks")
-    )
-    dealt = asking.select(columns).union(asked.select(columns)).repartition("bucket", "i", "j")
-    return (
-        dealt.sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_blocks_compared(threshold), "a long, b long").distinct()
-    )
-
-
-def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links."""
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return staged(components(known.union(links), "a", "b"))
-
-
 def _judged(documents: DataFrame, width: int, threshold: int, bands: int, depth: int) -> DataFrame:
     """What `near_duplicates` returns, with the class of each row and the group (a class) it is linked to."""
-    texts = documents.select("doc_id", whole_text(documents).alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(documents).alias("text"))
     signed = staged(
         texts.mapInArrow(
             _signed(width, bands, depth), "doc_id long, n_shingles long, class long, bands array<long>"

@@ -56,8 +56,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 def token_digests(documents: DataFrame) -> DataFrame:
     """Digests of each document's ids and of the bytes they decode to."""
-    path = public_tokenizers.path(RANKS)
-    coded = byte_bpe.decode(byte_bpe.encode(documents, path, public_tokenizers.PATTERN), path)
+    coded = byte_bpe.coded(documents, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
