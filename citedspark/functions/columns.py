@@ -60,9 +60,12 @@ def rate_percent(part: Column, whole: Column) -> Column:
 
 def tidy(value: Column) -> Column:
     """Stripped text; blanks and the words none, nan and null become NULL."""
-    words = "|".join(word for word in BLANK_WORDS if word)
-    stripped = F.regexp_replace(value.cast("string"), rf"(?iU)^\s*({words})?\s*$|^\s+|\s+$", "")
-    return F.nullif(stripped, F.lit(""))
+    words = [word for word in BLANK_WORDS if word]
+    text = value.cast("string")
+    stripped = F.regexp_replace(text, rf"(?iU)^\s*({'|'.join(words)})?\s*$|^\s+|\s+$", "")
+    # Text with a printable ASCII sign at both ends has nothing to strip, and needs no pattern.
+    plain = F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
+    return F.when(plain & ~F.lower(text).isin(words), text).otherwise(F.nullif(stripped, F.lit("")))
 
 
 def normalised_rows(df: DataFrame, extra_aliases: dict[str, Sequence[str]] | None = None) -> DataFrame:

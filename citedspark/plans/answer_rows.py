@@ -18,7 +18,7 @@ from citedspark import fixed_values as fv
 from citedspark.functions import text as X
 from citedspark.functions.citations import citation, problems, rendered_kind
 from citedspark.functions.columns import tidy
-from citedspark.operators.guard import unguarded
+from citedspark.operators.guard import code_pieces, unguarded
 from citedspark.plans import member as M
 from citedspark.plans.conform import Core
 from citedspark.plans.wording import blank, filled, sentence
@@ -161,8 +161,8 @@ def rejected_codes(found: DataFrame, codes: DataFrame) -> DataFrame:
 def guard_failures(found: DataFrame, cells: DataFrame, codes: DataFrame) -> DataFrame:
     """Keys of allergy answers where another code stands without a negation before it.
 
-    The lines about rejected codes negate themselves. Only answers with a digit run other than the
-    quoted code, or with a quoted code that could hold a shorter one, are looked at place by place.
+    The lines about rejected codes negate themselves. Only answers where another code of the
+    section stands in a digit run, or whose quoted code could hold a shorter one, are looked at place by place.
     """
     allergy = found.where((F.col("intent") == ALLERGY) & F.col("refusal").isNull())
     lines = (
@@ -172,10 +172,12 @@ def guard_failures(found: DataFrame, cells: DataFrame, codes: DataFrame) -> Data
             .select(*KEYS, F.lit(CELL).alias("rank"), *DOCUMENT[::2], F.col("unit").alias("text"), "code")
         )
     )
-    other = F.exists(F.regexp_extract_all("text", F.lit(r"[0-9]{6,}"), F.lit(0)), lambda run: run != F.col("code"))
+    runs = F.filter(F.regexp_extract_all("text", F.lit(r"[0-9]{6,}"), F.lit(0)), lambda run: run != F.col("code"))
+    other = code_pieces(lines.select(*KEYS, F.explode(F.array_distinct(runs)).alias("_run")), "_run")
+    shared = other.join(codes.withColumnRenamed("run", "code"), [MEMBER, "code"], "left_semi").select(*KEYS)
     shortest = codes.groupBy(MEMBER).agg(F.min(F.length("run")).alias("shortest"))
     holding = allergy.join(shortest, MEMBER).where(F.length("code") > F.col("shortest")).select(*KEYS)
-    doubtful = written(lines.where(other).select(*KEYS).union(holding).distinct(), "doubtful")
+    doubtful = written(shared.union(holding).distinct(), "doubtful")
     rejected = rejected_codes(found.join(doubtful, KEYS, "left_semi"), codes)
     looked = lines.join(doubtful, KEYS, "left_semi")
     return unguarded(looked, rejected, KEYS, ["rank", "element_id", "document_id"]).where("unguarded > 0").select(*KEYS)

@@ -52,19 +52,14 @@ def evidence_match(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFr
 
 
 def _first_cells(rows: DataFrame, cells: DataFrame, keys: list[str], count: int) -> DataFrame:
-    """The first cells per row. Cells are cut to `count` per member and code before the join."""
-    order = [up("element_id"), up("document_id")]
-    near = Window.partitionBy(MEMBER, "section_loinc", "run").orderBy(*order)
-    nearest = (
-        cell_codes(cells).withColumn("_r", F.dense_rank().over(near)).filter(F.col("_r") <= count).drop("_r")
-    )
+    """The first cells per row. A member shows a few rows a class, so each cell meets a few rows."""
     wanted = rows.select(*keys, "section_loinc", F.explode(X.code_runs(F.col("code"))).alias("run"))
-    matched = (
-        wanted.join(nearest, [MEMBER, "section_loinc", "run"])
-        .groupBy(*keys, "section_loinc", "document_id", "element_id")
-        .agg(F.min("text").alias("text"))
+    near = (
+        wanted.join(cell_codes(cells), [MEMBER, "section_loinc", "run"])
+        .groupBy(*keys, "section_loinc", "document_id", "element_id").agg(F.min("text").alias("text"))
     )
-    return top_rows(matched, keys, order, count, "sub")
+    order = [up("element_id"), up("document_id")]
+    return top_rows(near, keys, order, count, "sub")
 
 
 # --- list answers, per member -------------------------------------------------
