@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citedspark.session import staged
+from citedspark.session import written
 
 _SLICE = "_slice"
 
@@ -35,10 +35,11 @@ def running_total(
     """
     spark = df.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = staged(
+    placed = written(
         df.withColumn("_value", value.cast("long"))
         .repartitionByRange(slices, *keys, *order)
-        .withColumn(_SLICE, F.spark_partition_id())
+        .withColumn(_SLICE, F.spark_partition_id()),
+        "slices",
     )
     before = Window.unboundedPreceding, -1
     local = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(*before)

@@ -128,7 +128,7 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cell_parse_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written from order lines and parsed back: every cell, numbered."""
-    return D.numbered_cells(D.extract_cells(parsed(spark, folder))).drop("narrative_system_uri")
+    return D.cell_table(parsed(spark, folder)).drop("narrative_system_uri")
 
 
 @query(
@@ -190,7 +190,7 @@ def corpus_verdict(spark: SparkSession, folder: str) -> DataFrame:
     source = Source(spark, folder)
     nodes = parsed(spark, folder)
     docs = D.document_headers(nodes).select("document_id", "patient_id")
-    numbered = D.numbered_cells(D.extract_cells(nodes))
+    numbered = D.cell_table(nodes)
     facts = numbered.filter((F.col("element_id") == "medications-desc-1")).select(
         "csv_table", F.col("document_id").alias("patient_id"), F.col("narrative_code").alias("code"),
         F.col("row_start").alias("start"), F.lit("e").alias("encounter"),
