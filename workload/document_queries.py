@@ -14,11 +14,8 @@ from workload.registry import query
 from workload.tables import Source, coded, joined, text
 
 
-def xml_documents(source: Source) -> DataFrame:
-    """One small document per order line, part and supplier, as (source_file, content).
-
-    Line 7 names another patient than its document; line 6 repeats its element ids.
-    """
+def xml_keys(source: Source) -> DataFrame:
+    """The keys, dates and uuid of each document."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     # A fixed number of partitions: small ones would be merged, but parsing costs more than bytes.
     parts = max(
@@ -39,6 +36,15 @@ def xml_documents(source: Source) -> DataFrame:
         "-", digits("l_suppkey", 8), digits("l_linenumber", 4), F.substring(digits("l_partkey", 8), 1, 4),
         F.substring(digits("l_partkey", 8), 5, 4), digits("l_orderkey", 12),
     )
+    return lines.withColumn("uuid", uuid)
+
+
+def xml_documents(source: Source) -> DataFrame:
+    """One small document per order line, part and supplier, as (source_file, content).
+
+    Line 7 names another patient than its document; line 6 repeats its element ids.
+    """
+    lines, uuid = xml_keys(source), F.col("uuid")
     role = F.when(F.col("l_linenumber") == 7, joined("x", uuid)).otherwise(uuid)
     part, supplier, other = coded(100000, "l_partkey"), coded(500000, "l_suppkey"), coded(900000, "l_suppkey")
     start = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -203,6 +209,88 @@ def corpus_verdict(spark: SparkSession, folder: str) -> DataFrame:
     return P.verdict(P.corpus_failures(nodes, cells, facts, members))
 
 
+def expectations(source: Source) -> DataFrame:
+    """What the documents should hold by the order lines, with names that lack, differ, and are not foreseen."""
+    lines = source.order_lines().select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    total = F.count("*")
+    sixes = F.count_if(F.col("l_linenumber") == 6)
+    wanted = {
+        ("corpus", "documents"): total,
+        ("corpus", "narrative rows"): total * 4,
+        ("prefix", "medications"): total,
+        ("prefix", "allergies"): sixes,  # never written
+        ("section", "10160-0"): total,
+        ("section", "48765-2"): F.lit(0),  # none wanted, none there
+        ("title", "10160-0 Medications"): total - sixes,  # sixes too few
+        ("title", "11450-4 Problems"): total,
+        ("document code", "34133-9"): total,
+        ("element", "medications-desc-1"): total,
+        ("element", "medications-desc-2"): F.lit(1),
+    }
+    rows = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), n.cast("long").alias("expected"))
+        for (kind, name), n in wanted.items()
+    ])
+    return lines.agg(rows.alias("rows")).select(F.inline("rows"))
+
+
+@query(
+    """SELECT kind, name, expected, actual,
+              CASE WHEN expected IS NULL THEN 'extra' WHEN expected = actual THEN 'ok'
+                   WHEN actual = 0 THEN 'missing' ELSE 'differs' END AS verdict
+       FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (l_linenumber = 6) AS six FROM v_doc), LATERAL (
+           VALUES ('corpus', 'documents', n, n), ('corpus', 'narrative rows', 4 * n, 4 * n),
+                  ('prefix', 'medications', n, n), ('prefix', 'allergies', six, 0), ('prefix', 'conditions', NULL, n),
+                  ('section', '10160-0', n, n), ('section', '48765-2', 0, 0), ('section', '11450-4', NULL, n),
+                  ('title', '10160-0 Medications', n - six, n), ('title', '11450-4 Problems', n, n),
+                  ('document code', '34133-9', n, n),
+                  ('element', 'medications-desc-1', n, n), ('element', 'medications-desc-2', 1, 0)
+       ) AS t(kind, name, expected, actual)""",
+    DOC_VIEWS,
+)
+def corpus_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected and observed counts of the documents, with passing and failing lines."""
+    source = Source(spark, folder)
+    nodes, wanted = parsed(spark, folder), expectations(source)
+    named = wanted.where("kind = 'element'").select(F.col("name").alias("element_id"))
+    return P.expectation_checks(P.observed(nodes, D.extract_cells(nodes), named), wanted)
+
+
+@query(
+    """SELECT uuid AS document_id, element_id, field, value, found,
+              COALESCE(CASE field WHEN 'rejects' THEN list_contains(string_split(found, '|'), value)
+                                  ELSE found = value END, FALSE) AS ok
+       FROM (SELECT uuid, unnest([
+               {'element_id': 'medications-desc-1', 'field': 'code', 'value': CAST(100000 + l_partkey AS VARCHAR),
+                'found': CAST(100000 + l_partkey AS VARCHAR)},
+               {'element_id': 'medications-desc-1', 'field': 'rejects', 'value': CAST(900000 + l_suppkey AS VARCHAR),
+                'found': CAST(900000 + l_suppkey AS VARCHAR)},
+               {'element_id': 'conditions-desc-1', 'field': 'rejects', 'value': CAST(100000 + l_partkey AS VARCHAR),
+                'found': '64572001'},
+               {'element_id': 'conditions-code-1', 'field': 'patient_id', 'value': uuid,
+                'found': CASE WHEN l_linenumber = 7 THEN 'x' || uuid ELSE uuid END},
+               {'element_id': 'medications-desc-9', 'field': 'text', 'value': 'any', 'found': NULL}
+             ], recursive := true) FROM v_doc)""",
+    DOC_VIEWS,
+)
+def worked_example(spark: SparkSession, folder: str) -> DataFrame:
+    """Five expectations about cells of every document: some hold, some do not, one cell is not there."""
+    docs = xml_keys(Source(spark, folder))
+
+    def wanted(element: str, field: str, value):
+        return F.struct(F.lit(element).alias("element_id"), F.lit(field).alias("field"), value.alias("value"))
+
+    part = coded(100000, "l_partkey")
+    expected = docs.select(F.col("uuid").alias("document_id"), F.inline(F.array(
+        wanted("medications-desc-1", "code", part),
+        wanted("medications-desc-1", "rejects", coded(900000, "l_suppkey")),
+        wanted("conditions-desc-1", "rejects", part),
+        wanted("conditions-code-1", "patient_id", F.col("uuid")),
+        wanted("medications-desc-9", "text", F.lit("any")),
+    )))
+    return P.worked_example(D.extract_cells(parsed(spark, folder)), expected)
+
+
 # --- matching with collisions ---------------------------------------------------
 def event_cells(source: Source) -> DataFrame:
     """A description and a code cell per event; days are shared by many events."""
