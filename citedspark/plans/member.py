@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citedspark.fixed_values import ANTIHISTAMINE_WORDS
@@ -171,10 +171,14 @@ def _panels() -> dict[str, Panel]:
             15,
         ),
         "conditions": Panel(
-            "condition", ("start_date as start_ts", "stop_date as stop_ts", *spans), (up("start_date"), up("code"))
+            "condition",
+            ("start_date as start_ts", "stop_date as stop_ts", *spans),
+            (up("start_date"), up("code"), up("encounter_id"), up("source_file_row_number")),
         ),
         "medications": Panel(
-            "medication", ("start_ts", "stop_ts", *spans, "dispenses"), (up("start_ts"), up("code"))
+            "medication",
+            ("start_ts", "stop_ts", *spans, "dispenses"),
+            (up("start_ts"), up("code"), up("encounter_id"), up("source_file_row_number")),
         ),
         "labs": Panel(
             "observation",
@@ -186,7 +190,7 @@ def _panels() -> dict[str, Panel]:
         "coverage": Panel(
             "member_coverage",
             ("start_ts as start_date", "end_ts as end_date", "member_id", "payer_id", "payer_name"),
-            (up("start_ts"), up("payer_id")),
+            (up("start_ts"), up("payer_id"), up("end_ts"), up("member_id")),
         ),
         # evidence for answers
         "recent_encounters": Panel(
@@ -259,7 +263,8 @@ def _panels() -> dict[str, Panel]:
 def panel(core: Core, name: str, member: str | None = None, members: DataFrame | None = None) -> DataFrame:
     """A panel for all members, one member, or the members of a table of ids.
 
-    Limited panels carry `position`; the others come sorted inside the member's rows.
+    `position` counts a member's rows in the panel's order. Rows are sorted inside the placement by
+    member; there is no sort across members.
     """
     wanted = _panels()[name]
     df = member_coverage(core) if wanted.view == "member_coverage" else core[wanted.view]
@@ -270,7 +275,8 @@ def panel(core: Core, name: str, member: str | None = None, members: DataFrame |
         df = df.join(members.select(MEMBER), MEMBER, "left_semi")
     columns = [F.expr(f"`{c.split(' as ')[0]}`").alias(c.split(" as ")[-1]) for c in wanted.columns]
     if wanted.limit is None:
-        return df.orderBy(MEMBER, *wanted.order).select(MEMBER, *columns)
+        place = F.row_number().over(Window.partitionBy(MEMBER).orderBy(*wanted.order))
+        return df.withColumn("position", place).select(MEMBER, *columns, "position")
     return top_rows(df, [MEMBER], wanted.order, wanted.limit).select(MEMBER, *columns, "position")
 
 
@@ -322,11 +328,12 @@ CELL_FIELDS = ("document_id", MEMBER, "section_loinc", "section_title", "element
 
 
 def section_cells(core: Core, section: str, member: str | None = None) -> DataFrame:
+    """The cells of a section, with their position by element id inside the member's rows."""
+    place = F.row_number().over(Window.partitionBy(MEMBER).orderBy(up("element_id"), up("document_id"), up("text")))
     return (
         for_member(core["document_section"], member)
         .filter(F.col("section_loinc") == section)
-        .select(*CELL_FIELDS)
-        .orderBy(MEMBER, up("element_id"))
+        .select(*CELL_FIELDS, place.alias("position"))
     )
 
 
@@ -376,15 +383,59 @@ def population(core: Core) -> DataFrame:
     )
 
 
-def chart(core: Core, member: str) -> dict[str, DataFrame]:
-    """The ten panels of one member."""
-    counts = child_counts(core, member)
-    return {
-        "encounter_counts": encounter_class_counts(core, member).orderBy(
-            F.desc("encounter_count"), "encounter_class"
+def chart(core: Core, member: str | None = None) -> DataFrame:
+    """The ten panels of all members, or of one, as rows: patient_id, panel, position, moment, code, label.
+
+    `moment` is the row's time, `code` its key and `label` its words or its count. A panel without rows
+    for a member has none here.
+    """
+
+    def rows(df: DataFrame, name: str, at: str | None, code: str | None, label: Column, position: Column | str = "position") -> DataFrame:
+        nothing = F.lit(None).cast("string")
+        return df.select(
+            MEMBER, F.lit(name).alias("panel"), (F.col(position) if isinstance(position, str) else position).cast("int").alias("position"),
+            (F.col(at).cast("string") if at else nothing).alias("moment"), (F.col(code) if code else nothing).alias("code"),
+            label.cast("string").alias("label"),
+        )
+
+    first = F.lit(1)
+    by_count = Window.partitionBy(MEMBER).orderBy(F.desc("encounter_count"), "encounter_class")
+    classes = encounter_class_counts(core, member).withColumn("position", F.row_number().over(by_count))
+    counts = child_counts(core, member).select(
+        MEMBER, F.inline(F.array(*[F.struct(F.lit(f"{kind}_count").alias("panel"), F.col(f"{kind}_count").alias("n")) for kind in ("lab", "claim", "line")]))
+    ).where("n > 0")
+    description = F.col("description")
+    parts = [
+        rows(classes, "encounter_counts", None, "encounter_class", F.col("encounter_count")),
+        rows(panel(core, "encounters", member), "encounters", "start_ts", "encounter_id", description),
+        rows(panel(core, "conditions", member), "conditions", "start_ts", "code", description),
+        rows(panel(core, "medications", member), "medications", "start_ts", "code", description),
+        rows(panel(core, "labs", member), "labs", "observed_at", "code", F.col("value")),
+        counts.select(
+            MEMBER, "panel", first.alias("position"), F.lit(None).cast("string").alias("moment"),
+            F.lit(None).cast("string").alias("code"), F.col("n").cast("string").alias("label"),
         ),
-        **{name: panel(core, name, member) for name in ("encounters", "conditions", "medications", "labs")},
-        **{f"{kind}_count": counts.select(MEMBER, f"{kind}_count") for kind in ("lab", "claim", "line")},
-        "claim_on_encounter": first_claim_on_encounter(core, member),
-        "coverage": panel(core, "coverage", member),
-    }
+        rows(first_claim_on_encounter(core, member), "claim_on_encounter", "service_date", "claim_id", F.col("diagnosis1"), first),
+        rows(panel(core, "coverage", member), "coverage", "start_date", "payer_id", F.col("payer_name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Folders that member tables are dealt to, so that one member's rows lie in one of them.
+MEMBER_FOLDERS = 64
+
+
+def write_by_member(rows: DataFrame, path: str, folders: int = MEMBER_FOLDERS) -> None:
+    """Rows with a patient_id as Parquet in `folders` folders by member, sorted by member inside a file."""
+    folder = F.pmod(F.xxhash64(MEMBER), F.lit(folders)).cast("int")
+    placed = rows.withColumn("folder", folder).repartition("folder", MEMBER).sortWithinPartitions("folder", MEMBER)
+    placed.write.partitionBy("folder").parquet(path)
+
+
+def read_member(spark: SparkSession, path: str, member: str, folders: int = MEMBER_FOLDERS) -> DataFrame:
+    """One member's rows of what `write_by_member` wrote: one folder is listed, and the filter reaches its files."""
+    return spark.sql(
+        "SELECT * EXCEPT (folder) FROM {rows} WHERE folder = pmod(xxhash64(:member), :folders) AND patient_id = :member",
+        args={"member": member, "folders": folders},
+        rows=spark.read.parquet(path),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citedspark.functions import columns as C
 from citedspark.plans import member as M
+from citedspark.session import scratch_path
 from workload.registry import query
 from workload.tables import Source
 
@@ -112,12 +113,17 @@ panel_query(
 )
 panel_query(
     "conditions",
-    """SELECT patient_id, start_date AS start_ts, stop_date AS stop_ts, encounter_id, code, description
-       FROM v_condition""",
+    ranked(
+        "start_date AS start_ts, stop_date AS stop_ts, encounter_id, code, description", "v_condition",
+        "start_date, code, encounter_id, row_no", 1 << 40,
+    ),
 )
 panel_query(
     "medications",
-    "SELECT patient_id, start_ts, stop_ts, encounter_id, code, description, dispenses FROM v_medication",
+    ranked(
+        "start_ts, stop_ts, encounter_id, code, description, dispenses", "v_medication",
+        "start_ts, code, encounter_id, row_no", 1 << 40,
+    ),
 )
 panel_query(
     "labs",
@@ -128,7 +134,10 @@ panel_query(
 )
 panel_query(
     "coverage",
-    "SELECT patient_id, start_ts AS start_date, end_ts AS end_date, member_id, payer_id, payer_name FROM v_coverage",
+    ranked(
+        "start_ts AS start_date, end_ts AS end_date, member_id, payer_id, payer_name", "v_coverage",
+        "start_ts, payer_id, end_ts, member_id", 1 << 40,
+    ),
 )
 panel_query(
     "recent_encounters",
@@ -232,7 +241,8 @@ def allergy_rows_by_day(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT document_id, patient_id, section_loinc, section_title, element_id, "text", code
+    """SELECT document_id, patient_id, section_loinc, section_title, element_id, "text", code,
+              CAST(ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY element_id, document_id, "text") AS INTEGER) AS position
        FROM v_section WHERE section_loinc = '48765-2'"""
 )
 def section_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,3 +349,53 @@ def row_normalise(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Observed_At"),
     )
     return C.normalised_rows(messy).select(F.col("event_id").cast("bigint"), "patient_id", "start")
+
+
+def _chart(panel: str, view: str, at: str, code: str, label: str, order: str, limit: int = 1 << 40, where: str = "TRUE") -> str:
+    return f"""SELECT patient_id, '{panel}' AS panel, CAST(ROW_NUMBER() OVER w AS INTEGER) AS position,
+                      CAST({at} AS VARCHAR) AS moment, {code} AS code, CAST({label} AS VARCHAR) AS label
+               FROM {view} WHERE {where} WINDOW w AS (PARTITION BY patient_id ORDER BY {order})
+               QUALIFY ROW_NUMBER() OVER w <= {limit}"""
+
+
+def _chart_count(panel: str, view: str, where: str = "TRUE") -> str:
+    return f"""SELECT patient_id, '{panel}', 1, NULL, NULL, CAST(COUNT(*) AS VARCHAR) FROM {view} WHERE {where}
+               GROUP BY patient_id"""
+
+
+CHART_VIEWS = {
+    "v_class_count": "SELECT patient_id, encounter_class, COUNT(*) AS n FROM v_encounter GROUP BY 1, 2",
+    "v_chart": " UNION ALL ".join([
+        _chart("encounter_counts", "v_class_count", "NULL", "encounter_class", "n", "n DESC, encounter_class"),
+        _chart("encounters", "v_encounter", "start_ts", "encounter_id", "description", "start_ts DESC, encounter_id", 15),
+        _chart("conditions", "v_condition", "start_date", "code", "description", "start_date, code, encounter_id, row_no"),
+        _chart("medications", "v_medication", "start_ts", "code", "description", "start_ts, code, encounter_id, row_no"),
+        _chart("labs", "v_observation", "observation_ts", "code", "value_text", "observation_ts DESC, row_no DESC", 25, LAB),
+        _chart_count("lab_count", "v_observation", LAB),
+        _chart_count("claim_count", "v_claim"),
+        _chart_count("line_count", "v_claim_line"),
+        _chart("claim_on_encounter", "v_claim_encounter", "service_ts", "claim_id", "diagnosis_1", "service_ts, claim_id", 1),
+        _chart("coverage", "v_coverage", "start_ts", "payer_id", "payer_name", "start_ts, payer_id, end_ts, member_id"),
+    ]),
+}
+CHART = "patient_id, panel, position, moment, code, label"
+
+
+@query(f"SELECT {CHART} FROM v_chart", CHART_VIEWS)
+def member_chart(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten panels of every member, each row with its place."""
+    return M.chart(Source(spark, folder).core())
+
+
+@query(
+    f"""SELECT {CHART} FROM v_chart WHERE patient_id = (
+            SELECT patient_id FROM v_encounter GROUP BY 1 ORDER BY COUNT(*) DESC, patient_id LIMIT 1)""",
+    CHART_VIEWS,
+)
+def one_member_chart(spark: SparkSession, folder: str) -> DataFrame:
+    """The chart of the member with the most encounters, from charts of all members dealt out by member."""
+    core = Source(spark, folder).core()
+    path = scratch_path(spark, "charts")
+    M.write_by_member(M.chart(core), path)
+    busiest = core["encounter"].groupBy("patient_id").count().orderBy(F.desc("count"), "patient_id").first()
+    return M.read_member(spark, path, busiest["patient_id"])
