@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citedspark.functions.columns import whole_number
-from citedspark.sources.flat_files import read_table
 from citedspark.schemas import LINEAGE, MEMBER_COLUMNS, TABLES, Table
 
 Core = Mapping[str, DataFrame]
@@ -31,7 +30,7 @@ def conformed(raw: DataFrame, table: Table | str) -> DataFrame:
 def read_core(spark: SparkSession, target: str, files: tuple[str, ...] = tuple(TABLES)) -> dict[str, DataFrame]:
     """All conformed views over the loaded tables of a folder."""
     return {
-        TABLES[name].view: conformed(read_table(spark, f"{target}/{name}"), name) for name in files
+        TABLES[name].view: conformed(spark.table(f"{target}.{name}"), name) for name in files
     }
 
 

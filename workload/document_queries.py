@@ -10,6 +10,7 @@ from citedspark.functions import text as X
 from citedspark.operators.reconcile import match_cells, with_matches
 from citedspark.plans import corpus as P
 from citedspark.sources import documents as D
+from citedspark.sources import flat_files as L
 from workload.registry import query
 from workload.tables import Source, coded, joined, text
 
@@ -417,3 +418,19 @@ def element_names(spark: SparkSession, folder: str) -> DataFrame:
         element, X.element_prefix(element).alias("prefix"), X.element_role(element).alias("role"),
         X.paired_element(element).alias("pair"),
     )
+
+
+@query(
+    """SELECT 2 * COUNT(*) AS row_count, COUNT(DISTINCT CAST(e.user_id AS VARCHAR)) AS document_count,
+              COUNT(DISTINCT CAST(e.user_id AS VARCHAR)) AS patient_count, CAST(0 AS BIGINT) AS identity_mismatch_rows,
+              COUNT(*) FILTER (m.csv_table = 'medications') AS medication_desc, CAST(0 AS BIGINT) AS allergy_desc,
+              COUNT(*) FILTER (m.csv_table = 'medications' AND csv_match = 'Y') AS medication_matched,
+              CAST(0 AS BIGINT) AS allergy_matched
+       FROM v_matched m JOIN events e ON e.event_id = m.event_id""",
+    MATCH_VIEWS,
+)
+def load_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """One row that describes the matched cells of the events."""
+    source = Source(spark, folder)
+    cells = event_cells(source)
+    return L.load_summary(with_matches(cells, match_cells(cells, event_facts(source))))
