@@ -87,6 +87,31 @@ def orphans(
     return keys.join(known, "k", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
 
 
+def link_orphans(
+    spark: SparkSession,
+    links: Mapping[str, tuple[DataFrame, str, str]],
+    parents: Mapping[str, tuple[DataFrame, str]],
+    required: frozenset[str] = frozenset(),
+) -> DataFrame:
+    """One row: for each named link (child, column, parent's name) the child rows without a parent.
+
+    All links share one grouping and one join: the keys of all children are stacked and counted,
+    so a key that fills a table is one row for each of its links. A blank key is an orphan only
+    of a link in `required`.
+    """
+    of = F.lit
+    stacked = union([
+        (child if name in required else child.where(F.col(column).isNotNull()))
+        .select(of(name).alias("link"), of(parent).alias("parent"), F.col(column).cast("string").alias("key"))
+        for name, (child, column, parent) in links.items()
+    ])
+    known = union([
+        df.select(of(name).alias("parent"), F.col(key).cast("string").alias("key")) for name, (df, key) in parents.items()
+    ])
+    lost = stacked.groupBy("link", "parent", "key").agg(F.count("*").alias("n")).join(known, ["parent", "key"], "left_anti")
+    return lost.agg(*[F.coalesce(F.sum(F.when(F.col("link") == name, F.col("n"))), F.lit(0)).alias(name) for name in links])
+
+
 def measured(df: DataFrame, **checks: Column) -> DataFrame:
     """One row with a conditional row count per check, in one pass."""
     return df.agg(*[F.count_if(condition).alias(name) for name, condition in checks.items()])

@@ -37,27 +37,38 @@ def row_count_gates(spark: SparkSession, folder: str) -> DataFrame:
     return G.gate_rows(G.row_counts({f"raw_{t}_rows": source.table(t) for t in TABLES}), {})
 
 
+# A view and the tables whose rows it should have; claims are fewer than lines, cells are more.
 PAIRS = {
-    "patient": "customer", "encounter": "orders", "condition": "lineitem", "medication": "lineitem",
-    "procedure": "lineitem", "payer": "nation", "payer_transition": "orders", "claim_line": "lineitem",
+    "patient": ("customer",), "encounter": ("orders",), "condition": ("lineitem",), "medication": ("lineitem",),
+    "procedure": ("lineitem",), "payer": ("nation",), "payer_transition": ("orders",), "claim_line": ("lineitem",),
+    "observation": ("events", "orders"), "allergy": ("orders",), "careplan": ("orders",), "immunization": ("events",),
+    "device": ("lineitem",), "imaging_study": ("orders",), "supply": ("lineitem",), "claim": ("lineitem",),
+    "document_section": ("lineitem",),
 }
-SQL_NAME = {"payer_transition": "v_transition"}
+SQL_NAME = {"payer_transition": "v_transition", "imaging_study": "v_imaging", "document_section": "v_section"}
 
 
-@query(
-    gate_sql(
-        {
-            f"core_{view}_matches_raw": (
-                0, f"(SELECT COUNT(*) FROM {SQL_NAME.get(view, 'v_' + view)}) - (SELECT COUNT(*) FROM {table})"
-            )
-            for view, table in PAIRS.items()
-        }
+def _view(name: str) -> str:
+    return SQL_NAME.get(name, f"v_{name}")
+
+
+VIEW_CHECKS = {
+    f"core_{view}_matches_raw": (
+        0, f"(SELECT COUNT(*) FROM {_view(view)}) - " + " - ".join(f"(SELECT COUNT(*) FROM {table})" for table in tables)
     )
-)
+    for view, tables in PAIRS.items()
+}
+
+
+@query(gate_sql(VIEW_CHECKS))
 def view_count_gates(spark: SparkSession, folder: str) -> DataFrame:
     source = Source(spark, folder)
     core = source.core()
-    pairs = {f"core_{view}_matches_raw": (core[view], source.table(table)) for view, table in PAIRS.items()}
+
+    def rows(tables: tuple[str, ...]) -> DataFrame:
+        return G.union([source.table(table).select(F.lit(1).alias("one")) for table in tables])
+
+    pairs = {f"core_{view}_matches_raw": (core[view], rows(tables)) for view, tables in PAIRS.items()}
     return G.gate_rows(G.size_differences(pairs), {})
 
 
@@ -158,6 +169,74 @@ def orphan_gates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PARENTS = {"patient": "patient_id", "encounter": "encounter_id", "payer": "payer_id", "claim": "claim_id"}
+VIEW_LINKS = {
+    **{f"{view}_{key}": (view, key, parent)
+       for view in ("condition", "medication", "procedure", "allergy", "careplan", "immunization", "imaging_study", "device",
+                    "supply", "observation")
+       for key, parent in (("patient_id", "patient"), ("encounter_id", "encounter"))},
+    **{f"{view}_{key}": (view, key, parent) for view, key, parent in (
+        ("encounter", "patient_id", "patient"), ("claim", "patient_id", "patient"), ("claim", "appointment_id", "encounter"),
+        ("claim", "primary_payer_id", "payer"), ("claim_line", "claim_id", "claim"), ("claim_line", "patient_id", "patient"),
+        ("claim_line", "appointment_id", "encounter"), ("payer_transition", "patient_id", "patient"),
+        ("payer_transition", "payer_id", "payer"), ("payer_transition", "secondary_payer_id", "payer"),
+        ("document_section", "patient_id", "patient"),
+    )},
+}
+LINK_CHECKS = {
+    f"link_{name}": (
+        0,
+        f"SELECT COUNT(*) FROM {_view(view)} c WHERE c.{key} IS NOT NULL AND c.{key} NOT IN "
+        f"(SELECT {PARENTS[parent]} FROM {_view(parent)})",
+    )
+    for name, (view, key, parent) in VIEW_LINKS.items()
+}
+
+
+def _link_gates(spark: SparkSession, core) -> DataFrame:
+    links = {f"link_{name}": (core[view], key, parent) for name, (view, key, parent) in VIEW_LINKS.items()}
+    return G.gate_rows(G.link_orphans(spark, links, {name: (core[name], key) for name, key in PARENTS.items()}), {})
+
+
+@query(gate_sql(LINK_CHECKS))
+def link_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every link between the views: rows whose key has no parent."""
+    return _link_gates(spark, Source(spark, folder).core())
+
+
+KNOWN = {
+    "failed_high_orders": (0, "SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000"),
+    "first_order": (1, "SELECT COUNT(*) FROM orders WHERE o_orderkey = (SELECT MIN(o_orderkey) FROM orders)"),
+    "unknown_status": (0, "SELECT COUNT(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'P')"),
+    "urgent_orders": (1, "SELECT COUNT(*) FROM orders WHERE o_orderpriority ILIKE '%urgent%'"),
+}
+
+
+@query(gate_sql(KNOWN))
+def known_row_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that must, or must not, be there; two of the expectations are wrong."""
+    orders = Source(spark, folder).table("orders")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    status = F.col("o_orderstatus")
+    return G.known_rows(
+        orders, {name: expected for name, (expected, _) in KNOWN.items()},
+        failed_high_orders=(status == "F") & (F.col("o_totalprice") > 400000),
+        first_order=F.col("o_orderkey") == F.lit(first),
+        unknown_status=~status.isin("F", "O", "P"),
+        urgent_orders=F.col("o_orderpriority").ilike("%urgent%"),
+    )
+
+
+@query(
+    f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY CASE status WHEN 'FAIL' THEN 0 ELSE 1 END, check_name) AS INTEGER)
+               AS position FROM ({gate_sql({**VIEW_CHECKS, **KNOWN, **LINK_CHECKS})})"""
+)
+def gate_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Three families of gates in one report, failures first."""
+    families = [view_count_gates(spark, folder), known_row_gates(spark, folder), link_gates(spark, folder)]
+    return G.report(G.union(families))
+
+
 @query(
     gate_sql(
         {
