@@ -101,24 +101,6 @@ def has_banned_claim(text: Column) -> Column:
     return rest.rlike("|".join(fv.BANNED_CLAIMS))
 
 
-def rejected_code_guarded(text: Column, quoted: Column, rejected: Column, reach: int = 80) -> Column:
-    """Each mention of a rejected code has 'not' shortly before it, beside the quoted code."""
-    pieces = F.split(text, F.concat(F.lit(r"\Q"), rejected, F.lit(r"\E")))
-    each_guarded = F.forall(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda upto: F.lower(
-            F.right(
-                F.call_function("array_join", F.slice(pieces, F.lit(1), upto), rejected), F.lit(reach)
-            )
-        ).contains("not"),
-    )
-    return (
-        F.when(~text.contains(rejected), F.lit(True))
-        .when(~text.contains(quoted), F.lit(False))
-        .otherwise(each_guarded)
-    )
-
-
 def percent_text(fraction: Column) -> Column:
     return F.format_string("%.2f%%", fraction.cast("double") * 100)
 

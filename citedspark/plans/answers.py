@@ -92,7 +92,9 @@ def evidence_rows(core: Core, members: DataFrame, intents: tuple[str, ...], coun
         return core[view].select(
             F.lit(intent).alias("intent"), MEMBER, closed.alias("_closed"),
             F.col(start).cast("timestamp_ntz").alias("_start"), F.col(last).alias("_last"),
-            F.col("source_file_row_number").alias("_row"), "encounter_id", "code",
+            # A care plan has an id of its own, which ends its order.
+            (F.lit(None).cast("long") if last == "careplan_id" else F.col("source_file_row_number")).alias("_row"),
+            "encounter_id", "code",
             F.col(start).cast("string").alias("start"), "description",
         )
 

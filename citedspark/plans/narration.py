@@ -46,7 +46,7 @@ JUDGED_BY = ["status", "citations", "quoted_codes", "rejected_codes"]
 
 
 def judged(told: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of (keys, narration, JUDGED_BY) with `accepted`; keys are unique.
+    """The rows of (keys, narration, JUDGED_BY) with `accepted`; rows of equal keys are equal.
 
     Every citation and quoted code is kept, every mention of a rejected code is negated, and
     there is no claim and no outside label. Mentions are found in one pass over the texts of
@@ -61,7 +61,7 @@ def judged(told: DataFrame, keys: list[str]) -> DataFrame:
         & F.forall("quoted_codes", lambda code: said.contains(code))
         & ~said.rlike("(?iU)" + fv.EXTERNAL_LABEL_PATTERN)
     )
-    guarded = told.where(keep & (F.size("rejected_codes") > 0) & (F.size("quoted_codes") > 0))
+    guarded = told.where(keep & (F.size("rejected_codes") > 0) & (F.size("quoted_codes") > 0)).dropDuplicates(keys)
     rejected = guarded.select(*keys, F.explode(F.array_distinct("rejected_codes")).alias("code"))
     bare = unguarded(guarded.withColumn("_line", F.lit(0)), rejected, keys, ["_line"], "narration")
     failed = bare.where("unguarded > 0").select(*keys, F.lit(True).alias("_failed"))
@@ -71,6 +71,6 @@ def judged(told: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def accepted_narrations(narrations: DataFrame, answers: DataFrame) -> DataFrame:
-    """(question_id, narration, accepted) of narrations, at most one for each answer."""
+    """(question_id, narration, accepted) of every narration; an answer may have several."""
     told = narrations.join(answers.select("question_id", *JUDGED_BY), "question_id")
-    return judged(told, ["question_id"]).select("question_id", "narration", "accepted")
+    return judged(told, ["question_id", "narration"]).select("question_id", "narration", "accepted")

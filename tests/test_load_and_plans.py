@@ -1,3 +1,4 @@
+import uuid
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from citedspark.operators import metrics as S
 from citedspark.plans import cohort as K
 from citedspark.plans import conform
 from citedspark.schemas import TABLES
+from citedspark.sources import facts as FA
 from citedspark.sources import files as FS
 from citedspark.sources import flat_files as L
 
@@ -62,16 +64,62 @@ def test_timestamps_keep_their_digits_in_any_zone(spark, tmp_path):
 @pytest.mark.parametrize("bad", ["2005-06-18,p,e,c,d\n", "06/18/2005,p,e,c,d,1\n", "2005-06-18,p,e,c,d,many\n"])
 def test_bad_rows_stop_the_load_and_keep_the_old_table(spark, tmp_path, bad):
     head = "DATE,PATIENT,ENCOUNTER,CODE,DESCRIPTION,QUANTITY\n"
-    target = str(tmp_path / "supplies")
+    database = f"load_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    target = f"{database}.supplies"
     good = write(tmp_path, "good", head + "2005-06-18,p,e,c,d,1\n")
     for _ in range(2):
         L.refresh(L.load_table(spark, good, "supplies", "b", NOW), target)
     with pytest.raises(Exception):
         L.refresh(L.load_table(spark, write(tmp_path, "bad", head + bad), "supplies", "b", NOW), target)
-    assert L.read_table(spark, target).count() == 1
-    more = write(tmp_path, "more", head + "2005-06-18,p,e,c,d,1\n2005-06-19,p,e,c,d,2\n")
-    L.refresh(L.load_table(spark, more, "supplies", "b", NOW), target)
-    assert L.read_table(spark, target).count() == 2
+    assert spark.table(target).count() == 1
+    more = L.load_table(spark, write(tmp_path, "more", head + "2005-06-18,p,e,c,d,1\n2005-06-19,,e,c,d,2\n"), "supplies", "b", NOW)
+    with pytest.raises(ValueError, match="missing_patient 1"):
+        L.refresh(more, target, L.required_filled("supplies"))
+    assert spark.table(target).count() == 1
+    moved = more.select(*reversed(more.columns))  # columns go by name
+    assert L.refresh(moved, target, {"no_day": F.col("date").isNull()}) == {"row_count": 2, "no_day": 0}
+    assert {r["quantity"] for r in spark.table(target).collect()} == {1, 2}
+    assert {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").collect()} == {"supplies"}
+
+
+def test_sources_that_lack_files_columns_or_ids(spark, tmp_path):
+    write(tmp_path, "medications", "START,PATIENT,ENCOUNTER,CODE\n2005-06-18,p,e, c \n")
+    write(tmp_path, "procedures", "START,PATIENT,ENCOUNTER\n2005-06-18,p,e\n")
+    (tmp_path / "encounters.csv").mkdir()
+    write(tmp_path / "encounters.csv", "part-0", "Id,START,PATIENT,CODE\ne,2005-06-18,p,c\n")
+    write(tmp_path, "nobody", "Id,X\n ,1\n")
+    write(tmp_path, "unnamed", "Key\np\n")
+    write(tmp_path, "patients", "Id\np\np\n q\n")
+    cells = spark.createDataFrame([("medications",), ("allergies",), ("",)], "csv_table string")
+    facts, failures = FA.available_facts(spark, str(tmp_path), cells)
+    assert {(r["csv_table"], r["code"]) for r in facts.collect()} == {("medications", "c"), ("encounters", "c")}
+    assert {r["problem"] for r in failures.collect()} == {
+        "missing reconciliation file allergies.csv for allergies", "procedures.csv missing columns CODE",
+    }
+    _, every = FA.available_facts(spark, str(tmp_path))
+    assert every.count() == 5 and FA.available_facts(spark, str(tmp_path / "gone"))[1].count() == 7
+    assert FA.available_facts(spark, str(tmp_path / "gone"))[0].count() == 0
+    want = {
+        "patients": ({"p", "q"}, []), "nobody": (set(), ["nobody.csv has no patient ids"]),
+        "unnamed": (set(), ["unnamed.csv has no Id column"]), "absent": (set(), ["cannot read absent.csv"]),
+    }
+    for name, (ids, problems) in want.items():
+        members, failed = FA.available_members(spark, str(tmp_path), name)
+        assert {r["patient_id"] for r in members.collect()} == ids and [r["problem"] for r in failed.collect()] == problems
+
+
+def test_links_in_one_grouping(spark):
+    child = spark.createDataFrame([("a", 1), ("b", None), ("c", 9), ("c", 9), (None, 2)], "p string, n long")
+    parent = spark.createDataFrame([("a",), ("b",)], "id string")
+    numbers = spark.createDataFrame([(1,), (2,)], "id long")
+    links = {"text": (child, "p", "parent"), "number": (child, "n", "numbers"), "needed": (child, "n", "numbers")}
+    row = G.link_orphans(spark, links, {"parent": (parent, "id"), "numbers": (numbers, "id")}, frozenset({"needed"})).first()
+    assert row.asDict() == {"text": 2, "number": 2, "needed": 3}
+    gates = G.report(G.gate_rows(G.link_orphans(spark, links, {"parent": (parent, "id"), "numbers": (numbers, "id")}), {"text": 2}))
+    assert [(r["check_name"], r["status"], r["position"]) for r in gates.collect()] == [
+        ("needed", "FAIL", 1), ("number", "FAIL", 2), ("text", "PASS", 3)
+    ]
 
 
 @pytest.mark.parametrize(

@@ -1,6 +1,10 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from citedspark.functions import text as X
+from citedspark.operators import guard as G
 from citedspark.plans import questions as Q
 
 ASKED = {
@@ -95,20 +99,52 @@ def test_code_runs(spark):
     ).first()[0] == ["99999999999", "777777"]
 
 
+def plainly_guarded(text, quoted, rejected):
+    """The guard by a look at every mention."""
+    if rejected not in text:
+        return True
+    at = [m.start() for m in re.finditer(f"(?={rejected})", text)]
+    return quoted in text and all("not" in text[max(0, n - 80) : n].lower() for n in at)
+
+
 def test_rejected_code_guard(spark):
     far = "not " + "x" * 90 + " 222222"
     cases = [
         ("no mention 111111", True),
         ("not 222222 but 111111", True),
         ("222222 and 111111", False),
-        ("not 222222", False),
         ("111111 not 222222 then " + "y" * 90 + " 222222", False),
         ("111111 NOT 222222, not 222222", True),
         ("111111 " + far, False),
+        ("111111 not12222223 and no222222", True),
+        ("111111 Nothing\n222222", True),
+        ("not" + "y" * 77 + "222222 111111", True),
+        ("not" + "y" * 78 + "222222 111111", False),
+        ("222222not 111111", False),
+        ("", True),
+        (None, True),
     ]
-    df = spark.createDataFrame(cases, "t string, want boolean")
-    got = df.select(X.rejected_code_guarded(F.col("t"), F.lit("111111"), F.lit("222222")), "want").collect()
-    assert [r[0] for r in got] == [r[1] for r in got]
+    rng = random.Random(8)
+    parts = ["not", "NOT ", "222222", "111111", "1222222", " ", "é", "o" * 40, "n", "ot", "12", "2" * 7, "no"]
+    texts = ["111111" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(200)]
+    cases += [(text, plainly_guarded(text, "111111", "222222")) for text in texts]
+    assert {want for _, want in cases} == {True, False}
+    rows = [(key, line, piece) for key, (text, _) in enumerate(cases) for line, piece in enumerate((text or "").split(" ") if text else [text])]
+    lines = spark.createDataFrame(rows, "k long, line long, text string").repartition(3)
+    rejected = spark.createDataFrame([(key, "222222") for key in range(len(cases))], "k long, code string")
+    bare = {r["k"]: r["unguarded"] for r in G.unguarded(lines, rejected, ["k"], ["line"]).collect()}
+    assert [bare.get(key, 0) == 0 for key in range(len(cases))] == [want for _, want in cases]
+    none = lines.limit(0)
+    assert G.unguarded(none, rejected, ["k"], ["line"]).count() == 0
+    assert G.unguarded(lines, rejected.limit(0), ["k"], ["line"]).count() == 0
+
+
+def test_questions_are_screened_once_and_all_returned(spark):
+    texts = ["labs", "labs", None, None, "  LABS ", "Quote the discharge summary"]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id long, question string").withColumn("selected_patient_id", F.lit("p"))
+    got = {r["question_id"]: (r["intent"], r["refusals"]) for r in Q.screened(df).collect()}
+    assert len(got) == len(texts) and got[0] == got[1] == got[4] == ("lab_results", [])
+    assert got[2] == got[3] and got[5] == ("refuse_discharge", ["refuse_discharge"])
 
 
 def test_banned_claims(spark):
