@@ -52,3 +52,11 @@ def written(df: DataFrame, name: str, partition: tuple[str, ...] = ()) -> DataFr
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks a costly step is dealt to: the session's shuffle partitions.
+
+    Given as a number, they are not merged by size, where a row costs more than its bytes.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
