@@ -12,12 +12,14 @@ benchmark is dealt to as many blocks as it needs, each searched in the documents
 and the spans of the blocks are merged.
 
 Nulls, ties, repeats: null and blank texts have no words, no spans and n_words 0; a benchmark
-row without words or without item_id has no phrases. Items that share a phrase are all named.
+row without words has no phrases, one without item_id is searched and not named. Items that share a
+phrase are all named.
 Rows that repeat a doc_id are each returned. Only `doc_id`, `item_id` and `text` are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql.types import StructType
 from citedspark.llm.arrays import LETTERS, Words, carried, slices
 
 WIDTH = 13
-PHRASE_BYTES = 16 << 20
+PHRASE_BYTES = 4 << 20
 #: Text bytes of a shard; every SAMPLE-th position of its suffix array is kept.
 SHARD_BYTES, SAMPLE = 3 << 20, 8
 
@@ -119,24 +121,56 @@ class FmIndex:
         return where
 
 
+class Windows:
+    """Distinct windows of one length, as rows of word numbers, and the items that each belongs to."""
+
+    def __init__(self, windows: np.ndarray, items: np.ndarray) -> None:
+        keys = np.ascontiguousarray(windows).view(np.dtype((np.void, windows.dtype.itemsize * windows.shape[1]))).ravel()
+        _, firsts, number = np.unique(keys, return_index=True, return_inverse=True)
+        self.rows = windows[firsts]
+        named = items >= 0
+        owned = np.unique(np.stack([number[named], items[named]]), axis=1)
+        self.items = owned[1]
+        self.first = np.searchsorted(owned[0], np.arange(len(firsts) + 1))
+
+    def owners(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `windows`, item) of every item of every given window."""
+        counts = self.first[windows + 1] - self.first[windows]
+        place = np.repeat(np.arange(len(windows)), counts)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return place, self.items[self.first[windows][place] + within]
+
+
 class Phrases:
-    """The windows of benchmark items, by length, and the items that each belongs to."""
+    """The windows of benchmark items, by length, all in arrays; items without a name own none."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int) -> None:
-        array = pa.array([text for _, text in items], pa.string())
-        words = Words(array, LETTERS)
-        vocabulary, ids = np.unique(words.hashes, return_inverse=True)
-        self.vocabulary = vocabulary
-        by_window: dict[tuple[int, ...], set[str]] = {}
-        for row, (item, _) in enumerate(items):
-            own = (ids[words.first[row] : words.first[row + 1]] + 1).tolist()
-            size = min(width, len(own))
-            for first in range(len(own) - size + 1 if size else 0):
-                by_window.setdefault(tuple(own[first : first + size]), set()).update(() if item is None else (item,))
-        self.by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(window) for window in by_window}):
-            part = [window for window in by_window if len(window) == size]
-            self.by_size[size] = (np.array(part, np.int64), [sorted(by_window[window]) for window in part])
+        words = Words(pa.array([text for _, text in items], pa.string()), LETTERS)
+        self.vocabulary, ids = np.unique(words.hashes, return_inverse=True)
+        ids = ids.astype(np.int32) + 1
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: at for at, name in enumerate(self.names)}
+        item = np.array([number.get(name, -1) for name, _ in items], np.int32)
+        counts = np.diff(words.first)
+        sizes = np.minimum(counts, width)
+        self.by_size: dict[int, Windows] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            number_of = counts[rows] - size + 1
+            within = np.arange(number_of.sum()) - np.repeat(np.cumsum(number_of) - number_of, number_of)
+            starts = np.repeat(words.first[rows], number_of) + within
+            self.by_size[size] = Windows(ids[starts[:, None] + np.arange(size)], np.repeat(item[rows], number_of))
+
+
+#: The phrases a worker used last, by key: its tasks share them.
+_LAST: dict[tuple[str, int], Phrases] = {}
+
+
+def _phrases(key: str, items: list[tuple[str | None, str]], width: int) -> Phrases:
+    if (key, width) not in _LAST:
+        _LAST.clear()
+        _LAST[key, width] = Phrases(items, width)
+    return _LAST[key, width]
 
 
 def _shard(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +196,25 @@ def _shard(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return text, word
 
 
-def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set[str]]]:
-    """(a mark for each word inside an occurrence, items of each row)."""
+def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """(a mark for each word inside an occurrence, sorted items of each row)."""
     marks = np.zeros(len(words.hashes) + 1, np.int64)
-    items: dict[int, set[str]] = {}
+    pairs = [np.zeros((2, 0), np.int64)]
     text, word = _shard(words, phrases) if phrases.by_size else (np.zeros(0), np.zeros(0))
     if len(text):
         index = FmIndex(text, len(phrases.vocabulary) + 1)
-        for size, (windows, owners) in phrases.by_size.items():
-            found, low, high = index.search(windows)
+        for size, windows in phrases.by_size.items():
+            found, low, high = index.search(windows.rows)
             rows = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)] or [np.zeros(0, np.int64)])
             start = word[index.locate(rows)]
             np.add.at(marks, start, 1)
             np.add.at(marks, start + size, -1)
-            pairs = np.unique(np.stack([words.row[start], np.repeat(found, high - low)]), axis=1)
-            for row, window in pairs.T.tolist():
-                items.setdefault(row, set()).update(owners[window])
+            at = np.unique(np.stack([words.row[start], np.repeat(found, high - low)]), axis=1)
+            place, item = windows.owners(at[1])
+            pairs.append(np.stack([at[0][place], item]))
+    items: dict[int, list[str]] = {}
+    for row, item in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
+        items.setdefault(row, []).append(phrases.names[item])
     return np.cumsum(marks)[:-1] > 0, items
 
 
@@ -185,8 +222,10 @@ _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _searched(items: list[tuple[str | None, str]], width: int):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items, width)
+        phrases = _phrases(key, items, width)
         for batch in slices(batches, 1, SHARD_BYTES):
             words = Words(batch.column(1), LETTERS)
             hit, found = _hits(words, phrases)
@@ -204,7 +243,7 @@ def _searched(items: list[tuple[str | None, str]], width: int):
                 pa.array(offsets),
                 pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], names=["start", "end"]),
             )
-            named = pa.array([sorted(found.get(at, ())) for at in range(count)], pa.list_(pa.string()))
+            named = pa.array([found.get(at, []) for at in range(count)], pa.list_(pa.string()))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(np.diff(words.first)), spans, named],
                 names=["row", "text", "n_words", "spans", "items"],
@@ -219,14 +258,13 @@ def _searched_in(rows: DataFrame, items: list[tuple[str | None, str]], width: in
     return rows.select("row", "text").mapInArrow(_searched(items, width), schema)
 
 
-def searched_rows(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, unnamed: bool = False) -> DataFrame:
+def searched_rows(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each row of `documents` (as `carried` has it) with n_words, spans and items.
 
-    Every block of the benchmark is searched in the rows as they pass. With `unnamed`, items
-    without item_id are searched as well; their words are in the spans, and they name no item.
+    Every block of the benchmark is searched in the rows as they pass. The words of items without
+    item_id are in the spans as well; such items are not named.
     """
-    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    asked = asked.dropna(subset=["text"] if unnamed else ["item_id", "text"])
+    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna(subset=["text"])
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // PHRASE_BYTES) or 1
     rows = carried(documents)

@@ -95,7 +95,7 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 @query(f"""
 WITH item AS (
-    SELECT item_id, regexp_extract_all({ASCII_LOWER}, '{WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    SELECT item_id, regexp_extract_all({ASCII_LOWER}, '{WORDS}') AS w FROM benchmark),
 win AS (
     SELECT DISTINCT item_id, least(len(w), 13) AS size,
            array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
@@ -111,7 +111,7 @@ hit AS (
     FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY 1),
 named AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1)
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
