@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from citedspark.session import staged
 
@@ -29,9 +30,18 @@ from citedspark.session import staged
 BLOCK, HELD = 2048, 50_000
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of at most BLOCK vectors of one length: ids, and vectors as float32 bytes."""
-    for batch in batches:
+def _blocks(kind: str):
+    """Blocks of at most BLOCK vectors of one length: ids, and vectors as bytes of the given kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _blocks_of(batch, kind)
+
+    return run
+
+
+def _blocks_of(batch: pa.RecordBatch, kind: str) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         ids = batch.column(0).to_numpy()
         values = batch.column(1)
         flat = values.flatten().to_numpy()
@@ -41,7 +51,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members = np.flatnonzero(sizes == size)
             for first in range(0, len(members), BLOCK):
                 part = members[first : first + BLOCK]
-                rows = flat[edges[part][:, None] + np.arange(size)].astype("<f4")
+                rows = flat[edges[part][:, None] + np.arange(size)].astype(kind)
                 yield pa.record_batch(
                     [pa.array([int(size)]), pa.array([ids[part].astype("<i8").tobytes()]), pa.array([rows.tobytes()])],
                     names=["dim", "ids", "vectors"],
@@ -80,7 +90,7 @@ def _tile(
     return near, found, product
 
 
-def _searched(k: int):
+def _searched(k: int, kind: str):
     def out(heaps: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
         rows = [(query, -vec, score) for query, heap in heaps.items() for score, vec in heap]
         query, vec, score = zip(*rows, strict=True) if rows else ((), (), ())
@@ -94,8 +104,8 @@ def _searched(k: int):
         for batch in batches:
             for dim, query_ids, queries, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
-                queries = np.frombuffer(queries, "<f4").reshape(-1, dim)
-                vectors = np.frombuffer(vectors, "<f4").reshape(-1, dim)
+                queries = np.frombuffer(queries, kind).reshape(-1, dim)
+                vectors = np.frombuffer(vectors, kind).reshape(-1, dim)
                 for first in range(0, len(query_ids), 256):
                     part = slice(first, first + 256)
                     near, found, product = _tile(query_ids[part], queries[part], ids, vectors, k)
@@ -126,15 +136,18 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
     """
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists("embedding", lambda x: x != 0)
+    # Vectors keep their precision: floats stay floats, all else is double.
+    of_floats = isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType)
+    kind, column = ("<f4", "array<float>") if of_floats else ("<f8", "array<double>")
     vectors = (
-        embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+        embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(column))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .where(whole & some)
         .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     )
     schema = "dim long, ids binary, vectors binary"
-    blocks = staged(vectors.mapInArrow(_blocks, schema))
-    asked = staged(vectors.where(is_query).mapInArrow(_blocks, schema))
+    blocks = staged(vectors.mapInArrow(_blocks(kind), schema))
+    asked = staged(vectors.where(is_query).mapInArrow(_blocks(kind), schema))
     # Candidate blocks are dealt to groups; each block of queries visits every group once.
     groups = max(1, min(blocks.count(), 4 * int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     candidates = blocks.select("dim", F.expr(f"pmod(xxhash64(ids), {groups})").alias("part"), "ids", "vectors")
@@ -143,7 +156,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
         F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
     )
     tiles = queries.join(candidates, ["dim", "part"]).select("dim", "query_ids", "queries", "ids", "vectors")
-    found = tiles.mapInArrow(_searched(k), "query_id long, vec_id long, score double")
+    found = tiles.mapInArrow(_searched(k, kind), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
