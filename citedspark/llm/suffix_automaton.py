@@ -17,10 +17,12 @@ reported. Only `doc_id` and `text` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citedspark.llm.arrays import LETTERS, Words, slices, whole_text
 
@@ -143,37 +145,84 @@ class Templates:
                     places.setdefault(number, []).extend((match, start, end, last - (end - start), last) for last in ends)
         spans = set()
         for number, own in places.items():
-            waiting = [own]
-            while waiting:
-                part = waiting.pop()
-                first, last, covered = _best_chain(part)
-                if covered < COVERED * self.sizes[number]:
-                    continue
+            for part, first, last, covered in _chains(own, COVERED * self.sizes[number]):
                 spans.add((self.labels[number], part[first][1], part[last][2], covered / self.sizes[number]))
-                for rest in ([p for p in part if p[0] < part[first][0]], [p for p in part if p[0] > part[last][0]]):
-                    if rest:
-                        waiting.append(rest)
         return sorted(spans)
 
 
-def _best_chain(places: list[tuple[int, int, int, int, int]]) -> tuple[int, int, int]:
-    """(first place, last place, words of the template) of the chain that covers most.
+Place = tuple[int, int, int, int, int]
 
-    Places are (match, start and end in the text, start and end in the template), by match.
+
+def _segments(places: list[Place]) -> Iterator[list[Place]]:
+    """The places cut where the text has a gap that no chain crosses; places are in the order of their matches."""
+    part: list[Place] = []
+    reached = 0
+    for place in places:
+        if part and place[1] - reached > GAP:
+            yield part
+            part = []
+        part.append(place)
+        reached = max(reached, place[2]) if len(part) > 1 else place[2]
+    if part:
+        yield part
+
+
+def _chains(places: list[Place], least: float) -> Iterator[tuple[list[Place], int, int, int]]:
+    """(segment, first place, last place, words of the template) of the chains that cover `least` or more.
+
+    Places are (match, start and end in the text, start and end in the template), by match. The
+    chain that covers most is taken, then the best of what is left before and after it, and so on
+    (ties: the one that ends first). A chain that is taken only changes those that reached back
+    into it or beyond, so just the places near its end are weighed again: the work follows the
+    number of places and not its square.
     """
-    covered, begun = [last - first for *_, first, last in places], list(range(len(places)))
-    for at, (match, start, _, first, last) in enumerate(places):
-        own = covered[at]
-        for before in range(at - 1, -1, -1):
-            other, _, end, _, reached = places[before]
-            if start - end > GAP:  # ends grow with the matches
-                break
-            if other < match and last > reached and abs(first - reached) <= GAP:
-                total = covered[before] + last - max(first, reached)
-                if total > covered[at] or total == covered[at] and total > own and begun[before] > begun[at]:
-                    covered[at], begun[at] = total, begun[before]
-    best = max(range(len(places)), key=lambda at: (covered[at], -at))
-    return begun[best], best, covered[best]
+    for part in _segments(places):
+        count = len(part)
+        covered, begun, floor = [0] * count, list(range(count)), [0] * count  # floor: the first place that counts
+        for at in range(count):
+            _weigh(part, at, 0, covered, begun)
+        waiting = [(-covered[at], at) for at in range(count) if covered[at] >= least]
+        heapify(waiting)
+        taken = [False] * count
+        while waiting:
+            weight, last = heappop(waiting)
+            if taken[last] or -weight != covered[last]:
+                continue
+            first, match = begun[last], part[last][0]
+            yield part, first, last, covered[last]
+            low = first
+            while low > floor[last] and part[low - 1][0] == part[first][0]:
+                low -= 1
+            high = last + 1
+            while high < count and part[high][0] == match:
+                high += 1
+            for at in range(low, high):
+                taken[at] = True
+            at, changed = high, part[high - 1][2]
+            while at < count and not taken[at] and part[at][1] - changed <= GAP:
+                before = covered[at], begun[at]
+                floor[at] = high
+                _weigh(part, at, high, covered, begun)
+                if (covered[at], begun[at]) != before:
+                    changed = max(changed, part[at][2])
+                    if covered[at] >= least:
+                        heappush(waiting, (-covered[at], at))
+                at += 1
+
+
+def _weigh(places: list[Place], at: int, floor: int, covered: list[int], begun: list[int]) -> None:
+    """Set the best chain that ends with a place and begins at `floor` or later."""
+    match, start, _, first, last = places[at]
+    own = last - first
+    covered[at], begun[at] = own, at
+    for before in range(at - 1, floor - 1, -1):
+        other, _, end, _, reached = places[before]
+        if start - end > GAP:  # ends grow with the matches
+            break
+        if other < match and last > reached and abs(first - reached) <= GAP:
+            total = covered[before] + last - max(first, reached)
+            if total > covered[at] or total == covered[at] and total > own and begun[before] > begun[at]:
+                covered[at], begun[at] = total, begun[before]
 
 
 _SCHEMA = (
@@ -232,5 +281,5 @@ def license_spans(
 
     `templates` are (label, text), `phrases` are (text, label); both travel with the tasks.
     """
-    texts = documents.select("doc_id", whole_text(documents).alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(documents).alias("text"))
     return texts.mapInArrow(_scanned(templates, phrases), _SCHEMA)
