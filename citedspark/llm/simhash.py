@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from citedspark.llm.arrays import LOWER, slices, text_bytes, whole_text
 from citedspark.llm.components import components
-from citedspark.session import staged
+from citedspark.session import staged, tasks
 
 BITS, SEED = 64, 42
 #: Fingerprints of a block; queries at a time; buckets up to SIDE are compared side by side, so many rows at a time.
@@ -313,7 +313,7 @@ def linked(values: DataFrame, radius: int = 4, parts: int = 6) -> DataFrame:
         placed.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
         .withColumn("own", own).select("bucket", "fingerprint", F.explode(pairs).alias("at"))
         .select("bucket", "at.i", "at.j", "at.left", "fingerprint")
-        .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        .repartition(tasks(values), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     )
     return dealt.mapInArrow(_compared(radius), "a long, b long")
 

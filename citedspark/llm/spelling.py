@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citedspark.llm.arrays import whole_text
-from citedspark.session import staged
+from citedspark.session import staged, tasks
 
 #: Runs of letters of lower-cased text; all its code points fit a byte of Latin-1.
 RUNS = r"[a-zÀ-ÿ]+"
@@ -240,7 +240,7 @@ def near_words(words: DataFrame) -> DataFrame:
     )
     keys = ["list", "m", "ends", "i", "j"]
     scanned = (
-        dealt.repartition(*keys).sortWithinPartitions(*keys)
+        dealt.repartition(tasks(words), *keys).sortWithinPartitions(*keys)
         .mapInArrow(_scanned, "word string, n_near long, n_best long, best string")
     )
     best = F.min(F.struct((-F.col("n_best")).alias("less"), F.col("best").alias("best"))).alias("of")
