@@ -265,13 +265,14 @@ def test_kneser_ney_probabilities_add_up(spark, texts):
     assert sum(after) + end == pytest.approx(1.0, abs=1e-6)
 
 
-def test_block_join(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_block_join(spark, kind):
     rng = np.random.default_rng(7)
-    rows = [(k, rng.normal(size=8).astype("float32").tolist()) for k in range(90)]
+    rows = [(k, rng.normal(size=8).astype("float32" if kind == "float" else "float64").tolist()) for k in range(90)]
     rows += [(200 + k, rows[3][1]) for k in range(30)]  # ties
     rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] * 8), (304, [float("inf")] + [1.0] * 7), (305, []), (None, rows[0][1])]
     rows += [(306, [1.0, 2.0, 3.0]), (310, [2.0, 1.0, 0.5]), (20, rows[20][1])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
     good = {i: np.array(v, "float64") for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     expected = []
     for query in (i for i in good if i % 10 == 0):

@@ -126,5 +126,5 @@ def test_decontamination_by_items_without_id(spark, tmp_path, budget, monkeypatc
     spark.createDataFrame([(None, item), (1, named), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, f"{text(9)} {item}"), (2, named), (3, text(40)), (4, None)], "doc_id long, text string")
     assert sorted(row["doc_id"] for row in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [3, 4]
-    found = fm_index.searched_rows(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), unnamed=True)
+    found = fm_index.searched_rows(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert {row["row"]["doc_id"]: row["items"] for row in found.collect()} == {1: [], 2: ["1"], 3: [], 4: []}

@@ -89,16 +89,16 @@ def windows(items):
         words = letters(text)
         size = min(13, len(words))
         for at in range(len(words) - size + 1 if size else 0):
-            found.setdefault(tuple(words[at : at + size]), set()).add(str(item))
+            found.setdefault(tuple(words[at : at + size]), set()).update(() if item is None else {str(item)})
     return found
 
 
 @pytest.mark.parametrize("budget", [1 << 20, 60])
 def test_removal_spans(spark, documents, empty, texts, budget, monkeypatch):
     monkeypatch.setattr(fm_index, "PHRASE_BYTES", budget)
-    items = [(1, texts[1]), (2, texts[4]), (3, "a"), (4, "é 日本"), (5, ""), (6, None), (None, "ka"), (7, texts[1])]
+    items = [(1, texts[1]), (2, texts[4]), (3, "a"), (4, "é 日本"), (5, ""), (6, None), (None, "ka"), (None, texts[2]), (7, texts[1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    asked = windows([item for item in items if item[0] is not None])
+    asked = windows(items)  # an item without item_id hits and is not named
     for row in fm_index.removal_spans(documents, benchmark).collect():
         words = letters(texts[row["doc_id"] - 100] if row["doc_id"] is not None else texts[0])
         hit, named = set(), set()
