@@ -229,7 +229,54 @@ def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-@query()
+def _crc32_table() -> list[int]:
+    """What CRC-32 makes of each byte, by its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+_BYTES = """list_transform(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)),
+    lambda b: b::BIGINT)"""
+
+
+@query(f"""
+WITH RECURSIVE run AS (
+    SELECT doc_id, run, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all({ASCII_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+    GROUP BY 1, 2),
+hashed AS (
+    SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}),
+        lambda c, b: xor(c >> 8, list_extract({_crc32_table()}::BIGINT[], xor(c & 255, b) + 1))), 4294967295) AS h
+    FROM run),
+word AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                ELSE run END AS word, sum(k)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+cut AS (
+    SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)),
+shorter AS (SELECT DISTINCT c.word AS a, c.n AS n_a, w.word AS b, w.n AS n_b FROM cut c JOIN word w ON c.rest = w.word),
+near AS (
+    SELECT x.word AS a, y.word AS b, y.n AS n_b FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION ALL SELECT a, b, n_b FROM shorter UNION ALL SELECT b, a, n_a FROM shorter),
+best AS (
+    SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, n_b FROM near
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY n_b DESC, b) = 1),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN n_b >= 2 * n THEN b END AS form,
+           CASE WHEN n_b >= 2 * n THEN n_b END AS form_n
+    FROM word LEFT JOIN best ON a = word),
+chain AS (
+    SELECT word, form AS root, 1 AS depth FROM formed WHERE form IS NOT NULL
+    UNION ALL
+    SELECT c.word, f.form, depth + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(r.root, f.word) AS root, n, n_near, form_n
+FROM formed f LEFT JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY 1) r ON r.word = f.word""")
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents with their near words, forms and roots."""
     return spelling.variants(table(spark, folder, "documents"))
