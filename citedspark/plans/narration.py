@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citedspark import fixed_values as fv
 from citedspark.functions import text as X
 from citedspark.functions.citations import rendered
 from citedspark.operators.guard import unguarded
+from citedspark.operators.ranking import top_rows
 
 
 def _listed(column: str):
     return F.when(F.size(column) > 0, F.array_join(column, ", ")).otherwise("none")
 
 
-def narration_prompts(answers: DataFrame, rows: DataFrame) -> DataFrame:
-    """(question_id, prompt) for cited answers with rows.
+#: Rows of a prompt, and bytes of their JSON, at most.
+PROMPT_ROWS, PROMPT_BYTES = 50, 65_536
 
-    `rows` has question_id and `row`, a struct; its fields go out in name order. An answer
-    shows a handful of rows, so the list per question is short.
+
+def narration_prompts(
+    answers: DataFrame, rows: DataFrame, most_rows: int = PROMPT_ROWS, most_bytes: int = PROMPT_BYTES
+) -> DataFrame:
+    """(question_id, prompt, rows_shown, rows_left_out) for cited answers with rows.
+
+    `rows` has question_id and `row`, a struct; its fields go out as text in name order, null where
+    null. A prompt shows the first rows in the order of those fields, as many as `most_rows` and
+    `most_bytes` of JSON allow, so a question with very many rows is cut before it is gathered.
     """
     fields = sorted(rows.schema["row"].dataType.fieldNames())
-    ordered = F.struct(*[F.col(f"row.`{name}`").cast("string").alias(name) for name in fields])
-    payload = rows.groupBy("question_id").agg(
-        F.to_json(F.array_sort(F.collect_list(ordered)), {"ignoreNullFields": "false"}).alias("payload")
-    )
     usable = answers.filter(
         (F.col("status") == "cited") & F.col("narration_allowed") & (F.size("citations") > 0)
     )
-    return usable.join(payload, "question_id").select(
+    told = rows.join(usable.select("question_id"), "question_id", "left_semi").select(
+        "question_id", *[F.col(f"row.`{name}`").cast("string").alias(f"_{n}") for n, name in enumerate(fields)]
+    )
+    order = [F.col(f"_{n}").asc_nulls_first() for n in range(len(fields))]
+    totals = told.groupBy("question_id").agg(F.count("*").alias("_rows"))
+    first = top_rows(told, ["question_id"], order, most_rows, "_place")
+    item = F.to_json(F.struct(*[F.col(f"_{n}").alias(name) for n, name in enumerate(fields)]), {"ignoreNullFields": "false"})
+    so_far = Window.partitionBy("question_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    shown = first.select("question_id", "_place", item.alias("_item")).withColumn(
+        "_bytes", F.sum(F.octet_length("_item") + 1).over(so_far)
+    ).where(F.col("_bytes") < most_bytes)
+    payload = shown.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("_place", "_item"))).alias("_items")
+    )
+    listed = F.concat(F.lit("["), F.array_join("_items._item", ","), F.lit("]"))
+    return usable.join(payload, "question_id").join(totals, "question_id").select(
         "question_id",
         F.concat(
             F.lit(fv.NARRATION_RULES + "\n\nQuestion: "), F.col("question"),
             F.lit("\nquoted_codes: "), _listed("quoted_codes"),
             F.lit("\nrejected_codes: "), _listed("rejected_codes"),
             F.lit("\nCitations: "), F.to_json(F.transform("citations", rendered)),
-            F.lit("\nRows: "), F.col("payload"), F.lit("\n"),
+            F.lit("\nRows: "), listed, F.lit("\n"),
         ).alias("prompt"),
+        F.size("_items").cast("long").alias("rows_shown"),
+        (F.col("_rows") - F.size("_items")).alias("rows_left_out"),
     )
 
 
