@@ -16,17 +16,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of its own.
     """
     context = spark.sparkContext
-    named = context.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
-    current = context.getCheckpointDir()
-    if named:
-        if current is None:
-            context.setCheckpointDir(named)
-        return named
-    if current is not None:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder before running on a cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="citedspark-"))
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder before running on a cluster")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="citedspark-"))
+    # Spark's own answer names the file system, also where the setting leaves it to the default one.
     return context.getCheckpointDir()
 
 
