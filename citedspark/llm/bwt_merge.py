@@ -29,7 +29,6 @@ Only `doc_id` and `text` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,18 +204,13 @@ def _kept(folder: str, level: int, most: int):
     return run
 
 
-@lru_cache(maxsize=100_000)
-def _shard(folder: str, name: str, kind: str) -> np.ndarray:
-    return shards.mapped(folder, name, kind)
-
-
 def _looked_up(folder: str, ranges: int, table: str, anchor: np.ndarray, content: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(range, entries, their places in the range's table) of the contents that it holds."""
     of = _range_of(anchor, ranges)
     order = np.lexsort((content, of))
     edges = np.searchsorted(of[order], np.arange(ranges + 1))
     for part in np.flatnonzero(np.diff(edges)).tolist():
-        known = _shard(folder, f"{table}-{part}", "<u8")
+        known = shards.kept(folder, f"{table}-{part}", "<u8")
         own = order[edges[part] : edges[part + 1]]
         if len(known):
             place = np.minimum(np.searchsorted(known, content[own]), len(known) - 1)
@@ -250,7 +244,7 @@ def _gathered(folder: str, ranges: int, level: int):
             found = _at_level(Segments(data, offsets), folder, ranges, level)
             tags = _tags(batch, offsets, found)
             for part, entry, place in _looked_up(folder, ranges, f"content-{level}", found.anchor, found.content):
-                entry = entry[_shard(folder, f"tag-{level}-{part}", "<u4")[place] == tags[entry]]
+                entry = entry[shards.kept(folder, f"tag-{level}-{part}", "<u4")[place] == tags[entry]]
                 if not len(entry):
                     continue
                 first, end = found.first[entry], found.last[entry] + LENGTH
@@ -341,7 +335,7 @@ def _compared(folder: str, level: int):
         anchor, content = _joined(table, "anchors", np.uint64), _joined(table, "contents", np.uint64)
         sizes = _joined(table, "sizes", np.uint16).astype(np.int64)
         data = _joined(table, "bytes", np.uint8)
-        known, times = _shard(folder, f"content-{level}-{part}", "<u8"), _shard(folder, f"n-{level}-{part}", "<u1")
+        known, times = shards.kept(folder, f"content-{level}-{part}", "<u8"), shards.kept(folder, f"n-{level}-{part}", "<u1")
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((content, anchor))
         if len(order):  # a content that two places sent
@@ -393,13 +387,13 @@ def _removed(folder: str, ranges: int, levels: int):
             for level in range(levels):
                 own = _at_level(found, folder, ranges, level)
                 for part, entry, place in _looked_up(folder, ranges, f"repeat-{level}", own.anchor, own.content):
-                    keys = _shard(folder, f"repeat-{level}-{part}", "<u8")
+                    keys = shards.kept(folder, f"repeat-{level}-{part}", "<u8")
                     # `place` is the first run of the content; the others follow it.
                     count = np.searchsorted(keys, own.content[entry], side="right") - place
                     runs = np.arange(int(count.sum())) + np.repeat(place - (np.cumsum(count) - count), count)
                     origin = np.repeat(own.first[entry], count)
-                    np.add.at(depth, origin + _shard(folder, f"start-{level}-{part}", "<u2")[runs], 1)
-                    np.add.at(depth, origin + _shard(folder, f"stop-{level}-{part}", "<u2")[runs] + LENGTH, -1)
+                    np.add.at(depth, origin + shards.kept(folder, f"start-{level}-{part}", "<u2")[runs], 1)
+                    np.add.at(depth, origin + shards.kept(folder, f"stop-{level}-{part}", "<u2")[runs] + LENGTH, -1)
             covered = np.cumsum(depth[:-1]) > 0
             begins, closes = covered.copy(), covered.copy()
             begins[1:] &= ~covered[:-1]

@@ -31,7 +31,6 @@ rows every count is 0 and p is the uniform share. Only `doc_id` and `text` are r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -339,11 +338,6 @@ class Model:
         self.uniform = (spent / self.pairs if self.pairs else 1.0) / (distinct + 1)
 
 
-@lru_cache(maxsize=100_000)
-def _shard(folder: str, name: str, kind: str) -> np.ndarray:
-    return shards.mapped(folder, name, kind)
-
-
 class Scorer:
     """Lookups in the mapped arrays."""
 
@@ -360,7 +354,7 @@ class Scorer:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             number = int(part[a])
             for table, columns, fixed in tables:
-                known = _shard(self.model.folder, f"{table}-{number}", "<u8")
+                known = shards.kept(self.model.folder, f"{table}-{number}", "<u8")
                 if not len(known):
                     continue
                 place = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
@@ -368,7 +362,7 @@ class Scorer:
                 if not columns:
                     out[order[a:b][own]] = fixed
                     continue
-                values = [_shard(self.model.folder, f"{name}-{number}", kind).reshape(len(known), -1)[place[own]] for name, kind in columns]
+                values = [shards.kept(self.model.folder, f"{name}-{number}", kind).reshape(len(known), -1)[place[own]] for name, kind in columns]
                 out[order[a:b][own]] = np.concatenate([value.astype(np.int64) for value in values], axis=1)
         return out
 

@@ -5,11 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyarrow import fs
 
 
+#: Hadoop's names of stores that pyarrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+#: Maps that a worker keeps open; the machine allows some 65,000 to a process.
+MAPS = 4096
+
+
+def _uri(folder: str) -> str:
+    scheme, _, rest = folder.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+
+
 def _place(folder: str) -> tuple[fs.FileSystem, str, bool]:
     """(file system, path, whether it is a plain local path) of a folder."""
     if "://" not in folder and not folder.startswith("file:"):
@@ -17,7 +29,7 @@ def _place(folder: str) -> tuple[fs.FileSystem, str, bool]:
     if folder.startswith("file:"):
         path = folder.removeprefix("file:")
         return fs.LocalFileSystem(), "/" + path.lstrip("/"), True
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = fs.FileSystem.from_uri(_uri(folder))
     return system, path, isinstance(system, fs.LocalFileSystem)
 
 
@@ -47,3 +59,9 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     if not local:
         os.unlink(whole)  # the mapping keeps it
     return found
+
+
+@lru_cache(maxsize=MAPS)
+def kept(folder: str, name: str, kind: str) -> np.ndarray:
+    """`mapped`, with the maps used lately kept open; one that is dropped is opened again when needed."""
+    return mapped(folder, name, kind)

@@ -128,3 +128,21 @@ def test_decontamination_by_items_without_id(spark, tmp_path, budget, monkeypatc
     assert sorted(row["doc_id"] for row in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [3, 4]
     found = fm_index.searched_rows(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert {row["row"]["doc_id"]: row["items"] for row in found.collect()} == {1: [], 2: ["1"], 3: [], 4: []}
+
+
+def test_stages_of_nothing_and_of_clashing_columns(spark, folder):
+    """Every stage takes an empty table, and columns named as the operators name theirs, maps among them."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr(
+        "*", "doc_id AS class", "text AS row", "map('k', doc_id) AS score", "array(text) AS spans", "1 AS bucket", "'g' AS `group`",
+        "2 AS place", "true AS kept", "array('i') AS items", "0 AS n_words",
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), path)
+        assert nothing.collect() == [], name
+        after = stage(spark, docs, path)
+        if name != "byte-level BPE":
+            assert after.columns == docs.columns == nothing.columns and dict(after.dtypes) == dict(docs.dtypes), name
+            assert after.where("row IS DISTINCT FROM text AND text NOT LIKE '%[SECRET]%'").count() == 0
+            kept = {row["doc_id"] for row in after.collect()}
+            assert len(kept) > 300, name

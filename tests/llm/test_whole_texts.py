@@ -227,3 +227,22 @@ def test_masks_and_lists(spark):
     ).first()
     assert (got["m"], got["n"], got["l"]) == ("a*ghij", "abcdefghij", "assign:1:3,access:2:5,hex:4:6")
     assert hashlib.sha256(b"").hexdigest()  # of a text without spans
+
+
+def test_shards_in_shared_folders(spark, tmp_path):
+    """Paths with and without a scheme are the same place, and open maps stay bounded."""
+    from citedspark.llm import shards
+    from citedspark.session import scratch_path
+
+    folder = scratch_path(spark, "maps")
+    assert folder.startswith("file:")  # qualified by the default file system
+    for number in range(2500):
+        shards.write(folder, f"a-{number}", np.array([number, number + 1], "<u8"))
+    local = folder.removeprefix("file:").replace("//", "/")
+    assert shards.mapped(local, "a-7", "<u8").tolist() == [7, 8]
+    for turn in range(3):
+        for number in range(2500):
+            assert shards.kept(folder if turn else local, f"a-{number}", "<u8")[0] == number
+    with open("/proc/self/maps") as maps:
+        assert sum("/maps-" in line for line in maps) <= shards.MAPS
+    assert shards._uri("s3a://bucket/a") == "s3://bucket/a" and shards._uri("hdfs://host:1/a") == "hdfs://host:1/a"
