@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its own text. Of kept rows of one doc_id and one group the first by text
     stays; rows without doc_id are not compared.
     """
-    others = [F.col("row")[name] if name != "text" else F.col("text") for name in docs.columns if name != "doc_id"]
-    order = Window.partitionBy("doc_id", "group").orderBy(*others)
+    # As text, so that columns without an order of their own (maps) take part too.
+    others = F.struct(*[F.col("row")[name].alias(name) for name in docs.columns if name not in ("doc_id", "text")])
+    order = Window.partitionBy("doc_id", "group").orderBy("text", *([others.cast("string")] if len(docs.columns) > 2 else []))
     one = minhash.kept_rows(docs).withColumn("place", F.row_number().over(order)).where("place = 1")
     return one.select(carried_columns(docs)).union(docs.where("doc_id IS NULL"))
 
