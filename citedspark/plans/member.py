@@ -313,6 +313,16 @@ def antihistamine_rows(core: Core, member: str | None = None) -> DataFrame:
     )
 
 
+def named_medications(core: Core, first: str | None = None, last: str | None = None, code: str | None = None) -> DataFrame:
+    """Medications with the member's name: of all members, or by name and code, filtered before the join."""
+    people, rows = core["patient"], core["medication"]
+    for column, value in (("first_name", first), ("last_name", last)):
+        people = people if value is None else people.filter(F.col(column) == F.lit(value))
+    rows = rows if code is None else rows.filter(F.col("code") == F.lit(code))
+    medication = rows.select(MEMBER, "encounter_id", "code", F.col("start_ts").alias("start"), "description")
+    return people.select(MEMBER, "first_name", "last_name").join(medication, MEMBER)
+
+
 def allergy_rows(core: Core, member: str | None = None, day: str | None = None) -> DataFrame:
     df = for_member(core["allergy"], member)
     if day is not None:

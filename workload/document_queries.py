@@ -9,7 +9,9 @@ from citedspark.fixed_values import FACT_TABLES
 from citedspark.functions import text as X
 from citedspark.operators.reconcile import match_cells, with_matches
 from citedspark.plans import corpus as P
+from citedspark.session import scratch_path
 from citedspark.sources import documents as D
+from citedspark.sources import files as S
 from citedspark.sources import flat_files as L
 from workload.registry import query
 from workload.tables import Source, coded, joined, text
@@ -434,3 +436,35 @@ def load_summary(spark: SparkSession, folder: str) -> DataFrame:
     source = Source(spark, folder)
     cells = event_cells(source)
     return L.load_summary(with_matches(cells, match_cells(cells, event_facts(source))))
+
+
+@query(
+    """SELECT document_id, element_id, "text", code, row_start, rejected AS rejected_codes, 'N' AS csv_match,
+              ROW_NUMBER() OVER (ORDER BY document_id, section_loinc, element_role DESC) AS ordinal
+       FROM v_xml_cell""",
+    DOC_VIEWS,
+)
+def cell_sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells written as delimited text and read again: line breaks, quotes and blanks survive."""
+    nothing = spark.createDataFrame([], "csv_table string, patient_id string, code string, start string, encounter string")
+    path = scratch_path(spark, "cells")
+    S.write_cells(P.corpus_cells(parsed(spark, folder), nothing), path)
+    again = L.read_text_columns(spark, path, multi_line=True)
+    columns = ["document_id", "element_id", "text", "code", "row_start", "rejected_codes", "csv_match"]
+    return again.select(*[F.coalesce(name, F.lit("")).alias(name) for name in columns], F.col("ordinal").cast("long"))
+
+
+@query(
+    """SELECT csv_table AS "table", COUNT(*) AS narrative_desc, COUNT(*) FILTER (csv_match = 'Y') AS matched
+       FROM v_matched GROUP BY 1""",
+    MATCH_VIEWS,
+)
+def reconciliation_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """The reconciliation summary written and read again, for the tables that have cells."""
+    source = Source(spark, folder)
+    cells, facts = event_cells(source), event_facts(source)
+    path = scratch_path(spark, "reconciliation")
+    S.write_reconciliation(P.reconciliation_summary(with_matches(cells, match_cells(cells, facts)), facts), path)
+    again = L.read_text_columns(spark, path)
+    numbers = [F.col(name).cast("long").alias(name) for name in ("narrative_desc", "matched")]
+    return again.select("table", *numbers).where("narrative_desc > 0")

@@ -399,3 +399,32 @@ def one_member_chart(spark: SparkSession, folder: str) -> DataFrame:
     M.write_by_member(M.chart(core), path)
     busiest = core["encounter"].groupBy("patient_id").count().orderBy(F.desc("count"), "patient_id").first()
     return M.read_member(spark, path, busiest["patient_id"])
+
+
+@query(
+    """SELECT p.patient_id, first_name, last_name, encounter_id, code, start_ts AS "start", description
+       FROM v_patient p JOIN v_medication m ON m.patient_id = p.patient_id"""
+)
+def named_medications(spark: SparkSession, folder: str) -> DataFrame:
+    """Every medication with the name of its member."""
+    return M.named_medications(Source(spark, folder).core())
+
+
+COMMON = """(SELECT p.first_name, p.last_name, m.code, p.patient_id FROM v_patient p
+             JOIN v_medication m ON m.patient_id = p.patient_id
+             GROUP BY 1, 2, 3, 4 ORDER BY COUNT(*) DESC, p.patient_id, m.code LIMIT 1)"""
+
+
+@query(
+    f"""SELECT p.patient_id, p.first_name, p.last_name, p.birthdate, m.encounter_id, m.code, m.start_ts AS "start"
+        FROM v_patient p JOIN v_medication m ON m.patient_id = p.patient_id
+        JOIN {COMMON} c ON c.first_name = p.first_name AND c.last_name = p.last_name AND c.code = m.code"""
+)
+def medication_by_name_and_code(spark: SparkSession, folder: str) -> DataFrame:
+    """The member looked up by both names, and the medications of one code: of whom and which most rows tell."""
+    core = Source(spark, folder).core()
+    often = M.named_medications(core).groupBy("first_name", "last_name", "code", "patient_id").count()
+    one = often.orderBy(F.desc("count"), "patient_id", "code").first()
+    member = M.members_named(core, one["first_name"], one["last_name"]).select("patient_id", "birthdate")
+    rows = M.named_medications(core, one["first_name"], one["last_name"], one["code"])
+    return rows.join(member, "patient_id").drop("description")
