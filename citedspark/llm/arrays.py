@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
-KEPT_POWERS = SLICE_BYTES + 1
+KEPT_POWERS = (1 << 20) + 1
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: powers keep all 64 bits apart
 
 

@@ -33,7 +33,7 @@ from citedspark.llm.arrays import LETTERS, Words, carried, slices
 WIDTH = 13
 PHRASE_BYTES = 4 << 20
 #: Text bytes of a shard; every SAMPLE-th position of its suffix array is kept.
-SHARD_BYTES, SAMPLE = 3 << 20, 8
+SHARD_BYTES, SAMPLE = 1 << 20, 8
 
 
 class WaveletTree:
