@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
-KEPT_POWERS = (1 << 20) + 1
+#: Powers of a base that a worker keeps at most; it keeps as many as its longest slice asked for.
+KEPT_POWERS = 1 << 22
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: powers keep all 64 bits apart
 
 
@@ -112,10 +113,10 @@ def _powers(base: int, size: int) -> np.ndarray:
     key = f"{base:x}"
     known = _POWERS.get(key)
     if known is None or len(known) < size:
-        steps = np.full(max(size, KEPT_POWERS), base, np.uint64)
+        steps = np.full(1 << max(16, (size - 1).bit_length()) if size <= KEPT_POWERS else size, base, np.uint64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=np.uint64)
-        if len(known) == KEPT_POWERS:
+        if len(known) <= KEPT_POWERS:
             _POWERS[key] = known
     return known[:size]
 
