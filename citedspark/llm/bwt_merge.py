@@ -350,7 +350,10 @@ def _compared(folder: str, level: int):
                 last += 1
             own = order[first:last]
             first = last
-            row, group = merged_intervals(data, begin[own], begin[own] + sizes[own])
+            # The chunk's own bytes, so that hashing follows the chunk and not the range.
+            ends = np.cumsum(sizes[own])
+            local = np.repeat(begin[own] - (ends - sizes[own]), sizes[own]) + np.arange(ends[-1])
+            row, group = merged_intervals(data[local], ends - sizes[own], ends)
             width = sizes[own] + 1
             base = np.cumsum(width) - width
             segment = np.searchsorted(base, row, side="right") - 1
