@@ -72,8 +72,10 @@ def extra_rows(df: DataFrame, key: tuple[str, ...], name: str, blank_is_value: b
     return groups.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count("k")).alias(name))
 
 
-def duplicate_groups(df: DataFrame, key: tuple[str, ...], name: str) -> DataFrame:
-    groups = df.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1)
+def duplicate_groups(df: DataFrame, key: tuple[str, ...], name: str, tasks: int | None = None) -> DataFrame:
+    """How many keys stand in several rows; keys that seldom repeat are dealt to `tasks` tasks, if given."""
+    dealt = df if tasks is None else df.select(*key).repartition(tasks, *key)
+    groups = dealt.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1)
     return groups.agg(F.count("*").alias(name))
 
 
@@ -259,9 +261,12 @@ def lineage_gates(spark: SparkSession, plans: Mapping[str, DataFrame], marker: s
 
 def document_gates(
     cells: DataFrame, members: DataFrame, expected: Mapping[str, object], sections: tuple[str, ...] = (),
-    prefixes: tuple[str, ...] = (),
+    prefixes: tuple[str, ...] = (), tasks: int | None = None,
 ) -> DataFrame:
-    """Documents, identity, sections, cells per prefix and forbidden sections."""
+    """Documents, identity, sections, cells per prefix and forbidden sections.
+
+    `tasks` says how many tasks the keys of all cells are dealt to, where the session's number is too few.
+    """
     per_document = cells.groupBy("document_id").agg(
         F.count("*").alias("cells"),
         F.count_if(F.col("document_id") != F.col("patient_id")).alias("mismatches"),
@@ -288,7 +293,7 @@ def document_gates(
     missing = members.select("patient_id").join(
         cells.select("patient_id").distinct(), "patient_id", "left_anti"
     ).agg(F.count("*").alias("patients_missing_document"))
-    repeated = duplicate_groups(cells, ("document_id", "element_id"), "document_element_duplicate_groups")
+    repeated = duplicate_groups(cells, ("document_id", "element_id"), "document_element_duplicate_groups", tasks)
     return union([gate_rows(df, expected) for df in (measured_documents, missing, repeated)])
 
 

@@ -380,7 +380,7 @@ PREFIXES = ("medications", "conditions", "procedures", "allergies", "careplans")
 )
 def document_gates(spark: SparkSession, folder: str) -> DataFrame:
     core = Source(spark, folder).core()
-    return G.document_gates(core["document_section"], core["patient"], {}, SECTIONS, PREFIXES)
+    return G.document_gates(core["document_section"], core["patient"], {}, SECTIONS, PREFIXES, core.tasks)
 
 
 @query(
