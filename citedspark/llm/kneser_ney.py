@@ -8,8 +8,15 @@ followers of frequent words. A range sorts and sums its arrays and writes them a
 arrays to the shared folder: n-grams with their counts, and their contexts with the sum of the
 counts and the numbers of followers seen once, twice or more. It sends on the n-grams without
 their first word, each with its number of left neighbours, as the counts of the order below; an
-n-gram at the beginning of a text has no left neighbour and keeps its own count there. What was
-seen once is written as a bare hash.
+n-gram at the beginning of a text has no left neighbour and keeps its own count there.
+
+Sizes. N-grams are sent as numbers in a list of their own distinct words, in order, by byte planes
+and compressed. A range's hashes are written in order, BLOCK to a block: of each block the first in
+full, of the others the low 40 bits, which the first word does not fix. A hash is thus found
+by its block and those bits. What was seen once is written without values; other
+values take a byte, larger ones stand in a list beside them. Below the highest order nearly
+every n-gram is a context of the order above, which lies in the same range: its count is written
+beside that context, without a hash of its own, and one lookup finds both.
 
 Scoring. Workers map the arrays into memory and look up each token, n-gram and context of a text
 by binary search. With a, A and D the counts of an order, their sum over a context and discounts,
@@ -30,7 +37,7 @@ rows every count is 0 and p is the uniform share. Only `doc_id` and `text` are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,8 @@ from citedspark.session import scratch_path
 END, START = np.uint64(0xE5D0E5D0E5D0E5D0), np.uint64(0x57A757A757A757A7)
 #: Tokens that a task counts together before it hands them on.
 HELD = 1_500_000
+#: Hashes that are written together.
+BLOCK = 16
 _TOP = np.uint64(0xFFFFFF0000000000)
 _SHORT = np.uint64(16)
 
@@ -84,7 +93,8 @@ def _keys(words: list[np.ndarray], frequent: np.ndarray) -> tuple[list[np.ndarra
     Words are given by 48 bits. The top bits of a hash place it: they are those of the shortest
     beginning that holds a word that is not frequent, or of the whole if all words are.
     """
-    keys, chain, top = [words[0] << _SHORT], mixed(words[0]), words[0] << _SHORT
+    chain, top = mixed(words[0]), words[0] << _SHORT
+    keys = [(top & _TOP) | (chain & ~_TOP)]
     often, spread = _is_in(frequent, words[0]), np.zeros(len(words[0]), bool)
     for word in words[1:]:
         chain = mixed(chain * np.uint64(0xD6E8FEB86659FD93) + mixed(word))
@@ -95,9 +105,33 @@ def _keys(words: list[np.ndarray], frequent: np.ndarray) -> tuple[list[np.ndarra
     return keys, spread
 
 
-def _packed(short: np.ndarray) -> list[np.ndarray]:
-    """48-bit words as two arrays."""
-    return [(short & np.uint64(0xFFFFFFFF)).astype(np.uint32), (short >> np.uint64(32)).astype(np.uint16)]
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array, compressed by byte planes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def _restored(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.frombuffer(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """The first value and the steps from each to the next, modulo 2^64."""
+    return np.diff(values, prepend=np.uint64(0))
+
+
+def _numbered(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, the n-grams as numbers in that list, their order before they were sorted)."""
+    known, ids, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")  # small numbers for what is frequent
+    number = np.empty(len(known), np.uint32)
+    number[often] = np.arange(len(known), dtype=np.uint32)
+    ids = number[ids].reshape(len(words), -1)
+    order = np.lexsort(ids[::-1])
+    return known[often], ids[:, order], order
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +143,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ordered[new], sums, order[new]
 
 
-def _dealt(ranges: int, of: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Packed arrays for each range; `of` (the range of each entry) is in order."""
-    edges = np.searchsorted(of, np.arange(ranges + 1))
-    parts = np.flatnonzero(np.diff(edges))
-    packed = [[array[edges[p] : edges[p + 1]].tobytes() for p in parts.tolist()] for array in arrays]
-    return pa.record_batch([pa.array(parts), *[pa.array(each, pa.binary()) for each in packed]], names=["part", *names])
+def _dealt(ranges: int, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Compressed words, which are in order, and their counts for each range."""
+    edges = np.searchsorted(_range_of(words, ranges), np.arange(ranges + 1))
+    parts = np.flatnonzero(np.diff(edges)).tolist()
+    packed = [[_squeezed(_steps(words[edges[p] : edges[p + 1]])) for p in parts], [_squeezed(counts[edges[p] : edges[p + 1]]) for p in parts]]
+    return pa.record_batch([pa.array(parts, pa.int64()), *[pa.array(each, pa.binary()) for each in packed]], names=["part", "words", "counts"])
 
 
 def _words_sent(ranges: int):
@@ -127,7 +161,7 @@ def _words_sent(ranges: int):
             tokens.sort()
             new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             counts = np.diff(np.append(new, len(tokens))).astype(np.uint32)
-            return _dealt(ranges, _range_of(tokens[new], ranges), [tokens[new], counts], ["words", "counts"])
+            return _dealt(ranges, tokens[new], counts)
 
         for batch in slices(batches, 1):
             tokens, first = _tokens(batch)
@@ -140,16 +174,17 @@ def _words_sent(ranges: int):
     return run
 
 
-def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _joined(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.zeros(0, kind), *(_restored(data, kind) for data in table.column(name).to_pylist())]
 
 
 def _words_kept(folder: str, ranges: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        words, counts, _ = _summed(_joined(table, "words", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        sent = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps in _joined(table, "words", np.uint64)])
+        words, counts, _ = _summed(sent, np.concatenate(_joined(table, "counts", np.uint32)).astype(np.int64))
         shards.write(folder, f"words-{part}", words)
-        shards.write(folder, f"counts-{part}", counts)
+        _write_values(folder, "counts", part, counts)
         real = words != START
         top = np.argsort(-counts, kind="stable")[:8]
         return pa.table(
@@ -165,10 +200,10 @@ def _words_kept(folder: str, ranges: int):
 
 #: A row is: n-grams of `level` words with counts n; or contexts of that many words with their
 #: stats; or, with part -1, what a range has `seen` of the level.
-_GRAM_SCHEMA = "level int, part long, low binary, high binary, n binary, stats binary, seen array<long>"
+_GRAM_SCHEMA = "level int, part long, words binary, grams binary, n binary, stats binary, seen array<long>"
 _GRAM_TYPES = pa.schema(
     [
-        ("level", pa.int32()), ("part", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary()),
+        ("level", pa.int32()), ("part", pa.int64()), ("words", pa.binary()), ("grams", pa.binary()), ("n", pa.binary()),
         ("stats", pa.binary()), ("seen", pa.list_(pa.int64())),
     ]
 )
@@ -178,41 +213,93 @@ def _rows(ranges: int, words: list[np.ndarray], keys: np.ndarray, n: np.ndarray,
     """Rows for the ranges of the keys, which are in order."""
     edges = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
     parts = np.flatnonzero(np.diff(edges)).tolist()
-    sides = [[], []]
+    packed = []
     for part in parts:
-        split = [_packed(word[edges[part] : edges[part + 1]]) for word in words]
-        for k in (0, 1):
-            sides[k].append(b"".join(each[k].tobytes() for each in split))
-    cut = lambda array: [array[edges[part] : edges[part + 1]].tobytes() for part in parts]
-    columns = [
-        [len(words)] * len(parts), parts, *sides, cut(n.astype(np.uint32)),
-        [b""] * len(parts) if stats is None else cut(stats), [None] * len(parts),
-    ]
+        own = slice(edges[part], edges[part + 1])
+        known, ids, order = _numbered([word[own] for word in words])
+        filled = b"" if stats is None else stats[own][order].tobytes()
+        packed.append((_squeezed(_steps(known)), _squeezed(ids.reshape(-1)), _squeezed(n[own][order].astype(np.uint32)), filled))
+    columns = [[len(words)] * len(parts), parts, *([row[k] for row in packed] for k in range(4)), [None] * len(parts)]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _GRAM_TYPES.types, strict=True)], schema=_GRAM_TYPES)
 
 
 def _seen_row(level: int, counts: np.ndarray) -> pa.Table:
     seen = [int((counts == step).sum()) for step in (1, 2, 3, 4)] + [int((counts > 0).sum())]
     return pa.Table.from_pylist(
-        [{"level": level, "part": -1, "low": b"", "high": b"", "n": b"", "stats": b"", "seen": seen}], _GRAM_TYPES
+        [{"level": level, "part": -1, "words": b"", "grams": b"", "n": b"", "stats": b"", "seen": seen}], _GRAM_TYPES
     )
 
 
 def _unpacked(table: pa.Table, level: int) -> list[np.ndarray]:
     """The words of a table's rows."""
-    rows = []
-    for low, high in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True):
-        value = np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
-        rows.append(value.reshape(level, -1))
+    rows = [
+        np.cumsum(_restored(words, np.uint64), dtype=np.uint64)[_restored(grams, np.uint32)].reshape(level, -1)
+        for words, grams in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True)
+    ]
     return list(np.concatenate([np.zeros((level, 0), np.uint64), *rows], axis=1))
 
 
+def _whole_numbers(values: np.ndarray) -> list[np.ndarray]:
+    """Numbers from 0 as places and values of those from 255 on, and all as bytes."""
+    flat = values.reshape(-1)
+    large = np.flatnonzero(flat >= 255)
+    return [large, flat[large].astype(np.int64), np.minimum(flat, 255).astype(np.uint8)]
+
+
+def _write_parts(folder: str, name: str, part: int, arrays: list[np.ndarray]) -> None:
+    """Arrays in one file, after their sizes in bytes; those with wider items first."""
+    sizes = np.array([len(arrays), *(array.nbytes for array in arrays)], np.int64)
+    shards.write(folder, f"{name}-{part}", np.frombuffer(b"".join(array.tobytes() for array in (sizes, *arrays)), np.uint8))
+
+
+def _parts(folder: str, name: str, part: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    whole = shards.kept(folder, f"{name}-{part}", "u1")
+    at = 8 * (1 + len(kinds))
+    found = []
+    for size, kind in zip(whole[8:at].view("<i8").tolist(), kinds, strict=True):
+        found.append(whole[at : at + size].view(kind))
+        at += size
+    return found
+
+
+def _write_values(folder: str, name: str, part: int, values: np.ndarray) -> None:
+    _write_parts(folder, name, part, _whole_numbers(values))
+
+
+def _values_at(places: np.ndarray, width: int, large: np.ndarray, largest: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Rows of `width` numbers as `_whole_numbers` made them."""
+    flat = places[:, None] * width + np.arange(width)
+    found = small[flat].astype(np.int64)
+    over = found == 255
+    found[over] = largest[np.searchsorted(large, flat[over])]
+    return found
+
+
 def _write_known(folder: str, name: str, part: int, keys: np.ndarray, values: np.ndarray, once: tuple[int, ...]) -> None:
-    """Write keys in order with their rows of values; those with the values `once` as bare keys."""
+    """Write keys in order with their rows of values; those with the values `once` without them."""
     bare = (values == np.array(once)).all(axis=1)
-    shards.write(folder, f"{name}-once-{part}", keys[bare])
-    shards.write(folder, f"{name}-more-{part}", keys[~bare])
-    shards.write(folder, f"{name}-values-{part}", values[~bare].astype(np.uint32))
+    for kind, own in (("once", bare), ("more", ~bare)):
+        known = keys[own]
+        filled = np.pad(known, (0, -len(known) % BLOCK))
+        sides = [(filled & np.uint64(0xFFFFFFFF)).astype(np.uint32), (filled >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)]
+        large, largest, small = _whole_numbers(values[own] if kind == "more" else values[:0])
+        count = np.array([len(known)], np.int64)
+        _write_parts(folder, f"{name}-{kind}", part, [count, known[::BLOCK], large, largest, *sides, small])
+
+
+_KNOWN = ("<i8", "<u8", "<i8", "<i8", "<u4", "u1", "u1")
+
+
+def _looked_up(keys: np.ndarray, count: int, heads: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the keys are known, their places)."""
+    block = np.searchsorted(heads, keys, side="right") - 1
+    asked = np.flatnonzero(block >= 0)
+    block = block[asked]
+    sides = (keys[asked] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys[asked] >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
+    which, inside = np.nonzero(low.reshape(-1, BLOCK)[block] == sides[0][:, None])
+    place = block[which] * BLOCK + inside
+    own = (place < count) & (high[place] == sides[1][which])
+    return asked[which[own]], place[own]
 
 
 def _grams_sent(ranges: int, order: int, frequent: np.ndarray):
@@ -247,8 +334,24 @@ def _grams_sent(ranges: int, order: int, frequent: np.ndarray):
     return run
 
 
-def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int):
-    """Write a range's n-grams of a level and their contexts; send on what the lower levels count."""
+def _write_grams(folder: str, level: int, part: int, keys: np.ndarray, counts: np.ndarray, above: bool) -> None:
+    """Write n-grams' counts: beside the contexts of the level above, if there is one, and else with keys."""
+    rest = np.ones(len(keys), bool)
+    for kind in ("once", "more") if above else ():
+        count, heads, _, _, low, high, _ = _parts(folder, f"contexts{level + 1}-{kind}", part, _KNOWN)
+        own, place = _looked_up(keys, int(count[0]), heads, low, high)
+        beside = np.zeros(int(count[0]), np.int64)
+        beside[place] = counts[own]
+        _write_values(folder, f"beside{level}-{kind}", part, beside)
+        rest[own] = False
+    _write_known(folder, f"grams{level}", part, keys[rest], counts[rest, None], (1,))
+
+
+def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int, above: bool = False):
+    """Write a range's n-grams of a level and their contexts; send on what the lower levels count.
+
+    `above` says that the contexts of the level above are written.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -261,12 +364,12 @@ def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int):
         filled = np.array([len(value) > 0 for value in table.column("stats").to_pylist()], bool)
         _write_spread(folder, level + 1, part, _unpacked(table.filter(pa.array(filled)), level), stats, frequent)
         table = table.filter(pa.array(~filled))
-        words, n = _unpacked(table, level), _joined(table, "n", np.uint32).astype(np.int64)
+        words, n = _unpacked(table, level), np.concatenate(_joined(table, "n", np.uint32)).astype(np.int64)
         keys, spread = _keys(words, frequent)
         context = keys[-2]
         known, counts, at = _summed(keys[-1], n)
         words, context, spread = [word[at] for word in words], context[at], spread[at]
-        _write_known(folder, f"grams{level}", part, known, counts[:, None], (1,))
+        _write_grams(folder, level, part, known, counts, above)
         out = [passed, _seen_row(level, counts)]
         for own in (~spread, spread):
             at_context, place, of_context = np.unique(context[own], return_index=True, return_inverse=True)
@@ -308,8 +411,8 @@ def _words_left(folder: str, frequent: np.ndarray):
         table = table.filter(pa.array(~filled))
         words = shards.mapped(folder, f"words-{part}", "<u8") >> _SHORT
         place = np.searchsorted(words, _unpacked(table, 1)[0])
-        lefts = np.bincount(place, weights=_joined(table, "n", np.uint32), minlength=len(words)).astype(np.uint32)
-        shards.write(folder, f"lefts-{part}", lefts)
+        lefts = np.bincount(place, weights=np.concatenate(_joined(table, "n", np.uint32)), minlength=len(words)).astype(np.int64)
+        _write_values(folder, "lefts", part, lefts)
         return _seen_row(1, lefts)
 
     return run
@@ -344,36 +447,70 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def _found(self, keys: np.ndarray, width: int, tables: list[tuple[str, list[tuple[str, str]], tuple[int, ...]]]) -> np.ndarray:
-        """A row of values for each key, from the tables (name, columns, values without columns); else zeros."""
-        order = np.argsort(keys)
-        ordered = keys[order]
-        out = np.zeros((len(keys), width), np.int64)
-        part = _range_of(ordered, self.model.ranges)
+    def _found(self, keys: np.ndarray, width: int, lookup: Callable[[int, np.ndarray], Iterator[tuple]]) -> np.ndarray:
+        """A row of values for each key, from the lookup in a range (which of the keys, columns, values); else zeros."""
+        distinct, which = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(distinct), width), np.int64)
+        part = _range_of(distinct, self.model.ranges)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            number = int(part[a])
-            for table, columns, fixed in tables:
-                known = shards.kept(self.model.folder, f"{table}-{number}", "<u8")
-                if not len(known):
-                    continue
-                place = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
-                own = known[place] == ordered[a:b]
-                if not columns:
-                    out[order[a:b][own]] = fixed
-                    continue
-                values = [shards.kept(self.model.folder, f"{name}-{number}", kind).reshape(len(known), -1)[place[own]] for name, kind in columns]
-                out[order[a:b][own]] = np.concatenate([value.astype(np.int64) for value in values], axis=1)
-        return out
+            for own, columns, values in lookup(int(part[a]), distinct[a:b]):
+                out[a + own, columns] = values
+        return out[which]
+
+    def _in_order(self, name: str, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = shards.kept(self.model.folder, f"{name}-{part}", "<u8")
+        if not len(known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        own = np.flatnonzero(known[place] == keys)
+        return own, place[own]
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Counts and numbers of left neighbours."""
-        return self._found(hashes, 2, [("words", [("counts", "<i8"), ("lefts", "<u4")], ())])
 
-    def _known(self, name: str, keys: np.ndarray, once: tuple[int, ...], spread: list) -> np.ndarray:
-        tables = [(f"{name}-once", [], once), (f"{name}-more", [(f"{name}-values", "<u4")], ()), *spread]
-        distinct, which = np.unique(keys, return_inverse=True)
-        return self._found(distinct, len(once), tables)[which]
+        def lookup(part: int, keys: np.ndarray) -> Iterator[tuple[np.ndarray, object]]:
+            own, place = self._in_order("words", part, keys)
+            sides = [_values_at(place, 1, *_parts(self.model.folder, name, part, ("<i8", "<i8", "u1"))) for name in ("counts", "lefts")]
+            yield own, slice(None), np.concatenate(sides, axis=1)
+
+        return self._found(hashes, 2, lookup)
+
+    def _grams_of(self, part: int, level: int, keys: np.ndarray, which: np.ndarray) -> Iterator[tuple]:
+        """Counts of those of the keys (their places) that are written with keys."""
+        for kind in ("more", "once"):
+            own, place, values = self._table(f"grams{level}-{kind}", part, keys[which])
+            yield which[own], slice(0, 1), 1 if kind == "once" else values(1)
+            which = np.delete(which, own)
+
+    def _contexts_of(self, part: int, level: int, keys: np.ndarray, beside: bool) -> Iterator[tuple]:
+        """Stats of keys as contexts of the level, and their counts `beside` them or, for the others, with keys."""
+        folder, rest = self.model.folder, np.arange(len(keys))
+        for kind in ("more", "once"):
+            own, place, values = self._table(f"contexts{level}-{kind}", part, keys[rest])
+            yield rest[own], slice(1, 5), (1, 1, 0, 0) if kind == "once" else values(4)
+            if beside:
+                yield rest[own], slice(0, 1), _values_at(place, 1, *_parts(folder, f"beside{level - 1}-{kind}", part, ("<i8", "<i8", "u1")))
+            rest = np.delete(rest, own)
+        own, place = self._in_order(f"spread{level}", part, keys[rest])  # contexts of frequent words
+        yield rest[own], slice(1, 5), shards.kept(folder, f"spreadvalues{level}-{part}", "<i8").reshape(-1, 4)[place]
+        if beside:
+            yield from self._grams_of(part, level - 1, keys, rest)
+
+    def _table(self, name: str, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+        count, heads, large, largest, low, high, small = _parts(self.model.folder, name, part, _KNOWN)
+        own, place = _looked_up(keys, int(count[0]), heads, low, high)
+        return own, place, lambda width: _values_at(place, width, large, largest, small)
+
+    def grams(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of n-grams and, below the highest order, their stats as contexts of the order above."""
+        if level < self.model.order:
+            return self._found(keys, 5, lambda part, own: self._contexts_of(part, level + 1, own, True))
+        return self._found(keys, 1, lambda part, own: self._grams_of(part, level, own, np.arange(len(own))))
+
+    def words_before(self, keys: np.ndarray) -> np.ndarray:
+        """Stats of single words as contexts."""
+        return self._found(keys, 5, lambda part, own: self._contexts_of(part, 2, own, False))[:, 1:]
 
     def scored(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, log10 probability) of each row."""
@@ -383,14 +520,17 @@ class Scorer:
         base = np.log10((found[:, 0] + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         lefts = found[:, 1]
         lower = model.uniform + np.maximum(lefts - model.discounts[0][np.minimum(lefts, 3)], 0.0) / max(1, model.pairs)
-        share = lower[which]
+        share, shorter = lower[which], np.zeros((0, 4), np.int64)
         for level in range(2, model.order + 1):
             discount = model.discounts[level - 1]
             words, places = _grams(tokens, first, level)
             keys, _ = _keys(words, model.frequent)
-            times = self._known(f"grams{level}", keys[-1], (1,), [])[:, 0]
-            spread = [(f"spread{level}", [(f"spreadvalues{level}", "<i8")], ())]
-            stats = self._known(f"contexts{level}", keys[-2], (1, 1, 0, 0), spread)
+            own = self.grams(level, keys[-1])
+            times = own[:, 0]
+            # A context is the n-gram of the order below that ends a place before.
+            stats = self.words_before(keys[-2]) if level == 2 else shorter[places - 1]
+            shorter = np.zeros((len(tokens), 4), np.int64)
+            shorter[places] = own[:, 1:] if level < model.order else 0
             gamma = stats[:, 1:] @ discount[1:] / np.maximum(stats[:, 0], 1)
             gamma[stats[:, 0] == 0] = 1.0
             top = np.maximum(times - discount[np.minimum(times, 3)], 0.0) / np.maximum(stats[:, 0], 1)
@@ -411,7 +551,7 @@ def _with_every_range(dealt: DataFrame, ranges: int, names: list[str]) -> DataFr
 
 def _with_empty_grams(dealt: DataFrame, ranges: int, level: int) -> DataFrame:
     empty = dealt.sparkSession.range(ranges).select(
-        F.lit(level).alias("level"), F.col("id").alias("part"), *[F.lit(b"").alias(name) for name in ("low", "high", "n", "stats")],
+        F.lit(level).alias("level"), F.col("id").alias("part"), *[F.lit(b"").alias(name) for name in ("words", "grams", "n", "stats")],
         F.lit(None).cast("array<long>").alias("seen"),
     )
     return dealt.union(empty)
@@ -435,7 +575,7 @@ def trained(documents: DataFrame, folder: str, order: int = 2) -> Model:
     frequent = np.unique(np.array(often, np.int64).view(np.uint64) >> _SHORT)
     grams = texts.mapInArrow(_grams_sent(ranges, order, frequent), _GRAM_SCHEMA)
     for level in range(order, 0, -1):
-        keep = _grams_kept(folder, ranges, frequent, level) if level > 1 else _words_left(folder, frequent)
+        keep = _grams_kept(folder, ranges, frequent, level, level < order) if level > 1 else _words_left(folder, frequent)
         grams = _with_empty_grams(grams, ranges, level).groupBy("part").applyInArrow(keep, _GRAM_SCHEMA)
     seen = np.zeros((order, 5), np.int64)
     for row in grams.select("level", "seen").collect():

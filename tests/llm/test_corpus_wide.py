@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -241,6 +242,30 @@ def test_kneser_ney_of_an_order(spark, documents, texts, order):
         assert row["score"] == pytest.approx(wanted[row["doc_id"]])
 
 
+def test_kneser_ney_sizes(spark):
+    """What tasks send and write for an n-gram is far below its three words of 48 bits and a hash of 64."""
+    rng = np.random.default_rng(8)
+    names = rng.integers(0, 2**48, 4000, dtype=np.uint64)
+    text = names[np.minimum(rng.zipf(1.3, 60_000), len(names)) - 1]
+    grams = [text[:-2], text[1:-1], text[2:]]
+    keys, counts, at = kneser_ney._summed(kneser_ney._keys(grams, names[:0])[0][-1], np.ones(len(text) - 2, np.int64))
+    sent = kneser_ney._rows(2, [word[at] for word in grams], keys, counts)
+    assert sum(column.nbytes for column in sent.columns) < 8 * len(keys)  # 22 as plain arrays
+    back = kneser_ney._unpacked(sent, 3)
+    n = np.concatenate([kneser_ney._restored(data, np.uint32) for data in sent.column("n").to_pylist()])
+    assert sorted(zip(*back, n, strict=True)) == sorted(zip(*[word[at] for word in grams], counts, strict=True))
+
+    folder = scratch_path(spark, "kn-sizes")
+    kneser_ney._write_known(folder, "grams3", 0, keys, counts[:, None], (1,))
+    written = sum(file.stat().st_size for file in Path(folder.removeprefix("file:")).iterdir())
+    assert written < 6.5 * len(keys)  # 8 for a hash, 12 with its count
+    scorer = kneser_ney.Scorer(kneser_ney.Model(folder, 1, names[:0], 1, 1, [[0] * 5] * 3))
+    asked = np.concatenate([keys, keys + np.uint64(1), keys[:3] - np.uint64(1), [np.uint64(0)]])
+    known = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    assert scorer.grams(3, asked)[:, 0].tolist() == [known.get(key, 0) for key in asked.tolist()]
+    assert counts.max() > 255
+
+
 def test_kneser_ney_probabilities_add_up(spark, texts):
     """Over all words and an unknown one, the model's probabilities after a word sum to one."""
     frame = spark.createDataFrame([(k, text) for k, text in enumerate(texts[:6])], "doc_id long, text string")
