@@ -3,12 +3,14 @@
 Counting. Words are 64-bit hashes; each task sends the distinct words, then the distinct n-grams
 of the order, of its texts as packed arrays with counts, dealt to ranges of the hash of their
 shortest beginning that holds a word of no great frequency: mostly the first word. A word with
-more than a quarter of a range's share of all tokens is frequent, so no range gathers the
+more than a quarter of a share of all tokens is frequent, so no range gathers the
 followers of frequent words. A range sorts and sums its arrays and writes them as sorted hash
 arrays to the shared folder: n-grams with their counts, and their contexts with the sum of the
 counts and the numbers of followers seen once, twice or more. It sends on the n-grams without
 their first word, each with its number of left neighbours, as the counts of the order below; an
-n-gram at the beginning of a text has no left neighbour and keeps its own count there.
+n-gram at the beginning of a text has no left neighbour and keeps its own count there. A range has as
+many tokens as its part of the table, and so is worked on in shares of its hashes, RANGE_TOKENS each: what it was
+sent is dealt to the shares and stays packed until a share is its turn, so memory does not follow the size of a range.
 
 Sizes. N-grams are sent as numbers in a list of their own distinct words, in order, by byte planes
 and compressed. A range's hashes are written in order, BLOCK to a block: of each block the first in
@@ -28,7 +30,7 @@ where a is the count in the highest order, and the number of left neighbours N b
 near the beginning of its text has as much context as there is.
 
 The arrays grow with the corpus; what reaches the driver is a few numbers a range and the
-frequent words (at most four a range).
+frequent words (at most OFTEN a range).
 
 Nulls, ties, repeats: a null or blank text has one token, its end. Rows without doc_id are
 scored and train; rows that repeat a doc_id are each scored and each train. Without training
@@ -37,10 +39,11 @@ rows every count is 0 and p is the uniform share. Only `doc_id` and `text` are r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,10 @@ from citedspark.session import scratch_path
 END, START = np.uint64(0xE5D0E5D0E5D0E5D0), np.uint64(0x57A757A757A757A7)
 #: Tokens that a task counts together before it hands them on.
 HELD = 1_500_000
+#: Tokens of a range, by the mean of all, that are counted together.
+RANGE_TOKENS = 4_000_000
+#: Most frequent words that a range reports.
+OFTEN = 256
 #: Hashes that are written together.
 BLOCK = 16
 _TOP = np.uint64(0xFFFFFF0000000000)
@@ -186,7 +193,7 @@ def _words_kept(folder: str, ranges: int):
         shards.write(folder, f"words-{part}", words)
         _write_values(folder, "counts", part, counts)
         real = words != START
-        top = np.argsort(-counts, kind="stable")[:8]
+        top = np.argsort(-counts, kind="stable")[:OFTEN]
         return pa.table(
             {
                 "part": [part], "distinct": [int(real.sum())], "tokens": [int(counts[real].sum())],
@@ -230,13 +237,31 @@ def _seen_row(level: int, counts: np.ndarray) -> pa.Table:
     )
 
 
+def _words_of(packed: Iterable[tuple], level: int) -> list[np.ndarray]:
+    """The words of packed n-grams (words, grams and more)."""
+    rows = (np.cumsum(_restored(words, np.uint64), dtype=np.uint64)[_restored(grams, np.uint32)].reshape(level, -1) for words, grams, *_ in packed)
+    sides = list(zip(*rows, strict=True)) or [()] * level
+    return [np.concatenate([np.zeros(0, np.uint64), *side]) for side in sides]
+
+
 def _unpacked(table: pa.Table, level: int) -> list[np.ndarray]:
     """The words of a table's rows."""
-    rows = [
-        np.cumsum(_restored(words, np.uint64), dtype=np.uint64)[_restored(grams, np.uint32)].reshape(level, -1)
-        for words, grams in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True)
-    ]
-    return list(np.concatenate([np.zeros((level, 0), np.uint64), *rows], axis=1))
+    return _words_of(zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True), level)
+
+
+def _by_share(packed: tuple, level: int, ranges: int, shares: int, frequent: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """A row's n-grams (words, grams, n, stats) by the share of their range that they lie in, packed again with the row's words."""
+    words, grams, n, stats = packed
+    if shares == 1 or not grams:
+        yield 0, packed
+        return
+    ids, times = _restored(grams, np.uint32).reshape(level, -1), _restored(n, np.uint32)
+    keys, _ = _keys(_words_of([packed], level), frequent)
+    share = _range_of(keys[-1], ranges * shares) % shares
+    filled = np.frombuffer(stats, np.int64).reshape(-1, 4)
+    for each in np.unique(share).tolist():
+        own = share == each
+        yield each, (words, _squeezed(ids[:, own].reshape(-1)), _squeezed(times[own]), filled[own].tobytes() if stats else b"")
 
 
 def _whole_numbers(values: np.ndarray) -> list[np.ndarray]:
@@ -275,16 +300,69 @@ def _values_at(places: np.ndarray, width: int, large: np.ndarray, largest: np.nd
     return found
 
 
+class _Numbers:
+    """Whole numbers taken in pieces."""
+
+    def __init__(self) -> None:
+        self.size, self.pieces = 0, ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)])
+
+    def add(self, values: np.ndarray) -> None:
+        large, largest, small = _whole_numbers(values)
+        for pieces, piece in zip(self.pieces, (large + self.size, largest, small), strict=True):
+            pieces.append(piece)
+        self.size += len(small)
+
+    def arrays(self) -> list[np.ndarray]:
+        return [np.concatenate(pieces) for pieces in self.pieces]
+
+
+class _Blocks:
+    """Keys in order, taken in pieces, in blocks."""
+
+    def __init__(self) -> None:
+        self.count, self.rest = 0, np.zeros(0, np.uint64)
+        self.pieces = ([self.rest], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)])
+
+    def _cut(self, keys: np.ndarray) -> None:
+        sides = keys[::BLOCK].copy(), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
+        for pieces, piece in zip(self.pieces, sides, strict=True):
+            pieces.append(piece)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.count += len(keys)
+        keys = np.concatenate([self.rest, keys])
+        whole = len(keys) // BLOCK * BLOCK
+        self._cut(keys[:whole])
+        self.rest = keys[whole:].copy()
+
+    def arrays(self) -> list[np.ndarray]:
+        self._cut(np.pad(self.rest, (0, -len(self.rest) % BLOCK)))
+        return [np.array([self.count], np.int64), *[np.concatenate(pieces) for pieces in self.pieces]]
+
+
+class _Known:
+    """Keys in order with their rows of values, taken in pieces and written together; those with the values `once` without them."""
+
+    def __init__(self, once: tuple[int, ...]) -> None:
+        self.once, self.sides = np.array(once), {kind: (_Blocks(), _Numbers()) for kind in ("once", "more")}
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bare = (values == self.once).all(axis=1)
+        self.sides["once"][0].add(keys[bare])
+        self.sides["more"][0].add(keys[~bare])
+        self.sides["more"][1].add(values[~bare])
+
+    def write(self, folder: str, name: str, part: int) -> None:
+        for kind, (blocks, numbers) in self.sides.items():
+            (count, heads, low, high), (large, largest, small) = blocks.arrays(), numbers.arrays()
+            _write_parts(folder, f"{name}-{kind}", part, [count, heads, large, largest, low, high, small])
+
+
 def _write_known(folder: str, name: str, part: int, keys: np.ndarray, values: np.ndarray, once: tuple[int, ...]) -> None:
     """Write keys in order with their rows of values; those with the values `once` without them."""
-    bare = (values == np.array(once)).all(axis=1)
-    for kind, own in (("once", bare), ("more", ~bare)):
-        known = keys[own]
-        filled = np.pad(known, (0, -len(known) % BLOCK))
-        sides = [(filled & np.uint64(0xFFFFFFFF)).astype(np.uint32), (filled >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)]
-        large, largest, small = _whole_numbers(values[own] if kind == "more" else values[:0])
-        count = np.array([len(known)], np.int64)
-        _write_parts(folder, f"{name}-{kind}", part, [count, known[::BLOCK], large, largest, *sides, small])
+    known = _Known(once)
+    known.add(keys, values)
+    known.write(folder, name, part)
 
 
 _KNOWN = ("<i8", "<u8", "<i8", "<i8", "<u4", "u1", "u1")
@@ -334,43 +412,64 @@ def _grams_sent(ranges: int, order: int, frequent: np.ndarray):
     return run
 
 
-def _write_grams(folder: str, level: int, part: int, keys: np.ndarray, counts: np.ndarray, above: bool) -> None:
-    """Write n-grams' counts: beside the contexts of the level above, if there is one, and else with keys."""
-    rest = np.ones(len(keys), bool)
-    for kind in ("once", "more") if above else ():
-        count, heads, _, _, low, high, _ = _parts(folder, f"contexts{level + 1}-{kind}", part, _KNOWN)
-        own, place = _looked_up(keys, int(count[0]), heads, low, high)
-        beside = np.zeros(int(count[0]), np.int64)
-        beside[place] = counts[own]
-        _write_values(folder, f"beside{level}-{kind}", part, beside)
-        rest[own] = False
-    _write_known(folder, f"grams{level}", part, keys[rest], counts[rest, None], (1,))
+class _Range:
+    """What a range keeps of a level, share by share.
 
+    N-grams' counts are written beside the contexts of the level above, if there is one (`above`), and else with keys.
+    """
 
-def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int, above: bool = False):
-    """Write a range's n-grams of a level and their contexts; send on what the lower levels count.
+    def __init__(self, folder: str, level: int, part: int, above: bool) -> None:
+        self.folder, self.level, self.part = folder, level, part
+        self.grams, self.contexts = _Known((1,)), _Known((1, 1, 0, 0))
+        self.spread: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)])
+        self.beside = {kind: np.zeros(int(self._above(kind)[0][0]), np.uint32) for kind in (("once", "more") if above else ())}
+
+    def _above(self, kind: str) -> list[np.ndarray]:
+        return _parts(self.folder, f"contexts{self.level + 1}-{kind}", self.part, _KNOWN)
+
+    def add_grams(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        rest = np.ones(len(keys), bool)
+        for kind, filled in self.beside.items():
+            _, heads, _, _, low, high, _ = self._above(kind)
+            own, place = _looked_up(keys, len(filled), heads, low, high)
+            filled[place] = counts[own]
+            rest[own] = False
+        self.grams.add(keys[rest], counts[rest, None])
+
+    def add_spread(self, keys: np.ndarray, stats: np.ndarray) -> None:
+        """Contexts of frequent words only, whose n-grams lie in several ranges: their stats summed."""
+        for pieces, piece in zip(self.spread, _spread(keys, stats), strict=True):
+            pieces.append(piece)
+
+    def write(self) -> None:
+        folder, level, part = self.folder, self.level, self.part
+        for kind, filled in self.beside.items():
+            _write_values(folder, f"beside{level}-{kind}", part, filled)
+        self.grams.write(folder, f"grams{level}", part)
+        self.contexts.write(folder, f"contexts{level}", part)
+        _write_spread(folder, level + 1, part, *[np.concatenate(pieces) for pieces in self.spread])
+
+
+def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int, above: bool = False, shares: int = 1):
+    """Write a range's n-grams of a level and their contexts, share by share; send on what the lower levels count.
 
     `above` says that the contexts of the level above are written.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        if part < 0:
-            return table.cast(_GRAM_TYPES)
-        of = table.column("level").to_numpy()
-        passed = table.filter(pa.array(of < level)).cast(_GRAM_TYPES)
-        table = table.filter(pa.array(of == level))
-        stats = np.frombuffer(b"".join(table.column("stats").to_pylist()), np.int64).reshape(-1, 4)
-        filled = np.array([len(value) > 0 for value in table.column("stats").to_pylist()], bool)
-        _write_spread(folder, level + 1, part, _unpacked(table.filter(pa.array(filled)), level), stats, frequent)
-        table = table.filter(pa.array(~filled))
-        words, n = _unpacked(table, level), np.concatenate(_joined(table, "n", np.uint32)).astype(np.int64)
+    def counted(kept: _Range, rows: list[tuple]) -> Iterator[pa.Table]:
+        spread_rows = [row for row in rows if row[3]]
+        stats = np.frombuffer(b"".join(row[3] for row in spread_rows), np.int64).reshape(-1, 4)
+        kept.add_spread(_keys(_words_of(spread_rows, level), frequent)[0][-1], stats)
+        rows = [row for row in rows if not row[3]]
+        words, n = _words_of(rows, level), np.concatenate([np.zeros(0, np.uint32), *(_restored(row[2], np.uint32) for row in rows)]).astype(np.int64)
+        del rows
         keys, spread = _keys(words, frequent)
         context = keys[-2]
         known, counts, at = _summed(keys[-1], n)
+        del keys, n
         words, context, spread = [word[at] for word in words], context[at], spread[at]
-        _write_grams(folder, level, part, known, counts, above)
-        out = [passed, _seen_row(level, counts)]
+        kept.add_grams(known, counts)
+        yield _seen_row(level, counts)
         for own in (~spread, spread):
             at_context, place, of_context = np.unique(context[own], return_index=True, return_inverse=True)
             found = np.zeros((len(at_context), 4), np.int64)
@@ -378,22 +477,48 @@ def _grams_kept(folder: str, ranges: int, frequent: np.ndarray, level: int, abov
             np.add.at(found, (of_context, np.minimum(counts[own], 3)), 1)
             if own is spread:
                 first = [word[own][place] for word in words[:-1]]
-                out.append(_rows(ranges, first, at_context, np.zeros(len(at_context)), found))
+                yield _rows(ranges, first, at_context, np.zeros(len(at_context)), found)
             else:
-                _write_known(folder, f"contexts{level}", part, at_context, found, (1, 1, 0, 0))
+                kept.contexts.add(at_context, found)
         shorter = words[1:]
         suffix, lefts, at = _summed(_keys(shorter, frequent)[0][-1], np.ones(len(known), np.int64))
-        out.append(_rows(ranges, [word[at] for word in shorter], suffix, lefts))
-        return pa.concat_tables(out)
+        yield _rows(ranges, [word[at] for word in shorter], suffix, lefts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in range(shares)]
+        part = -1
+        for batch in batches:
+            part = batch.column("part")[0].as_py()
+            passed = pa.Table.from_batches([batch]) if part < 0 else pa.Table.from_batches([batch.filter(pc.less(batch.column("level"), level))])
+            if passed.num_rows:
+                yield from passed.cast(_GRAM_TYPES).to_batches()
+            if part < 0:
+                continue
+            own = batch.filter(pc.equal(batch.column("level"), level))
+            for packed in zip(*[own.column(name) for name in ("words", "grams", "n", "stats")], strict=True):
+                for share, piece in _by_share(tuple(value.as_py() for value in packed), level, ranges, shares, frequent):
+                    held[share].append(piece)
+        if part < 0:
+            return
+        kept = _Range(folder, level, part, above)
+        for share in range(shares):
+            rows, held[share] = held[share], []
+            for table in counted(kept, rows):
+                yield from table.to_batches()
+        kept.write()
 
     return run
 
 
-def _write_spread(folder: str, level: int, part: int, words: list[np.ndarray], stats: np.ndarray, frequent: np.ndarray) -> None:
-    """Contexts of frequent words only, whose n-grams lie in several ranges: their stats summed."""
-    keys, of_key = np.unique(_keys(words, frequent)[0][-1], return_inverse=True)
-    found = np.zeros((len(keys), 4), np.int64)
+def _spread(keys: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, their stats summed)."""
+    known, of_key = np.unique(keys, return_inverse=True)
+    found = np.zeros((len(known), 4), np.int64)
     np.add.at(found, of_key, stats)
+    return known, found
+
+
+def _write_spread(folder: str, level: int, part: int, keys: np.ndarray, found: np.ndarray) -> None:
     shards.write(folder, f"spread{level}-{part}", keys)
     shards.write(folder, f"spreadvalues{level}-{part}", found)
 
@@ -407,7 +532,7 @@ def _words_left(folder: str, frequent: np.ndarray):
             return table.cast(_GRAM_TYPES)
         stats = np.frombuffer(b"".join(table.column("stats").to_pylist()), np.int64).reshape(-1, 4)
         filled = np.array([len(value) > 0 for value in table.column("stats").to_pylist()], bool)
-        _write_spread(folder, 2, part, _unpacked(table.filter(pa.array(filled)), 1), stats, frequent)
+        _write_spread(folder, 2, part, *_spread(_keys(_unpacked(table.filter(pa.array(filled)), 1), frequent)[0][-1], stats))
         table = table.filter(pa.array(~filled))
         words = shards.mapped(folder, f"words-{part}", "<u8") >> _SHORT
         place = np.searchsorted(words, _unpacked(table, 1)[0])
@@ -570,12 +695,13 @@ def trained(documents: DataFrame, folder: str, order: int = 2) -> Model:
         .collect()
     )
     tokens, distinct = sum(row["tokens"] for row in kept), sum(row["distinct"] for row in kept)
-    limit = max(1, tokens // (4 * ranges))
+    shares = max(1, -(-tokens // (ranges * RANGE_TOKENS)))
+    limit = max(1, tokens // (4 * ranges * shares))
     often = [word for row in kept for word, n in zip(row["often"], row["times"], strict=True) if n > limit]
     frequent = np.unique(np.array(often, np.int64).view(np.uint64) >> _SHORT)
     grams = texts.mapInArrow(_grams_sent(ranges, order, frequent), _GRAM_SCHEMA)
     for level in range(order, 0, -1):
-        keep = _grams_kept(folder, ranges, frequent, level, level < order) if level > 1 else _words_left(folder, frequent)
+        keep = _grams_kept(folder, ranges, frequent, level, level < order, shares) if level > 1 else _words_left(folder, frequent)
         grams = _with_empty_grams(grams, ranges, level).groupBy("part").applyInArrow(keep, _GRAM_SCHEMA)
     seen = np.zeros((order, 5), np.int64)
     for row in grams.select("level", "seen").collect():
